@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
 from .chat import chain_messages, format_chat, masked_text, read_chat, reply_paths
 from .common import materialize, table
 from .mixing import mix_sources
+from .quality import judge_quality, learn_from
 from .sharding import shard_interleaved
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
+    return encoded.withColumn("decoded", decode_ids(F.col("ids"), path)).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -48,6 +67,16 @@ FROM f
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = learn_from(docs, table(spark, sf_dir, "labels"))
+    c = F.col("counts")
+    return judge_quality(docs, rules).select(
+        "doc_id", c["n_words"].alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
+        c["n_dup_lines"].alias("n_dup_lines"), c["n_repeat_words"].alias("n_repeat_words"), "base_failed", "kept",
+    )
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_interleaved(table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -74,7 +103,9 @@ FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND k.cdf <= d.u
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op3_chat": op3_chat,
+    "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
