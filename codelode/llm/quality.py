@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import seeded_digest
 
@@ -68,7 +69,7 @@ def text_counts(text: str) -> tuple[int, ...]:
 _STRUCT = pa.struct([(c, pa.int64()) for c in COUNTS])
 
 
-@F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def counts_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         rows = np.array([text_counts(t.as_py() or "") for t in texts], np.int64).reshape(-1, len(COUNTS))
