@@ -152,6 +152,9 @@ def _grow(table: pd.DataFrame, bad: np.ndarray, names: list[str], max_conditions
                     best, gain = Condition(name, above, float(cuts[k])), g[k]
         if best is None:
             break
+        x = table[best.name].to_numpy()[inside]
+        # Half way to the next value, so that no rule hugs the rows it was learned from.
+        best = Condition(best.name, best.above, float((x[x <= best.threshold].max() + x[x > best.threshold].min()) / 2))
         chosen.append(best)
         inside &= best.holds(table)
     return chosen

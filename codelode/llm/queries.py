@@ -11,6 +11,7 @@ from .common import materialize, table
 from .mixing import mix_sources
 from .quality import judge_quality, learn_from
 from .sharding import shard_interleaved
+from .toxicity import learn_toxicity, score_toxicity
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -30,6 +31,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -104,6 +115,7 @@ FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND k.cdf <= d.u
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op7_quality": op7_quality,
     "op9_sharding": op9_sharding,
