@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import decode_ids, encode_texts
 from .chat import chain_messages, format_chat, masked_text, read_chat, reply_paths
 from .common import materialize, table
+from .html_text import extract_main_text
 from .mixing import mix_sources
 from .quality import judge_quality, learn_from
 from .sharding import shard_interleaved
@@ -88,6 +89,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = pages.select("page_id", "url", extract_main_text(F.col("html")).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_interleaved(table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -118,6 +125,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op7_quality": op7_quality,
+    "op8_html": op8_html,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
