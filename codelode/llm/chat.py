@@ -78,18 +78,14 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     levels = []
     limit = max(1, nodes.count()).bit_length() + 1
     while not jump.filter("up is not null").isEmpty() and len(levels) < limit:
-        levels.append(jump)
+        # Only messages whose pointer is not yet past the root are joined again.
+        active, settled = jump.filter("up is not null"), jump.filter("up is null")
+        levels.append(active)
         above = jump.select("tree", F.col("message").alias("up"), F.col("up").alias("_up2"), F.col("sum").alias("_sum2"), F.col("length").alias("_length2"))
-        jump = materialize(
-            jump.join(above, ["tree", "up"], "left").select(
-                "tree",
-                "message",
-                F.col("_up2").alias("up"),
-                (F.col("sum") + F.coalesce("_sum2", F.lit(0.0))).alias("sum"),
-                (F.col("length") + F.coalesce("_length2", F.lit(0))).alias("length"),
-            ),
-            "jump",
+        farther = active.join(above, ["tree", "up"]).select(
+            "tree", "message", F.col("_up2").alias("up"), (F.col("sum") + F.col("_sum2")).alias("sum"), (F.col("length") + F.col("_length2")).alias("length")
         )
+        jump = materialize(settled.unionByName(farther), "jump")
     best = W.partitionBy("tree").orderBy(F.col("sum").desc(), F.col("length").desc(), "message")
     chosen = (
         leaves.join(jump.filter("up is null"), ["tree", "message"])
@@ -98,7 +94,7 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     )
     path = chosen.select("tree", F.col("message").alias("leaf"), "rank", F.col("length").alias("depth"), "message")
     for k in reversed(range(len(levels))):
-        step = levels[k].filter("up is not null").select("tree", "message", "up")
+        step = levels[k].select("tree", "message", "up")
         both = F.array(
             F.struct(F.col("depth"), F.col("message")),
             F.struct((F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("message")),
