@@ -9,6 +9,7 @@ from .bpe import decode_ids, encode_texts
 from .chat import chain_messages, format_chat, masked_text, read_chat, reply_paths
 from .common import materialize, table
 from .html_text import extract_main_text
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import judge_quality, learn_from
 from .sharding import shard_interleaved
@@ -79,6 +80,11 @@ FROM f
 """
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
@@ -124,6 +130,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
+    "op5_minhash": op5_minhash,
     "op7_quality": op7_quality,
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
