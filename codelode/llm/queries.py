@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
 from .chat import chain_messages, format_chat, masked_text, read_chat, reply_paths
-from .common import materialize, table
+from .common import fresh_path, materialize, table
 from .html_text import extract_main_text
+from .media import describe_media, read_media, write_media
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import judge_quality, learn_from
@@ -85,6 +86,14 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_path(spark, "media")
+    write_media(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return describe_media(read_media(spark, folder)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
@@ -131,6 +140,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
     "op5_minhash": op5_minhash,
+    "op6_media": op6_media,
     "op7_quality": op7_quality,
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
