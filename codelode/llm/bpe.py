@@ -30,7 +30,7 @@ from .common import materialize
 
 #: The pattern of the byte-level pre-tokeniser (fixed value, from the tokenizers library).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_CHARS = 16_384
+LEAF_CHARS = 32_768
 MARGIN = 24
 AGREE = 2
 
