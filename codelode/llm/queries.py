@@ -13,6 +13,7 @@ from .media import describe_media, read_media, write_media
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import judge_quality, learn_from
+from .repeats import remove_repeats
 from .sharding import shard_interleaved
 from .toxicity import learn_toxicity, score_toxicity
 
@@ -81,6 +82,12 @@ FROM f
 """
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -139,6 +146,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_chat": op3_chat,
+    "op4_repeats": op4_repeats,
     "op5_minhash": op5_minhash,
     "op6_media": op6_media,
     "op7_quality": op7_quality,
