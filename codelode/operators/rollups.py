@@ -24,7 +24,7 @@ def rollup_totals(df: DataFrame, language: Column, sums: dict[str, Column], maxi
         *[F.sum(f"s_{n}").alias(n) for n in sums], *[F.max(f"m_{n}").alias(n) for n in maxima],
         F.max("l").alias("_l"),
     ).select(
-        F.when(F.col("_all") == 1, "project").otherwise("language").alias("scope"), "language", "files", *sums, *maxima,
+        F.when(F.col("_all") == 1, "project").otherwise(F.col("language")).alias("scope"), "language", "files", *sums, *maxima,
         F.col("_l.size").alias("longest_size"), F.col("_l.name").alias("longest_name"),
     )
 
