@@ -180,7 +180,7 @@ def clone_line_coverage(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS s, (epoch(ts)::BIGINT + (value * 60)::BIGINT) AS e FROM events),
+WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, (floor(epoch(ts))::BIGINT + (value * 60)::BIGINT) AS e FROM events),
 f AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 300 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT user_id, min(s) AS start, max(e) AS "end", count(*) AS n FROM g GROUP BY user_id, island""")
@@ -192,14 +192,14 @@ def interval_merge_sessions(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT l_orderkey AS file, l_linenumber AS span, (floor(l_quantity) - l_linenumber)::BIGINT AS a, (floor(l_quantity) + 3 * l_linenumber)::BIGINT AS b, floor(l_quantity)::BIGINT AS here FROM lineitem),
-j AS (SELECT p.file, p.span AS point, p.here, s.span, row_number() OVER (PARTITION BY p.file, p.span ORDER BY s.b - s.a, s.a DESC, s.span DESC) AS r
+j AS (SELECT p.file, p.span AS point, p.here, s.span, row_number() OVER (PARTITION BY p.file, p.span, p.here ORDER BY s.b - s.a, s.a DESC, s.span DESC) AS r
   FROM (SELECT DISTINCT file, span, here FROM s) p JOIN s ON p.file = s.file AND p.here BETWEEN s.a AND s.b)
 SELECT file, span, count(*) AS points FROM j WHERE r = 1 GROUP BY file, span""")
 def innermost_interval(spark, sf_dir):
     at = F.floor("l_quantity").cast("long")
     rows = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("n"), at.alias("at"))
     spans = rows.select("file", F.col("n").alias("span"), (F.col("at") - F.col("n")).alias("start"), (F.col("at") + 3 * F.col("n")).alias("end"))
-    points = rows.select("file", F.col("n").alias("point"), "at").distinct()
+    points = rows.select("file", (F.col("n") * 1000 + F.col("at")).alias("point"), "at").distinct()
     held = joins.innermost_interval(points, spans, ["file"])
     return held.groupBy("file", "span").agg(F.count("*").alias("points"))
 
