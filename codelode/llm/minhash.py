@@ -201,4 +201,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     named = classes.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left")
     named = named.select("set_key", F.coalesce("component", "doc").alias("component"))
-    return signed.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return signed.join(named, "set_key", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    )

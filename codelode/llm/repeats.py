@@ -116,12 +116,6 @@ def unpacked(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where >> 16, (where >> 16) + (where & 0xFF)
 
 
-def runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers in ascending ``starts``."""
-    cut = np.flatnonzero(np.diff(starts) != 1)
-    return starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])]
-
-
 def _pieces(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
     """Rows in lists of about ``BATCH_BYTES`` of the second column."""
     held, size = [], 0
@@ -230,11 +224,19 @@ def _window_rows(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return window_hashes(h, starts), np.repeat(np.array([r[0] for r in rows]), n), np.repeat(np.array([r[1] for r in rows]), n) + within
 
 
-def later_windows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (doc, start, end of the bytes covered) of the windows that equal an earlier one."""
+def ordered(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows by hash and place, a document's repeated rows once, and which equal the one before."""
     order = np.lexsort((starts, docs, hashes))
     hashes, docs, starts = hashes[order], docs[order], starts[order]
-    later = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+    same = hashes[1:] == hashes[:-1]
+    new = np.concatenate([[True], ~(same & (docs[1:] == docs[:-1]) & (starts[1:] == starts[:-1]))])
+    hashes, docs, starts = hashes[new], docs[new], starts[new]
+    return hashes, docs, starts, np.concatenate([[False], hashes[1:] == hashes[:-1]])
+
+
+def later_windows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (doc, start, end of the bytes covered) of the windows that equal an earlier one."""
+    hashes, docs, starts, later = ordered(hashes, docs, starts)
     docs, starts = docs[later], starts[later]
     order = np.lexsort((starts, docs))
     docs, starts = docs[order], starts[order]
@@ -266,10 +268,7 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True))
         if not rows:
             continue
-        hashes, docs, starts = _window_rows(rows)
-        order = np.lexsort((starts, docs, hashes))
-        hashes, docs, starts = hashes[order], docs[order], starts[order]
-        later = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+        hashes, docs, starts, later = ordered(*_window_rows(rows))
         yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64), mask=later), pa.array(docs), pa.array(starts)], ["hash", "doc", "start"])
 
 
