@@ -2,12 +2,14 @@
 
 1. Words and ``width``-word shingles of whole texts, ``bands * rows`` universal hash minima and a digest of the shingle
    set, in one Arrow pass. Documents with one set are one class, its least doc_id stands for it.
-2. The minima's bands deal the class representatives into buckets. Within a bucket no pairs are listed: one hub is
-   compared with the others. Then, as long as a bucket holds representatives of different components, up to ``HUBS`` of
-   those outside its largest component are compared with all outside their own, and leave the bucket. So every two of a
-   bucket are compared or end in one component, whatever the bucket's size.
-3. Comparisons pass a signature estimate (``SIGMAS`` deviations below the threshold) and then the full sets; of a
-   document's candidates the most similar is confirmed first, others only if components still differ.
+2. The minima's bands deal the class representatives into buckets. Within a bucket no pairs are listed: one hub, the
+   document that meets most others in its buckets, is compared with the rest. Then, as long as a bucket holds
+   representatives of different components, up to ``HUBS`` of those outside its largest component are compared with all
+   outside their own, and leave the bucket. So every two of a bucket are compared or end in one component, whatever
+   the bucket's size.
+3. A comparison first takes a bound from both profiles (how many shingles that any other document has fall into each of
+   ``2 ** SEGMENT_BITS`` segments of the hash range), which is never below the similarity. What may be similar enough
+   passes a signature estimate (``SIGMAS`` deviations below the threshold) and is confirmed on the full sets.
 4. Components of the confirmed links by alternating large-star and small-star.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^32 = 5e-8 and fails the estimate with 4e-6.
@@ -33,6 +35,7 @@ from .components import components
 
 BANDS, ROWS = 32, 4
 HUBS = 64
+SEGMENT_BITS = 6
 SIGMAS = 4.5
 #: Ids of documents whose sets are needed are broadcast up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -81,7 +84,7 @@ def band_keys(minima_: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key, sig (unsigned 32-bit), bands; the last three null for an empty set."""
+    """doc_id, n_shingles, set_key, sig (the last byte of each minimum), bands; the last three null for an empty set."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +94,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 s = shingle_set(text.as_py(), width)
                 if len(s):
                     m = minima(s)
-                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), m.tobytes(), band_keys(m)))
+                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (m & np.uint32(255)).astype(np.uint8).tobytes(), band_keys(m)))
                 else:
                     out.append((0, None, None, None))
             if ids:
@@ -104,8 +107,8 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
 
 @F.arrow_udf(T.IntegerType())
 def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many minima of two signatures are the same."""
-    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint32).reshape(len(s), -1) for s in (a, b))
+    """How many minima of two signatures agree in their last byte."""
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), -1) for s in (a, b))
     return pa.array((x == y).sum(axis=1).astype(np.int32))
 
 
@@ -131,37 +134,84 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col
     return sets.groupBy("doc").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
+def profiles(sets: DataFrame) -> DataFrame:
+    """(doc, size, profile): by segment of the hash range, how many shingles some other of ``sets`` has too.
+
+    Two documents share no more than the sum over segments of the smaller count, and only what is in both profiles.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(data.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc, np.int64)), pa.array(own)], ["doc", "shingle"])
+
+    @F.arrow_udf("binary")
+    def profile(shingles: pa.Array, alone: pa.Array) -> pa.Array:
+        segment = lambda x: np.bincount((x >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64), minlength=1 << SEGMENT_BITS)
+        out = []
+        for own, not_shared in zip(shingles, alone, strict=True):
+            n = segment(np.frombuffer(own.as_py(), np.uint64))
+            if not_shared.is_valid:
+                n = n - segment(np.array(not_shared.as_py(), np.int64).view(np.uint64))
+            out.append(n.astype("<u4").tobytes())
+        return pa.array(out, pa.binary())
+
+    each = sets.select("doc", "shingles").mapInArrow(rows, "doc long, shingle long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("doc").alias("doc")).filter("_n = 1").groupBy("doc").agg(F.collect_list("shingle").alias("alone"))
+    return sets.join(alone, "doc", "left").select("doc", F.col("n").alias("size"), profile(F.col("shingles"), F.col("alone")).alias("profile"))
+
+
+def possible_pairs(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of documents and hubs of one bucket, in different components, whose profiles allow the similarity.
+
+    ``rows`` has bucket, doc, component, size, profile; ``hubs`` the same, at most ``HUBS`` a bucket, which meet the rows
+    as one list, so that what the join makes is in proportion to the rows.
+    """
+    listed = hubs.groupBy("bucket").agg(F.collect_list(F.struct("doc", "component", "size", "profile")).alias("hubs"))
+
+    @F.arrow_udf("array<long>")
+    def possible(doc: pa.Array, component: pa.Array, size: pa.Array, profile: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        hubs_ = lists.values
+        ids, comps, sizes = (hubs_.field(k).to_numpy() for k in range(3))
+        own = np.frombuffer(b"".join(hubs_.field(3).to_pylist()), "<u4").reshape(len(ids), -1)
+        cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for k, (d, c, n, p) in enumerate(zip(doc.to_pylist(), component.to_pylist(), size.to_pylist(), profile.to_pylist(), strict=True)):
+            at = slice(cut[k], cut[k + 1])
+            most = np.minimum(own[at], np.frombuffer(p, "<u4")).sum(axis=1)
+            ok = (100 * most >= percent * (sizes[at] + n - most)) & (comps[at] != c) & (ids[at] != d)
+            out.append(ids[at][ok])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    met = rows.join(listed, "bucket").select("doc", F.explode(possible(*map(F.col, ["doc", "component", "size", "profile", "hubs"]))).alias("hub"))
+    return met.select(F.least("hub", "doc").alias("u"), F.greatest("hub", "doc").alias("v")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    if needed.count() <= MAX_BROADCAST_IDS:
+        sets = sets.join(F.broadcast(needed), "doc", "left_semi")
     left = sets.select(F.col("doc").alias("u"), F.col("n").alias("n_u"), F.col("shingles").alias("s_u"))
     right = sets.select(F.col("doc").alias("v"), F.col("n").alias("n_v"), F.col("shingles").alias("s_v"))
     both = pairs.select("u", "v").join(left, "u").join(right, "v").withColumn("shared", shared_size(F.col("s_u"), F.col("s_v")))
     return both.filter(100 * F.col("shared") >= percent * (F.col("n_u") + F.col("n_v") - F.col("shared"))).select("u", "v")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-    joined = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    return joined.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).drop("_u", "_v")
-
-
 def _links(pairs: DataFrame, links: DataFrame | None, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``links`` and the confirmed ones of ``pairs``, but for those that join no components."""
+    """``links`` and the confirmed ones of ``pairs``."""
     n = BANDS * ROWS
     s = percent / 100
+    s += (1 - s) / 256  # two different minima share their last byte
     least = int(n * s - SIGMAS * (n * s * (1 - s)) ** 0.5)
     of = lambda c: sigs.select(F.col("doc").alias(c), F.col("sig").alias(f"_{c}"))
     likely = (
         pairs.join(of("u"), "u").join(of("v"), "v").withColumn("agree", agreement(F.col("_u"), F.col("_v")))
         .filter(F.col("agree") >= least).select("u", "v", "agree")
     )
-    likely = materialize(likely, "likely")
-    best = likely.groupBy("v").agg(F.max(F.struct("agree", (-F.col("u")).alias("less"))).alias("_b")).select((-F.col("_b.less")).alias("u"), "v")
-    found = _confirmed(best, sets, percent)
-    links = materialize(found if links is None else links.unionByName(found), "links")
-    rest = _apart(likely.select("u", "v").join(best, ["u", "v"], "left_anti"), components(links))
-    return materialize(links.unionByName(_confirmed(rest, sets, percent)), "links")
+    found = _confirmed(materialize(likely, "likely"), sets, percent)
+    return materialize(found if links is None else links.unionByName(found), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,33 +221,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = materialize(classes, "classes")
     reps = signed.join(classes.select("set_key", F.col("doc").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     buckets = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("doc"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("hub")).filter("n > 1")
-    buckets = materialize(buckets.join(shared, "bucket").select("bucket", "doc", "hub"), "buckets")
-    ids = materialize(buckets.select("doc").distinct(), "ids")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = materialize(buckets.join(shared, "bucket"), "buckets")
+    # How many a document meets in its buckets: an original meets more than its altered copies do, and is the better hub.
+    ids = materialize(buckets.groupBy("doc").agg(F.sum("n").alias("met")), "ids")
     sigs = materialize(reps.select(F.col("doc_id").alias("doc"), "sig").join(ids, "doc", "left_semi"), "sigs")
-    sets = materialize(full_sets(docs, ids, width, id_col, text_col), "sets")
-
-    links = _links(buckets.filter("doc <> hub").select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct(), None, sigs, sets, percent)
-    buckets = buckets.filter("doc <> hub").select("bucket", "doc")
+    sets = materialize(full_sets(docs, ids.select("doc"), width, id_col, text_col), "sets")
+    bounds = materialize(profiles(sets), "profiles")
+    buckets = materialize(buckets.drop("n").join(ids, "doc"), "buckets")
+    hub = buckets.groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("doc")).alias("less")))["less"]).alias("doc"))
+    single = lambda df: df.join(bounds, "doc").withColumn("component", F.col("doc"))
+    links = _links(possible_pairs(single(buckets.select("bucket", "doc")), single(hub), percent), None, sigs, sets, percent)
+    buckets = buckets.join(hub, ["bucket", "doc"], "left_anti")
+    comps = None
     while True:
-        comps = materialize(components(links), "components")
-        state = buckets.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-        state = materialize(state, "state")
+        if comps is None:
+            comps = materialize(components(links), "components")
+        state = buckets.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         mixed_ = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("component")).alias("less"))).alias("_top")).filter("kinds > 1")
-        mixed_ = mixed_.select("bucket", (-F.col("_top.less")).alias("largest"))
-        state = state.join(mixed_, "bucket")
-        outside = state.filter("component <> largest")
-        hubs = outside.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy("doc"))).filter(F.col("_k") <= HUBS)
-        hubs = materialize(hubs.select("bucket", F.col("doc").alias("hub"), F.col("component").alias("hub_component")), "hubs")
+        state = materialize(state.join(mixed_.select("bucket", (-F.col("_top.less")).alias("largest")), "bucket"), "state")
+        order = W.partitionBy("bucket").orderBy(F.desc("met"), "doc")
+        hubs = state.filter("component <> largest").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= HUBS)
+        hubs = materialize(hubs.select("bucket", "doc", "component"), "hubs")
         if hubs.isEmpty():
             break
-        pairs = (
-            state.join(hubs, "bucket").filter("component <> hub_component")
-            .select(F.least("hub", "doc").alias("u"), F.greatest("hub", "doc").alias("v")).distinct()
-        )
-        links = _links(pairs, links, sigs, sets, percent)
-        buckets = materialize(state.select("bucket", "doc").join(hubs.select("bucket", F.col("hub").alias("doc")), ["bucket", "doc"], "left_anti"), "buckets")
+        pairs = materialize(possible_pairs(state.select("bucket", "doc", "component").join(bounds, "doc"), hubs.join(bounds, "doc"), percent), "pairs")
+        if not pairs.isEmpty():
+            links, comps = _links(pairs, links, sigs, sets, percent), None
+        buckets = state.select("bucket", "doc", "met").join(hubs.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
 
     named = classes.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left")
     named = named.select("set_key", F.coalesce("component", "doc").alias("component"))
