@@ -30,12 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import arrow_rows, materialize
 from .components import components
 
 BANDS, ROWS = 32, 4
 HUBS = 64
 SEGMENT_BITS = 6
+#: A segment's count that stands for "so many or more".
+FULL = 65_535
+#: Rows in an Arrow batch where each row comes with its bucket's hubs.
+ROWS_WITH_HUBS = 1_000
 SIGMAS = 4.5
 #: Ids of documents whose sets are needed are broadcast up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -154,7 +158,7 @@ def profiles(sets: DataFrame) -> DataFrame:
             n = segment(np.frombuffer(own.as_py(), np.uint64))
             if not_shared.is_valid:
                 n = n - segment(np.array(not_shared.as_py(), np.int64).view(np.uint64))
-            out.append(n.astype("<u4").tobytes())
+            out.append(np.minimum(n, FULL).astype("<u2").tobytes())
         return pa.array(out, pa.binary())
 
     each = sets.select("doc", "shingles").mapInArrow(rows, "doc long, shingle long")
@@ -175,17 +179,19 @@ def possible_pairs(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
         out = []
         hubs_ = lists.values
         ids, comps, sizes = (hubs_.field(k).to_numpy() for k in range(3))
-        own = np.frombuffer(b"".join(hubs_.field(3).to_pylist()), "<u4").reshape(len(ids), -1)
+        own = np.frombuffer(b"".join(hubs_.field(3).to_pylist()), "<u2").reshape(len(ids), -1)
         cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         for k, (d, c, n, p) in enumerate(zip(doc.to_pylist(), component.to_pylist(), size.to_pylist(), profile.to_pylist(), strict=True)):
             at = slice(cut[k], cut[k + 1])
-            most = np.minimum(own[at], np.frombuffer(p, "<u4")).sum(axis=1)
+            least = np.minimum(own[at], np.frombuffer(p, "<u2"))
+            most = np.where((least == FULL).any(axis=1), np.minimum(sizes[at], n), least.sum(axis=1, dtype=np.int64))
             ok = (100 * most >= percent * (sizes[at] + n - most)) & (comps[at] != c) & (ids[at] != d)
             out.append(ids[at][ok])
         return pa.array(out, pa.list_(pa.int64()))
 
     met = rows.join(listed, "bucket").select("doc", F.explode(possible(*map(F.col, ["doc", "component", "size", "profile", "hubs"]))).alias("hub"))
-    return met.select(F.least("hub", "doc").alias("u"), F.greatest("hub", "doc").alias("v")).distinct()
+    with arrow_rows(rows.sparkSession, ROWS_WITH_HUBS):
+        return materialize(met.select(F.least("hub", "doc").alias("u"), F.greatest("hub", "doc").alias("v")).distinct(), "pairs")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         hubs = materialize(hubs.select("bucket", "doc", "component"), "hubs")
         if hubs.isEmpty():
             break
-        pairs = materialize(possible_pairs(state.select("bucket", "doc", "component").join(bounds, "doc"), hubs.join(bounds, "doc"), percent), "pairs")
+        pairs = possible_pairs(state.select("bucket", "doc", "component").join(bounds, "doc"), hubs.join(bounds, "doc"), percent)
         if not pairs.isEmpty():
             links, comps = _links(pairs, links, sigs, sets, percent), None
         buckets = state.select("bucket", "doc", "met").join(hubs.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
