@@ -40,6 +40,8 @@ SEGMENT_BITS = 6
 FULL = 65_535
 #: Rows in an Arrow batch where each row comes with its bucket's hubs.
 ROWS_WITH_HUBS = 1_000
+#: And where each comes with its text.
+ROWS_WITH_TEXTS = 2_000
 SIGMAS = 4.5
 #: Ids of documents whose sets are needed are broadcast up to this many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST_IDS = 1_000_000
@@ -222,7 +224,8 @@ def _links(pairs: DataFrame, links: DataFrame | None, sigs: DataFrame, sets: Dat
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row; links are pairs with ``100 * shared >= percent * united``."""
-    signed = materialize(signatures(docs, width, id_col, text_col), "signed")
+    with arrow_rows(docs.sparkSession, ROWS_WITH_TEXTS):
+        signed = materialize(signatures(docs, width, id_col, text_col), "signed")
     classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"))
     classes = materialize(classes, "classes")
     reps = signed.join(classes.select("set_key", F.col("doc").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
