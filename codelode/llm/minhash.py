@@ -219,7 +219,8 @@ def _links(pairs: DataFrame, links: DataFrame | None, sigs: DataFrame, sets: Dat
         .filter(F.col("agree") >= least).select("u", "v", "agree")
     )
     found = _confirmed(materialize(likely, "likely"), sets, percent)
-    return materialize(found if links is None else links.unionByName(found), "links")
+    with arrow_rows(sets.sparkSession, ROWS_WITH_TEXTS):
+        return materialize(found if links is None else links.unionByName(found), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
