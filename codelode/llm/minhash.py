@@ -34,12 +34,12 @@ from .common import arrow_rows, materialize
 from .components import components
 
 BANDS, ROWS = 32, 4
-HUBS = 64
+HUBS = 256
 SEGMENT_BITS = 6
 #: A segment's count that stands for "so many or more".
 FULL = 65_535
 #: Rows in an Arrow batch where each row comes with its bucket's hubs.
-ROWS_WITH_HUBS = 1_000
+ROWS_WITH_HUBS = 500
 #: And where each comes with its text.
 ROWS_WITH_TEXTS = 2_000
 SIGMAS = 4.5
@@ -179,7 +179,7 @@ def possible_pairs(rows: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     @F.arrow_udf("array<long>")
     def possible(doc: pa.Array, component: pa.Array, size: pa.Array, profile: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
-        hubs_ = lists.values
+        hubs_ = lists.flatten()
         ids, comps, sizes = (hubs_.field(k).to_numpy() for k in range(3))
         own = np.frombuffer(b"".join(hubs_.field(3).to_pylist()), "<u2").reshape(len(ids), -1)
         cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -207,8 +207,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("shared") >= percent * (F.col("n_u") + F.col("n_v") - F.col("shared"))).select("u", "v")
 
 
-def _links(pairs: DataFrame, links: DataFrame | None, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``links`` and the confirmed ones of ``pairs``."""
+def _links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The confirmed ones of ``pairs``."""
     n = BANDS * ROWS
     s = percent / 100
     s += (1 - s) / 256  # two different minima share their last byte
@@ -218,9 +218,8 @@ def _links(pairs: DataFrame, links: DataFrame | None, sigs: DataFrame, sets: Dat
         pairs.join(of("u"), "u").join(of("v"), "v").withColumn("agree", agreement(F.col("_u"), F.col("_v")))
         .filter(F.col("agree") >= least).select("u", "v", "agree")
     )
-    found = _confirmed(materialize(likely, "likely"), sets, percent)
     with arrow_rows(sets.sparkSession, ROWS_WITH_TEXTS):
-        return materialize(found if links is None else links.unionByName(found), "links")
+        return materialize(_confirmed(materialize(likely, "likely"), sets, percent), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,12 +241,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     buckets = materialize(buckets.drop("n").join(ids, "doc"), "buckets")
     hub = buckets.groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("doc")).alias("less")))["less"]).alias("doc"))
     single = lambda df: df.join(bounds, "doc").withColumn("component", F.col("doc"))
-    links = _links(possible_pairs(single(buckets.select("bucket", "doc")), single(hub), percent), None, sigs, sets, percent)
+    links = _links(possible_pairs(single(buckets.select("bucket", "doc")), single(hub), percent), sigs, sets, percent)
     buckets = buckets.join(hub, ["bucket", "doc"], "left_anti")
-    comps = None
+    comps = materialize(components(links), "components")
     while True:
-        if comps is None:
-            comps = materialize(components(links), "components")
         state = buckets.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         sizes = state.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         mixed_ = sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.max(F.struct("n", (-F.col("component")).alias("less"))).alias("_top")).filter("kinds > 1")
@@ -259,7 +256,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             break
         pairs = possible_pairs(state.select("bucket", "doc", "component").join(bounds, "doc"), hubs.join(bounds, "doc"), percent)
         if not pairs.isEmpty():
-            links, comps = _links(pairs, links, sigs, sets, percent), None
+            # The stars found so far stand for the links that made them.
+            stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comps = materialize(components(stars.unionByName(_links(pairs, sigs, sets, percent))), "components")
         buckets = state.select("bucket", "doc", "met").join(hubs.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
 
     named = classes.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left")
