@@ -33,7 +33,7 @@ SHARE = 0.02
 #: Words without evidence added to each text, so that one odd word doesn't decide a very short one.
 FEW = 6
 #: Words scored at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 def grams(data: bytes, order: int = ORDER) -> np.ndarray:
