@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.bpe import decode_ids, encode_texts
-from codelode.llm.common import materialize, table
+from codelode.llm.common import arrow_rows, materialize, table
 from codelode.llm.minhash import MAX_BROADCAST_IDS, near_duplicates
 from codelode.llm.mixing import mix_sources
 from codelode.llm.queries import held_out, tokenizer_path
@@ -18,12 +18,15 @@ from codelode.llm.repeats import remove_repeats, text_of
 from codelode.llm.toxicity import learn_toxicity, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows in an Arrow batch of whole texts, so that the Python workers of one stage leave room for the next stage's.
+TEXTS_AT_ONCE = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model predicts to be toxic."""
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    return score_toxicity(docs, model).filter("predicted = 0").select(*COLUMNS)
+    with arrow_rows(spark, TEXTS_AT_ONCE):
+        return materialize(score_toxicity(docs, model).filter("predicted = 0").select(*COLUMNS), "ordinary")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier in the corpus; characters split by a cut go."""
-    left = remove_repeats(docs.select(*COLUMNS)).withColumn("text", text_of(F.col("kept")))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    with arrow_rows(spark, TEXTS_AT_ONCE):
+        left = remove_repeats(docs.select(*COLUMNS)).withColumn("text", text_of(F.col("kept")))
+        return materialize(left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS), "cut")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
