@@ -39,8 +39,6 @@ class Bpe:
     """Ids of whole texts, and texts of ids, for one byte-level vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -58,7 +56,16 @@ class Bpe:
         self.table: list[bytes] = [b""] * (1 + max([*ranks.values(), *self.special.values()]))
         for t, i in [*ranks.items(), *((t.encode(), i) for t, i in self.special.items())]:
             self.table[i] = t
-        self.model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.ranks, self._model = ranks, None
+
+    @property
+    def model(self):
+        """The merging part, which is large; decoding does without."""
+        if self._model is None:
+            import tiktoken
+
+            self._model = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
+        return self._model
 
     def encode(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
@@ -110,9 +117,12 @@ def _ids(data: bytes) -> list[int]:
 def _encode_udf(path: str):
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = load(path)
-        for texts in batches:
-            yield pa.array([_bytes(bpe.encode(t.as_py() or "")) for t in texts], pa.binary())
+        try:
+            for texts in batches:
+                bpe = load(path)
+                yield pa.array([_bytes(bpe.encode(t.as_py() or "")) for t in texts], pa.binary())
+        finally:
+            load.cache_clear()  # the worker may go on to other stages
 
     return encode
 
