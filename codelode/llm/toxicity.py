@@ -2,12 +2,14 @@
 
 Two models of the next byte, one learned from toxic and one from ordinary texts, share all their lower orders: only the
 highest order counts by class, and both back off to the same interpolated Kneser-Ney model of continuation counts over
-the texts of either class. So an expression that neither class has says nothing, and a rare one says as much as its own
+all texts, labelled or not. So an expression that neither class has says nothing, and a rare one says as much as its own
 counts. A text's evidence is the difference of the two log-likelihoods divided by its length; a logistic curve fitted on
 labelled rows that the counts have not seen turns it into a score.
 
-Counts are learned from at most ``MAX_LABELLED`` labelled texts a class (the first by a seeded digest), the curve from as
-many others; all texts are scored whole. ``spark`` counts the n-grams; the tables broadcast are bounded by that sample.
+Counts are learned from all labelled texts but those of the curve: of one half of the labels (by a seeded digest) at most
+``MAX_LABELLED`` a class, weighted back to that half's numbers of either class, so that neither the curve's intercept nor a
+score follows the cap. All texts are scored whole. ``spark`` counts the n-grams; what the driver collects grows with the
+different n-grams of all texts, and the tables broadcast with those of the labelled ones.
 
 Nulls and empty texts have no evidence (difference 0) and get the score of that. Null labels are not learned from; of
 repeated labels the lowest counts. Without labelled rows of both classes every score is 0. Equal texts get equal scores.
@@ -34,6 +36,8 @@ SHARE = 0.02
 FEW = 6
 #: Words scored at once.
 CHUNK = 1 << 13
+#: Texts counted at once, and the different n-grams at which a task hands its counts on.
+TEXTS, HELD = 256, 1 << 20
 
 
 def grams(data: bytes, order: int = ORDER) -> np.ndarray:
@@ -127,11 +131,13 @@ def shared_probability(keys: np.ndarray, order: int) -> np.ndarray:
 
 
 def build(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
-    """``keys``: distinct n-grams in order, with their counts in either class."""
+    """``keys``: distinct n-grams of all texts in order, with their counts in either class (both 0 in unlabelled texts only)."""
     if not len(keys) or not ordinary.any() or not toxic.any():
         none = np.array([], np.uint64)
         return Model(none, none.astype(np.float32), none, none.astype(np.float32))
     lower, p = shared_probability(keys, ORDER - 1)
+    labelled = ordinary + toxic > 0
+    keys, ordinary, toxic = keys[labelled], ordinary[labelled], toxic[labelled]
     shared = p[np.searchsorted(lower, keys & np.uint64((1 << (8 * (ORDER - 1))) - 1))]
     contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
     logs, gammas = [], []
@@ -145,17 +151,18 @@ def build(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
     return Model(keys, (logs[0] - logs[1]).astype(np.float32), contexts, (gammas[0] - gammas[1]).astype(np.float32))
 
 
-def fit_curve(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve by Newton's method, slightly regularised."""
+def fit_curve(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 60, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve by Newton's method, slightly regularised; ``weight`` is how many rows each stands for."""
     if not toxic.any() or toxic.all():
         return 0.0, -50.0
-    scale = float(evidence.std()) or 1.0
+    weight = np.ones(len(evidence)) if weight is None else weight
+    scale = float(np.sqrt(np.average((evidence - np.average(evidence, weights=weight)) ** 2, weights=weight))) or 1.0
     x = np.stack([evidence / scale, np.ones(len(evidence))], 1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        grad = x.T @ (p - toxic) + np.array([0.02, 0.0]) * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.02, 1e-6])
+        grad = x.T @ (weight * (p - toxic)) + np.array([0.02, 0.0]) * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.02, 1e-6])
         step = np.linalg.solve(hess, grad)
         w -= step / max(1.0, float(np.abs(step).max()) / 4)
     return float(w[0]) / scale, float(w[1])
@@ -164,39 +171,57 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 60) -> tupl
 _COUNTS = "gram long, toxic long, ordinary long"
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their rows (toxic, ordinary)."""
+    own, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.concatenate([n for _, n in parts])
+    return own, np.stack([np.bincount(place, n[:, k], len(own)) for k in (0, 1)], 1).astype(np.int64)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of (text, toxic) by class; a null class is counted in neither."""
+
+    def rows(own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], ["gram", "toxic", "ordinary"])
+
+    held = np.array([], np.uint64), np.zeros((0, 2), np.int64)
     for batch in batches:
-        keys, ns, kinds = [], [], []
-        for text, kind in zip(batch.column(0), batch.column(1), strict=True):
-            key, n = np.unique(informative(grams(document_words(text.as_py() or ""))), return_counts=True)
-            keys.append(key), ns.append(n), kinds.append(np.full(len(key), kind.as_py()))
-        if keys:
-            key, n, kind = np.concatenate(keys), np.concatenate(ns), np.concatenate(kinds)
-            own, place = np.unique(key, return_inverse=True)
-            both = [np.bincount(place, n * (kind == k), len(own)).astype(np.int64) for k in (1, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *map(pa.array, both)], ["gram", "toxic", "ordinary"])
+        for at in range(0, batch.num_rows, TEXTS):
+            texts: dict[int | None, list[bytes]] = {}
+            for text, kind in zip(*(batch.column(k).slice(at, TEXTS) for k in (0, 1)), strict=True):
+                texts.setdefault(kind.as_py(), []).append(document_words(text.as_py() or ""))
+            parts = [held]
+            for kind, some in texts.items():
+                own, n = np.unique(informative(grams(b"".join(some))), return_counts=True)
+                parts.append((own, np.stack([n * (kind == 1), n * (kind == 0)], 1)))
+            held = _merged(parts)
+            if len(held[0]) > HELD:
+                yield rows(*held)
+                held = held[0][:0], held[1][:0]
+    yield rows(*held)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 5) -> Model:
     """The model of ``labels`` (doc_id, toxic 0 or 1) over the texts of ``docs``."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"))
     digest = seeded_digest(seed, F.col("doc_id"))
-    parts = []
-    for kind in (0, 1):
-        for fold in (0, 1):
-            own = known.filter((F.col("toxic") == kind) & (F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == fold))
-            parts.append(own.orderBy(digest, "doc_id").limit(max_labelled).withColumn("fold", F.lit(fold)))
-    some = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    # At most 4 * max_labelled rows of three numbers are broadcast, and as many texts learned from.
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    half = known.filter(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1)
+    ours = [half.filter(F.col("toxic") == kind).orderBy(digest, "doc_id").limit(max_labelled) for kind in (0, 1)]
+    # At most 2 * max_labelled rows of two numbers are broadcast for the curve; what they stand for is two counts.
+    some = F.broadcast(ours[0].unionByName(ours[1]))
+    counts = known.join(some.select("doc_id"), "doc_id", "left_anti")
     counted = (
-        texts.filter("fold = 0").select("text", "toxic").mapInArrow(_count_grams, _COUNTS)
+        docs.select("doc_id", "text").join(counts, "doc_id", "left").select("text", "toxic").mapInArrow(_count_grams, _COUNTS)
         .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     ).toPandas()
     counted = counted.sort_values("gram")
     model = build(counted["gram"].to_numpy().astype(np.uint64), counted["ordinary"].to_numpy(), counted["toxic"].to_numpy())
-    seen = texts.filter("fold = 1").select("toxic", evidence(model, F.col("text")).alias("x")).toPandas()
-    model.slope, model.intercept = fit_curve(seen["x"].to_numpy(), seen["toxic"].to_numpy().astype(float))
+    del counted
+    seen = docs.select("doc_id", "text").join(some, "doc_id").select("toxic", evidence(model, F.col("text")).alias("x")).toPandas()
+    stands_for = {r.toxic: r.n / min(r.n, max_labelled) for r in half.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic = seen["toxic"].to_numpy().astype(float)
+    weight = np.where(toxic > 0, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
+    model.slope, model.intercept = fit_curve(seen["x"].to_numpy(), toxic, weight=weight)
     return model
 
 

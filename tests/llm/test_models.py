@@ -48,6 +48,27 @@ def test_an_unknown_suffix_of_a_rare_expression_counts(spark):
     assert model.evidence(plain + " loweiung") > 5 * abs(model.evidence(plain + " qqzzung"))
 
 
+def test_toxicity_does_not_follow_the_cap(spark):
+    rows = [(i, t, 0) for i, t in enumerate(texts(400, 7, False))] + [(10_000 + i, t + " rareword" * (i == 3), 1) for i, t in enumerate(texts(40, 8, True))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    whole, capped = toxicity.learn_toxicity(docs, labels), toxicity.learn_toxicity(docs, labels, max_labelled=15)
+    # All texts but the curve's are counted, however few the curve takes.
+    assert len(capped.seen) >= len(whole.seen)
+    # The curve keeps the labels' share of one in eleven, as without a cap.
+    assert toxicity.fit_curve(np.zeros(30), np.repeat([0.0, 1.0], 15), weight=np.repeat([10.0, 1.0], 15))[1] == pytest.approx(-np.log(10), abs=1e-3)
+    plain = " ".join(WORDS)
+    score = [m.score(m.evidence(plain)) for m in (whole, capped)]
+    assert abs(score[0] - score[1]) < 0.1
+
+
+def test_unlabelled_texts_count_in_the_lower_orders(spark):
+    docs, labels = labelled(spark, 60)
+    more = docs.unionByName(spark.createDataFrame([(90_000 + i, t) for i, t in enumerate(texts(60, 9, False))], docs.schema))
+    one, two = toxicity.learn_toxicity(docs, labels), toxicity.learn_toxicity(more.withColumn("text", F.concat("text", F.when(F.col("doc_id") >= 90_000, " zzideo wwidiotic").otherwise(""))), labels)
+    assert (one.seen == two.seen).all() and not np.allclose(one.seen_llr, two.seen_llr)
+
+
 def test_kneser_ney_sums_to_one():
     keys = np.unique(toxicity.grams(toxicity.document_words("the cat and the dog and the cow ran then")))
     for order in (2, 3):
