@@ -5,7 +5,8 @@ its neighbours, and where it stands (in a menu, header, footer, aside, form or t
 under a class, id or role that names a notice, advert, comment list and so on; in a heading). A decision tree trained on
 the labelled table below keeps or drops it. Kept blocks are joined by newlines; white space inside one is a blank.
 
-Nulls and pages without text give an empty text. Unclosed tags, comments and scripts end as browsers end them. Nothing is
+Nulls and pages without text give an empty text. Unclosed tags, comments and scripts end as browsers end them: only raw
+text (``RAW``) and templates run to the page's end, a button or drawing ends with its parent. Nothing is
 cut: the whole page is read, however long. Equal pages give equal texts; other columns are not read.
 """
 
@@ -80,8 +81,14 @@ LABELLED = """
 """
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody tfoot thead tr ul".split())
-SPACES = frozenset("br td th wbr img button label".split()) - {"wbr"}
-SKIPPED = frozenset("script style title noscript template textarea iframe svg math object canvas audio video noembed noframes xmp select button datalist".split())
+SPACES = frozenset("br td th wbr img button label object".split()) - {"wbr"}
+#: Elements without main text: what is up to the end tag of the first is no markup, the others are open elements.
+RAW = frozenset("script style title noscript textarea iframe noembed noframes xmp".split())
+DROPPED = frozenset("template svg canvas audio video select button datalist".split())
+#: Start tags that end a drawing, parts of one that hold HTML, and start tags that end a table's cell.
+LEAVE_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+WITHIN_SVG = frozenset("foreignobject desc title style script".split())
+CELLS = frozenset("td th tr tbody thead tfoot caption".split())
 ASIDES = frozenset("nav footer aside form menu dialog search head fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -113,11 +120,46 @@ def named(attributes: str) -> bool:
     return any(NAMES.search(CAMEL.sub("-", a or b or c).lower()) for a, b, c in ATTRIBUTE.findall(attributes))
 
 
+def still_dropped(inner: list[str], closing: bool, name: str, attributes: str, parents: list) -> bool:
+    """Whether a tag leaves the dropped element ``inner[0]`` open or is its own end; ``inner`` has the open elements from there on."""
+    if "template" in inner and not (name in inner and closing):
+        parents = []
+    elif name in CELLS and "table" not in inner:
+        inner.clear()  # the cell around it ends
+        return False
+    if closing:
+        if name in inner:
+            while inner.pop() != name:
+                pass
+            return True
+        if any(x[0] == name for x in parents):
+            inner.clear()
+        return bool(inner)
+    if attributes.endswith("/") or name in VOID and inner[-1] != "svg":
+        return True
+    if inner[-1] == "svg":
+        if name in LEAVE_SVG:
+            inner.pop()
+            if not inner:
+                return False
+        elif name in WITHIN_SVG:
+            inner.append(name)
+    if name in ("button", "select") and name in inner:
+        while inner.pop() != name:
+            pass
+        if name == "select":
+            return True
+    if name in BLOCKS and name not in VOID or name in DROPPED:
+        inner.append(name)
+    return True
+
+
 def text_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     open_: list[tuple[str, bool, bool, bool]] = []  # tag, aside, main, named
     parts: list[str] = []
     linked: list[str] = []
+    inner: list[str] = []  # open elements from a dropped one on
     links = 0
     heading = False
     has_main = False
@@ -138,7 +180,7 @@ def text_blocks(page: str) -> list[Block]:
     while at < end:
         tag = TAG.search(page, at)
         piece = page[at : tag.start() if tag else end]
-        if piece:
+        if piece and not inner:
             parts.append(piece)
             if links:
                 linked.append(piece)
@@ -149,10 +191,16 @@ def text_blocks(page: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
-        if name in SKIPPED and not closing:
+        raw = name in RAW and not closing and not (inner and inner[-1] == "svg")
+        if inner and not raw and still_dropped(inner, bool(closing), name, attributes, open_):
+            continue
+        if raw or name in DROPPED and not closing:
             if not attributes.endswith("/"):
-                over = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-                at = over.end() if over else end
+                if raw:
+                    over = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+                    at = over.end() if over else end
+                else:
+                    inner.append(name)
             parts.append(" ")
             continue
         if name == "a":

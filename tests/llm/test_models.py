@@ -146,6 +146,25 @@ def test_page_column(spark):
     assert got == {i: w for i, (_, w) in enumerate(PAGES)}
 
 
+LONG = "Some words of an article that go on for a while and end here."
+
+
+@pytest.mark.parametrize("page,want", [
+    *[(f"<div><{x}>Menu</div><article><p>{LONG}</p></article>", LONG) for x in ("button", "select", "svg", "video", "audio", "canvas", "datalist")],
+    (f"<article><p>{LONG} <button>Share</p><p>{LONG}</article>", f"{LONG}\n{LONG}"),
+    (f"<table><tr><td><button>Menu</td></tr></table><article><p>{LONG}</p></article>", LONG),
+    (f"<article><svg><path d=''><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}<svg><title>t</svg> Yes.</p></article>", f"{LONG} Yes."),
+    (f"<article><p>{LONG}<svg><foreignObject><div>no</div></foreignObject><text>no</text></svg> Yes.</p></article>", f"{LONG} Yes."),
+    (f"<article><p>{LONG}<button><div>no</div> no</button> Yes.</p></article>", f"{LONG} Yes."),
+    (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <object data=a>Shown instead</object></p></article>", f"{LONG} x=1 Shown instead"),
+    (f"<article><p>{LONG}<template><p>no</p></div></template> Yes.</p></article>", f"{LONG} Yes."),
+    (f"<article><p>{LONG}</p><script>open", LONG),
+])
+def test_elements_left_open(page, want):
+    assert main_text(page) == want
+
+
 def test_a_very_long_page():
     body = "".join(f"<p>paragraph {i}</p>" for i in range(20_000))
     assert main_text(f"<article>{body}</article>").count("\n") == 19_999
