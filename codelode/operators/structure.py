@@ -151,14 +151,16 @@ def import_targets(tokens: DataFrame) -> DataFrame:
     before, running = F.lag("type", 1, "NEWLINE").over(in_file()), in_file().rowsBetween(1, 64)
     code = tokens.filter(~F.col("type").isin(*CODE_COMMENTS))
     following = F.collect_list(F.struct("type", "value")).over(running)
-    some = code.withColumns({"_before": before, "_after": following})
+    # The statement's string, however far: read backwards, so that no row reads the rest of its file again.
+    backwards = W.partitionBy("path").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
+    module = F.last(F.when(F.col("type") == "STRING", F.col("value")).when(is_value("value", ";"), ""), True).over(backwards)
+    some = code.withColumns({"_before": before, "_after": following, "_module": module})
     run = lambda stop: F.array_join(F.transform(F.slice("_after", 1, F.greatest(F.coalesce(F.array_position(F.transform("_after", stop), True), F.size("_after").cast("long") + 1).cast("int") - 1, F.lit(0))), lambda x: x["value"]), "")
-    text = F.get(F.filter("_after", lambda x: x["type"] == "STRING"), F.lit(0))["value"]
     target = (
         F.when((F.col("language") == "cpp") & F.col("value").startswith("#include"), F.regexp_extract("value", r'^#include\s*"([^"]*)"', 1))
         .when((F.col("language") == "python") & F.col("value").isin("import", "from") & (F.col("_before") == "NEWLINE"), run(lambda x: (x["type"] == "NEWLINE") | (x["value"].isin("import", "as", ","))))
         .when((F.col("language") == "java") & (F.col("value") == "import"), F.regexp_replace(run(lambda x: x["value"] == ";"), "^static", ""))
-        .when(F.col("language").isin("javascript", "typescript") & (F.col("type") == "KEYWORD") & (F.col("value") == "import"), F.coalesce(F.regexp_replace(text, "^['\"`]|['\"`]$", ""), F.lit("")))
+        .when(F.col("language").isin("javascript", "typescript") & (F.col("type") == "KEYWORD") & (F.col("value") == "import"), F.coalesce(F.regexp_replace("_module", "^['\"`]|['\"`]$", ""), F.lit("")))
         .when((F.col("language") == "csharp") & (F.col("type") == "KEYWORD") & (F.col("value") == "using") & (F.get("_after", F.lit(0))["value"] != "("), F.regexp_replace(run(lambda x: x["value"] == ";"), "^static|^.*=", ""))
     )
     return some.select("path", target.alias("target")).filter("target is not null")

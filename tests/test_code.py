@@ -50,6 +50,13 @@ def test_metrics_add_up(table, files):
     assert rows["b.h"].comment_lines == 2
 
 
+def test_long_imports(spark):
+    names = "".join(f"  name{i},\n" for i in range(200))
+    rows = [(f"a.{x}", language, f'import {{\n{names}}} from "./far";\nimport b from "./near"\nimport c;\nlet d = "no module";\n') for x, language in (("js", "javascript"), ("ts", "typescript"))]
+    got = sorted((r.path, r.target) for r in import_targets(tokens(spark.createDataFrame(rows, "path string, language string, content string"))).collect())
+    assert got == [(p, t) for p in ("a.js", "a.ts") for t in ("", "./far", "./near")]
+
+
 def test_imports(table):
     found = {}
     for r in import_targets(table).collect():
