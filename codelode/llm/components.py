@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -31,16 +31,18 @@ def _state(edges: DataFrame):
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v); the component is its least node.
 
     Nulls and loops are no links; repeated links count once; no links, no rows. Group minima and joins alone: a node with
     very many links is never collected.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     edges = edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct()
-    edges, state = materialize(edges, "links"), None
+    edges, state = scratch.write(edges, "links"), None
     while (now := _state(edges)) != state:
-        state = now
-        edges = materialize(small_star(large_star(edges)), "links")
+        state, before = now, edges
+        edges = scratch.write(small_star(large_star(edges)), "links")
+        scratch.drop(before)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import decode_ids, encode_texts
 from .chat import chain_messages, format_chat, masked_text, read_chat, reply_paths
-from .common import fresh_path, materialize, table
+from .common import fresh_path, materialize, small_batches, table
 from .html_text import extract_main_text
 from .media import describe_media, read_media, write_media
 from .minhash import near_duplicates
@@ -25,6 +25,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = tokenizer_path()
     encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids")
     return encoded.withColumn("decoded", decode_ids(F.col("ids"), path)).select(
@@ -40,6 +41,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
@@ -83,17 +85,20 @@ FROM f
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     folder = fresh_path(spark, "media")
     write_media(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
     return describe_media(read_media(spark, folder)).select(
@@ -102,6 +107,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_from(docs, table(spark, sf_dir, "labels"))
     c = F.col("counts")
@@ -112,6 +118,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     texts = pages.select("page_id", "url", extract_main_text(F.col("html")).alias("text"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -19,7 +19,8 @@ Within a batch equal contexts (and windows of crowded keys) are settled before t
 a third of all documents share costs one row a batch. Hashes have 64 bits.
 
 Nulls and empty texts have no bytes. A null id takes no part and keeps its text. Rows that repeat one doc_id and text are
-one document, each row gets its result. Empty tables give empty results. Other columns pass through.
+one document, each row gets its result; rows with one doc_id and different texts are not supported: an id is a place in the
+corpus. Empty tables give empty results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 LENGTH = L = 100
 GRAM = 32
@@ -298,31 +299,39 @@ def cut_stretches(data: bytes, starts, ends) -> tuple[bytes, int]:
     return np.frombuffer(data, np.uint8)[~inside].tobytes(), spans
 
 
-_CUT = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_spans", T.LongType())])
+def _cut_udf(as_text: bool):
+    kind = pa.string() if as_text else pa.binary()
 
+    @F.arrow_udf(T.StructType([T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
+    def cut(data: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        kept, removed, spans = [], [], []
+        for d, a, b in zip(data, starts, ends, strict=True):
+            whole = d.as_py()
+            left, n = cut_stretches(whole, a.values.to_numpy(), b.values.to_numpy()) if a.is_valid else (whole, 0)
+            kept.append(left.decode("utf-8", "ignore") if as_text else left), removed.append(len(whole) - len(left)), spans.append(n)
+        return pa.StructArray.from_arrays([pa.array(kept, kind), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_removed", "n_spans"])
 
-@F.arrow_udf(_CUT)
-def cut_udf(data: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    out = [cut_stretches(d.as_py(), a.as_py(), b.as_py()) if a.is_valid else (d.as_py(), 0) for d, a, b in zip(data, starts, ends, strict=True)]
-    return pa.StructArray.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([n for _, n in out], pa.int64())], ["kept", "n_spans"])
+    return cut
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the text, and n_bytes, n_removed, n_spans and kept: what is left of the text's bytes."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """The input without the text, and n_bytes, n_removed, n_spans and kept: what is left of the text's bytes.
+
+    ``as_text``: kept is a text, without the parts of characters that a cut has split. Columns of the input with the
+    names of the results are replaced.
+    """
+    small_batches(docs.sparkSession)
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), data.alias("data"), F.struct(*[c for c in docs.columns if c != text_col]).alias("_row"))
+    results = {"n_bytes", "n_removed", "n_spans", "kept"}
+    own = [c for c in docs.columns if c != text_col and c not in results]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), data.alias("data"), F.struct(*[F.col(f"`{c}`") for c in own], F.lit(0).alias("_cut_none")).alias("_row"))
     found = materialize(repeated_stretches(rows.filter("doc is not null").select("doc", "data")).distinct(), "stretches")
     listed = found.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list(F.col("end")).alias("ends"))
     some, rest = _with_ids(rows, found.select("doc"))
-    changed = some.join(listed, "doc", "left").withColumn("_cut", cut_udf(F.col("data"), F.col("starts"), F.col("ends")))
-    size, zero = F.octet_length("data").cast("long"), F.lit(0).cast("long")
-    kept = F.col("_cut.kept")
-    return changed.select("_row.*", size.alias("n_bytes"), (size - F.octet_length(kept)).cast("long").alias("n_removed"), F.col("_cut.n_spans"), kept.alias("kept")).unionByName(
-        rest.select("_row.*", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("data").alias("kept"))
+    changed = some.join(listed, "doc", "left").withColumn("_cut", _cut_udf(as_text)(F.col("data"), F.col("starts"), F.col("ends")))
+    size, zero = F.octet_length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    columns = [F.col("_row")[c].alias(c) for c in own]
+    whole = F.col("data").cast("string") if as_text else F.col("data")
+    return changed.select(*columns, size, "_cut.n_removed", "_cut.n_spans", "_cut.kept").unionByName(
+        rest.select(*columns, size, zero.alias("n_removed"), zero.alias("n_spans"), whole.alias("kept"))
     )
-
-
-@F.arrow_udf(T.StringType())
-def text_of(kept: pa.Array) -> pa.Array:
-    """Bytes as text; the parts of characters that a cut has split go."""
-    return pa.array([x.as_py().decode("utf-8", "ignore") for x in kept], pa.string())

@@ -10,27 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.llm.bpe import decode_ids, encode_texts
-from codelode.llm.common import arrow_rows, materialize, table
+from codelode.llm.common import materialize, small_batches, table
 from codelode.llm.minhash import MAX_BROADCAST_IDS, near_duplicates
 from codelode.llm.mixing import mix_sources
 from codelode.llm.queries import held_out, tokenizer_path
-from codelode.llm.repeats import remove_repeats, text_of
+from codelode.llm.repeats import remove_repeats
 from codelode.llm.toxicity import learn_toxicity, score_toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Rows in an Arrow batch of whole texts, so that the Python workers of one stage leave room for the next stage's.
-TEXTS_AT_ONCE = 1_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model predicts to be toxic."""
+    small_batches(spark)
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(~held_out()))
-    with arrow_rows(spark, TEXTS_AT_ONCE):
-        return materialize(score_toxicity(docs, model).filter("predicted = 0").select(*COLUMNS), "ordinary")
+    return score_toxicity(docs, model).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates (five words, similarity 0.8)."""
+    small_batches(spark)
     found = near_duplicates(docs, width=5, percent=80)
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     if gone.count() <= MAX_BROADCAST_IDS:
@@ -40,9 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that start earlier in the corpus; characters split by a cut go."""
-    with arrow_rows(spark, TEXTS_AT_ONCE):
-        left = remove_repeats(docs.select(*COLUMNS)).withColumn("text", text_of(F.col("kept")))
-        return materialize(left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS), "cut")
+    left = remove_repeats(docs.select(*COLUMNS), as_text=True).withColumnRenamed("kept", "text")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, little-endian unsigned 32-bit, and digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     path = tokenizer_path()
     encoded = encode_texts(docs.select("doc_id", "source", "text"), path).select("doc_id", "source", "ids")
     return encoded.select(
