@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 #: The pattern of the byte-level pre-tokeniser (fixed value, from the tokenizers library).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,6 +116,7 @@ def _ids(data: bytes) -> list[int]:
 
 def _encode_udf(path: str):
     @F.arrow_udf("binary")
+    @tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         try:
             for texts in batches:
@@ -173,6 +174,7 @@ def decode_ids(ids: Column, path: str) -> Column:
     """Text of ids as written by ``encode_texts``; bytes that are no UTF-8 become U+FFFD."""
 
     @F.arrow_udf("string")
+    @tidy
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(path)
         for arrays in batches:

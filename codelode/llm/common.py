@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +38,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(function):
+    """An Arrow function over batches whose freed memory goes back to the system at its end, since workers stay for later tasks."""
+
+    @functools.wraps(function)
+    def tidied(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder; it survives the loss of executors."""
     path = fresh_path(df.sparkSession, name)

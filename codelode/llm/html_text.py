@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "named", "heading"]
 
 #: Labelled blocks: the features in order, then 1 for main text. ``main`` is 0.5 where the page has no main element.
@@ -290,6 +292,7 @@ def extract_main_text(page: Column) -> Column:
     """The main text of a column of pages."""
 
     @F.arrow_udf("string")
+    @tidy
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tree = trained_tree()
         for pages in batches:

@@ -226,6 +226,7 @@ def describe_media(media: DataFrame) -> DataFrame:
     kinds = {"string": pa.string(), "long": pa.int64()}
     fields = [(n, kinds[k]) for n, k in (x.split(" ") for x in DESCRIBED.split(", "))]
 
+    @tidy
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

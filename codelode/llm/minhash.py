@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -94,6 +94,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     """doc_id, n_shingles, set_key, sig (the last byte of each minimum), bands; the last three null for an empty set."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
@@ -113,10 +114,12 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
 
 
 @F.arrow_udf(T.LongType())
-def shared_size(a: pa.Array, b: pa.Array) -> pa.Array:
+@tidy
+def shared_size(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Size of the intersection of two sets of 64-bit integers."""
-    sets = ((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b, strict=True))
-    return pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], pa.int64())
+    for a, b in batches:
+        sets = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(a, b, strict=True))
+        yield pa.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], pa.int64())
 
 
 def histogram(shingles: np.ndarray) -> np.ndarray:
@@ -128,9 +131,11 @@ def full_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, text
     """(node, n, shingles) of ``classes`` (doc, set_key, node), one row each."""
 
     @F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())]))
-    def of(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t.as_py(), width).tobytes() for t in texts]
-        return pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
+    @tidy
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            sets = [shingle_set(t.as_py(), width).tobytes() for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "shingles"])
 
     wanted = classes.select(F.col("doc").alias("_doc"), F.col("set_key").alias("_key"), "node")
     if wanted.count() <= MAX_BROADCAST_IDS:
@@ -150,6 +155,7 @@ def profiles(sets: DataFrame, percent: int) -> DataFrame:
     ``percent`` is in its profile has no link and no row.
     """
 
+    @tidy
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column(0).to_numpy()
@@ -158,14 +164,16 @@ def profiles(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, [len(x) for x in own])), pa.array(np.concatenate(own))], ["node", "shingle"])
 
     @F.arrow_udf("binary")
-    def profile(shingles: pa.Array, alone: pa.Array) -> pa.Array:
-        out = []
-        for own, not_shared in zip(shingles, alone, strict=True):
-            n = histogram(np.frombuffer(own.as_py(), np.uint64))
-            if not_shared.is_valid:
-                n = n - histogram(not_shared.values.to_numpy().view(np.uint64))
-            out.append(np.minimum(n, FULL).astype("<u2").tobytes())
-        return pa.array(out, pa.binary())
+    @tidy
+    def profile(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for shingles, alone in batches:
+            out = []
+            for own, not_shared in zip(shingles, alone, strict=True):
+                n = histogram(np.frombuffer(own.as_buffer(), np.uint64))
+                if not_shared.is_valid:
+                    n = n - histogram(not_shared.values.to_numpy().view(np.uint64))
+                out.append(np.minimum(n, FULL).astype("<u2").tobytes())
+            yield pa.array(out, pa.binary())
 
     each = sets.select("node", "shingles").mapInArrow(rows, "node long, shingle long")
     single = each.groupBy("shingle").agg(F.count("*").alias("_n"), F.min("node").alias("node")).filter("_n = 1")
@@ -191,6 +199,7 @@ def _matcher(percent: int, least: int):
         ok = (sigs[i] == sigs[j]).sum(axis=1) >= least
         return np.stack([ids[i[ok]], ids[j[ok]]])
 
+    @tidy
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hubs = None
         for batch in batches:

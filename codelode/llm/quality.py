@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import seeded_digest
+from .common import seeded_digest, tidy
 
 MAX_LABELLED = 20_000
 SPACE = b" \t\n\x0b\x0c\r"
@@ -70,6 +70,7 @@ _STRUCT = pa.struct([(c, pa.int64()) for c in COUNTS])
 
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+@tidy
 def counts_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         rows = np.array([text_counts(t.as_py() or "") for t in texts], np.int64).reshape(-1, len(COUNTS))

@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, tidy
 
 LENGTH = L = 100
 GRAM = 32
 SPAN = L - GRAM + 1
 BITS = 20
 CROWD = 4096
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Documents that need their text are told apart by this many hash buckets of ids at most (a broadcast of bounded size).
 ID_BUCKETS = 1 << 20
 
@@ -135,6 +135,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tu
 _SAMPLED = "key long, context long, doc long, place long, settled boolean"
 
 
+@tidy
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _pieces(batches, 2):
         keys, contexts, docs, places = [], [], [], []
@@ -195,6 +196,7 @@ def contexts_of(docs: DataFrame, places: DataFrame) -> DataFrame:
     listed = places.groupBy("doc").agg(F.collect_list("place").alias("places"))
     some, _ = _with_ids(docs, listed)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _pieces(batches, 3):
             keys, own, starts, parts = [], [], [], []
@@ -248,6 +250,7 @@ def later_windows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> t
     return docs[first], starts[first], starts[last] + L
 
 
+@tidy
 def _order_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by key; whole keys are taken, one bucket after the other, about ``BATCH_BYTES`` at a time."""
     held, size, last = [], 0, None
@@ -263,6 +266,7 @@ def _order_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _emit(*later_windows(*_window_rows(held)))
 
 
+@tidy
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of crowded keys, the first of a batch with its hash, later ones settled (hash null)."""
     for batch in batches:
@@ -303,13 +307,15 @@ def _cut_udf(as_text: bool):
     kind = pa.string() if as_text else pa.binary()
 
     @F.arrow_udf(T.StructType([T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())]))
-    def cut(data: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-        kept, removed, spans = [], [], []
-        for d, a, b in zip(data, starts, ends, strict=True):
-            whole = d.as_py()
-            left, n = cut_stretches(whole, a.values.to_numpy(), b.values.to_numpy()) if a.is_valid else (whole, 0)
-            kept.append(left.decode("utf-8", "ignore") if as_text else left), removed.append(len(whole) - len(left)), spans.append(n)
-        return pa.StructArray.from_arrays([pa.array(kept, kind), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_removed", "n_spans"])
+    @tidy
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for data, starts, ends in batches:
+            kept, removed, spans = [], [], []
+            for d, a, b in zip(data, starts, ends, strict=True):
+                whole = d.as_py()
+                left, n = cut_stretches(whole, a.values.to_numpy(), b.values.to_numpy()) if a.is_valid else (whole, 0)
+                kept.append(left.decode("utf-8", "ignore") if as_text else left), removed.append(len(whole) - len(left)), spans.append(n)
+            yield pa.StructArray.from_arrays([pa.array(kept, kind), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], ["kept", "n_removed", "n_spans"])
 
     return cut
 

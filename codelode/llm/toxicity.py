@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import seeded_digest
+from .common import seeded_digest, tidy
 
 ORDER = 6
 MAX_LABELLED = 3_000
@@ -37,7 +37,7 @@ FEW = 6
 #: Words scored at once.
 CHUNK = 1 << 13
 #: Texts counted at once, and the different n-grams at which a task hands its counts on.
-TEXTS, HELD = 256, 1 << 20
+TEXTS, HELD = 256, 1 << 18
 
 
 def grams(data: bytes, order: int = ORDER) -> np.ndarray:
@@ -178,6 +178,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return own, np.stack([np.bincount(place, n[:, k], len(own)) for k in (0, 1)], 1).astype(np.int64)
 
 
+@tidy
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-grams of (text, toxic) by class; a null class is counted in neither."""
 
@@ -229,6 +230,7 @@ def evidence(model: Model, text: Column) -> Column:
     shared = _broadcast(model)
 
     @F.arrow_udf("double")
+    @tidy
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in batches:
