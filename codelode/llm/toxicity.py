@@ -1,15 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the next byte, one learned from toxic and one from ordinary texts, share all their lower orders: only the
-highest order counts by class, and both back off to the same interpolated Kneser-Ney model of continuation counts over
-all texts, labelled or not. So an expression that neither class has says nothing, and a rare one says as much as its own
-counts. A text's evidence is the difference of the two log-likelihoods divided by its length; a logistic curve fitted on
-labelled rows that the counts have not seen turns it into a score.
+Two models of the next byte within a word, one learned from toxic and one from ordinary texts, share all their lower
+orders: only the highest order counts by class, and both back off to the same interpolated Kneser-Ney model of
+continuation counts over all texts, labelled or not. An expression that at most ``DISCOUNT`` labelled texts of a class
+hold is rare: its whole count goes to the shared backoff, so it says no more than its context does.
 
-Counts are learned from all labelled texts but those of the curve: of one half of the labels (by a seeded digest) at most
-``MAX_LABELLED`` a class, weighted back to that half's numbers of either class, so that neither the curve's intercept nor a
-score follows the cap. All texts are scored whole. ``spark`` counts the n-grams; what the driver collects grows with the
-different n-grams of all texts, and the tables broadcast with those of the labelled ones.
+The comparison is a sum over the words of a text, divided by their number. A toxic text is ordinary in most of its words,
+which a plain difference of the two log-likelihoods does not know: it adds up the noise of hundreds of ordinary words (on
+sf0.1 it ranks held-out texts with an area of 0.75, this form with 0.98). So each word counts with the log of
+``1 - SHARE + SHARE * p_toxic / p_ordinary``. A logistic curve turns the number into a score.
+
+All labelled texts are counted, the lower orders over all documents. The curve is fitted on texts scored by models that
+have not counted them: ``FOLDS`` folds of the labels by a seeded digest, at most ``MAX_LABELLED`` texts a class, weighted
+back to the labels' share, so that neither the curve nor a score follows the cap. All texts are scored whole.
+
+Counts, backoff probabilities and ratios are joins and groups in Spark; what the driver collects and broadcasts is one row
+for each n-gram that more than ``DISCOUNT`` labelled texts of a class hold (8 bytes and a float a fold). Its number follows
+the different words of the labelled texts, not their length: a text counts each of its words once.
 
 Nulls and empty texts have no evidence (difference 0) and get the score of that. Null labels are not learned from; of
 repeated labels the lowest counts. Without labelled rows of both classes every score is 0. Equal texts get equal scores.
@@ -23,21 +30,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import seeded_digest, tidy
+from .common import Scratch, seeded_digest, tidy
 
-ORDER = 6
+ORDER = 8
 MAX_LABELLED = 3_000
+FOLDS = 3
+#: Texts of a class that an expression must be in to say something; the lower orders' discount.
+DISCOUNT, LOWER_DISCOUNT = 3, 0.75
 #: Share of a toxic text's words that the toxic model accounts for; the others are ordinary.
-SHARE = 0.02
+SHARE = 0.005
 #: Words without evidence added to each text, so that one odd word doesn't decide a very short one.
 FEW = 6
 #: Words scored at once.
 CHUNK = 1 << 13
 #: Texts counted at once, and the different n-grams at which a task hands its counts on.
 TEXTS, HELD = 256, 1 << 18
+#: Labels are broadcast up to this many (a long and an int each), else joined by a shuffle of the texts.
+MAX_BROADCAST_LABELS = 2_000_000
 
 
 def grams(data: bytes, order: int = ORDER) -> np.ndarray:
@@ -71,6 +83,8 @@ def informative(g: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Sorted n-grams and contexts, and the log of p_toxic / p_ordinary for each, a row a model: all labels, then all but a fold."""
+
     seen: np.ndarray
     seen_llr: np.ndarray
     contexts: np.ndarray
@@ -78,79 +92,39 @@ class Model:
     slope: float = 0.0
     intercept: float = -50.0
 
-    def evidence(self, text: str) -> float:
-        """Mean over the words of the difference of their log-likelihoods, toxic texts being ordinary in most words."""
+    def only(self, k: int) -> Model:
+        return Model(self.seen, self.seen_llr[k : k + 1], self.contexts, self.contexts_llr[k : k + 1], self.slope, self.intercept)
+
+    def word_ratios(self, words: list[str], k: int = 0) -> np.ndarray:
+        """The log of p_toxic / p_ordinary of each word."""
+        g = informative(grams(padded(words)))
+        llr = np.zeros(len(g))
+        if len(self.seen):
+            place = np.minimum(np.searchsorted(self.seen, g), len(self.seen) - 1)
+            hit = self.seen[place] == g
+            llr[hit] = self.seen_llr[k, place[hit]]
+            lost = np.flatnonzero(~hit)
+            h = g[lost] >> np.uint64(8)
+            place = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
+            llr[lost] = np.where(self.contexts[place] == h, self.contexts_llr[k, place], np.float32(0))
+        ends = np.flatnonzero((g & np.uint64(0xFF)) == np.uint64(0x20))
+        return np.add.reduceat(llr, np.concatenate([[0], ends[:-1] + 1]))
+
+    def evidence(self, text: str, k: int = 0) -> float:
+        """Mean over the words of the log-likelihood ratio, toxic texts being ordinary in most words."""
         words = WORD.findall(text.lower()) if text else []
         if not words or not len(self.seen):
             return 0.0
         total = 0.0
         for at in range(0, len(words), CHUNK):
-            g = informative(grams(padded(words[at : at + CHUNK])))
-            place = np.minimum(np.searchsorted(self.seen, g), len(self.seen) - 1)
-            hit = self.seen[place] == g
-            llr = np.where(hit, self.seen_llr[place], np.float32(0)).astype(np.float64)
-            lost = np.flatnonzero(~hit)
-            if len(lost):
-                h = g[lost] >> np.uint64(8)
-                place = np.minimum(np.searchsorted(self.contexts, h), len(self.contexts) - 1)
-                llr[lost] = np.where(self.contexts[place] == h, self.contexts_llr[place], np.float32(0))
-            ends = np.flatnonzero((g & np.uint64(0xFF)) == np.uint64(0x20))
-            sums = np.add.reduceat(llr, np.concatenate([[0], ends[:-1] + 1]))
-            total += float(np.log1p(SHARE * np.expm1(np.minimum(sums, 30.0))).sum())
+            ratios = self.word_ratios(words[at : at + CHUNK], k)
+            total += float(np.log1p(SHARE * np.expm1(np.minimum(ratios, 30.0))).sum())
         return total / (len(words) + FEW)
 
     def score(self, evidence: float) -> float:
         return 1.0 / (1.0 + float(np.exp(np.clip(-(self.slope * evidence + self.intercept), -500, 500))))
 
 
-def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(keys, return_inverse=True)
-    return unique, np.bincount(place, values, len(unique))
-
-
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
-    return once / (once + 2 * twice) if once and twice else 0.75
-
-
-def shared_probability(keys: np.ndarray, order: int) -> np.ndarray:
-    """Interpolated Kneser-Ney probability of each distinct ``order``-gram's last byte from continuation counts.
-
-    ``keys`` are the distinct (order + 1)-grams of both classes.
-    """
-    mask = np.uint64((1 << (8 * order)) - 1)
-    own, count = _sums(keys & mask, np.ones(len(keys)))
-    if order == 1:
-        return own, (count + 0.5) / (count.sum() + 128.0)
-    d = _discount(count)
-    context, place = np.unique(own >> np.uint64(8), return_inverse=True)
-    total, kinds = np.bincount(place, count), np.bincount(place)
-    lower, p = shared_probability(own, order - 1)
-    below = p[np.searchsorted(lower, own & np.uint64((1 << (8 * (order - 1))) - 1))]
-    return own, np.maximum(count - d, 0) / total[place] + (d * kinds / total)[place] * below
-
-
-def build(keys: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
-    """``keys``: distinct n-grams of all texts in order, with their counts in either class (both 0 in unlabelled texts only)."""
-    if not len(keys) or not ordinary.any() or not toxic.any():
-        none = np.array([], np.uint64)
-        return Model(none, none.astype(np.float32), none, none.astype(np.float32))
-    lower, p = shared_probability(keys, ORDER - 1)
-    labelled = ordinary + toxic > 0
-    keys, ordinary, toxic = keys[labelled], ordinary[labelled], toxic[labelled]
-    shared = p[np.searchsorted(lower, keys & np.uint64((1 << (8 * (ORDER - 1))) - 1))]
-    contexts, place = np.unique(keys >> np.uint64(8), return_inverse=True)
-    logs, gammas = [], []
-    for counts in (toxic.astype(np.float64), ordinary.astype(np.float64)):
-        d = _discount(counts)
-        total = np.bincount(place, counts, len(contexts))
-        kinds = np.bincount(place, counts > 0, len(contexts))
-        gamma = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(counts - d, 0) / np.maximum(total, 1)[place] + gamma[place] * shared))
-        gammas.append(np.log(gamma))
-    return Model(keys, (logs[0] - logs[1]).astype(np.float32), contexts, (gammas[0] - gammas[1]).astype(np.float32))
-
-
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 60, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and intercept of a logistic curve by Newton's method, slightly regularised; ``weight`` is how many rows each stands for."""
     if not toxic.any() or toxic.all():
@@ -168,24 +142,27 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 60, weight:
     return float(w[0]) / scale, float(w[1])
 
 
-_COUNTS = "gram long, toxic long, ordinary long"
+_CLASSES = [f"{kind}{fold}" for fold in range(FOLDS) for kind in ("ordinary", "toxic")]
+_COUNTS = "gram long, " + ", ".join(f"{c} int" for c in _CLASSES)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and the sums of their rows (toxic, ordinary)."""
-    own, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    n = np.concatenate([n for _, n in parts])
-    return own, np.stack([np.bincount(place, n[:, k], len(own)) for k in (0, 1)], 1).astype(np.int64)
+    """Distinct n-grams and the sums of their rows."""
+    g, n = np.concatenate([g for g, _ in parts]), np.concatenate([n for _, n in parts])
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.array([], np.int64)
+    return g[first], np.add.reduceat(n[order], first, axis=0, dtype=np.int32) if len(g) else n
 
 
 @tidy
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of (text, toxic) by class; a null class is counted in neither."""
+    """N-grams of (text, kind) by ``_CLASSES``; a null kind is counted in none."""
 
     def rows(own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], ["gram", "toxic", "ordinary"])
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *[pa.array(n[:, k].copy()) for k in range(n.shape[1])]], ["gram", *_CLASSES])
 
-    held = np.array([], np.uint64), np.zeros((0, 2), np.int64)
+    held = np.array([], np.uint64), np.zeros((0, len(_CLASSES)), np.int32)
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
             texts: dict[int | None, list[bytes]] = {}
@@ -193,8 +170,11 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.setdefault(kind.as_py(), []).append(document_words(text.as_py() or ""))
             parts = [held]
             for kind, some in texts.items():
-                own, n = np.unique(informative(grams(b"".join(some))), return_counts=True)
-                parts.append((own, np.stack([n * (kind == 1), n * (kind == 0)], 1)))
+                own, count = np.unique(informative(grams(b"".join(some))), return_counts=True)
+                n = np.zeros((len(own), len(_CLASSES)), np.int32)
+                if kind is not None:
+                    n[:, kind] = count
+                parts.append((own, n))
             held = _merged(parts)
             if len(held[0]) > HELD:
                 yield rows(*held)
@@ -202,47 +182,115 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(*held)
 
 
+def _suffix(gram: Column, order: Column) -> Column:
+    """The last ``order`` bytes."""
+    bits = F.lit(64) - 8 * order.cast("int")
+    return F.call_function("shiftrightunsigned", F.call_function("shiftleft", gram, bits), bits)
+
+
+def _context(gram: Column) -> Column:
+    return F.shiftrightunsigned(gram, 8)
+
+
+def shared_probability(grams_: DataFrame, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, p): the interpolated Kneser-Ney probability of each wanted ``order``-gram's last byte after the ``order - 2`` before.
+
+    ``grams_`` has the distinct ``order``-grams of all texts (gram), ``wanted`` some of them. A lower order counts in how
+    many different n-grams of the next order it is; the lowest is smoothed over all bytes.
+    """
+    orders = F.explode(F.sequence(F.lit(1), F.lit(order - 1))).alias("order")
+    lower = F.col("order") < F.lit(order)
+    parts = grams_.select("gram", F.explode(F.sequence(F.lit(2), F.lit(order))).alias("order"))
+    parts = parts.select("order", F.when(lower, _suffix(F.col("gram"), F.col("order"))).otherwise(F.col("gram")).alias("gram")).distinct()
+    counts = parts.select((F.col("order") - 1).alias("order"), "gram").select("order", _suffix(F.col("gram"), F.col("order")).alias("gram")).groupBy("order", "gram").agg(F.count("*").alias("count"))
+    contexts = counts.groupBy("order", _context(F.col("gram")).alias("context")).agg(F.sum("count").alias("total"), F.count("*").alias("kinds"))
+    rows = wanted.select("gram", orders).withColumn("part", _suffix(F.col("gram"), F.col("order")))
+    levels = (
+        rows.join(counts.withColumnRenamed("gram", "part"), ["order", "part"]).withColumn("context", _context(F.col("part")))
+        .join(contexts, ["order", "context"]).groupBy("gram")
+        .agg(F.array_sort(F.collect_list(F.struct("order", F.col("count").cast("double").alias("count"), F.col("total").cast("double").alias("total"), F.col("kinds").cast("double").alias("kinds")))).alias("levels"))
+    )
+    step = lambda p, x: F.when(x["order"] == 1, (x["count"] + 0.5) / (x["total"] + 128)).otherwise(
+        (F.greatest(x["count"] - LOWER_DISCOUNT, F.lit(0.0)) + LOWER_DISCOUNT * x["kinds"] * p) / x["total"]
+    )
+    return levels.select("gram", F.aggregate("levels", F.lit(0.0), step).alias("p"))
+
+
+def _ratios(of: list[tuple[Column, Column]]) -> list[Column]:
+    """Columns llr0 (all labels), llr1 ... (all but a fold) of pairs of expressions per model."""
+    return [(F.ln(toxic) - F.ln(ordinary)).cast("float").alias(f"llr{k}") for k, (ordinary, toxic) in enumerate(of)]
+
+
+def build(counted: DataFrame) -> Model:
+    """The models of ``counted`` (gram and its counts by ``_CLASSES``)."""
+
+    def by_model(column) -> list[tuple[Column, Column]]:
+        """What ``column`` makes of the counts (ordinary, toxic) of each model."""
+        count = lambda kind, k: sum((F.col(f"{kind}{f}") for f in range(FOLDS) if f != k - 1), F.lit(0))
+        return [(column("ordinary", count("ordinary", k), k), column("toxic", count("toxic", k), k)) for k in range(FOLDS + 1)]
+
+    frequent = counted.filter(F.greatest(*by_model(lambda _kind, n, _k: n)[0]) > DISCOUNT)
+    sums = [x for pair in by_model(lambda kind, n, k: F.struct(F.sum(n).alias("all"), F.sum(F.least(n, F.lit(DISCOUNT))).alias("rare")).alias(f"{kind}_{k}")) for x in pair]
+    wanted = frequent.select(_context(F.col("gram")).alias("context")).distinct()
+    contexts = counted.withColumn("context", _context(F.col("gram"))).join(wanted, "context", "left_semi").groupBy("context").agg(*sums)
+    backed = lambda kind, k: F.when(F.col(f"{kind}_{k}.all") > 0, F.col(f"{kind}_{k}.rare") / F.col(f"{kind}_{k}.all")).otherwise(1.0)
+    p = lambda kind, n, k: F.when(
+        F.col(f"{kind}_{k}.all") > 0, F.greatest(n - DISCOUNT, F.lit(0)) / F.col(f"{kind}_{k}.all")).otherwise(0.0) + backed(kind, k) * F.col("p")
+    scratch = Scratch(counted.sparkSession)
+    contexts = scratch.write(contexts, "contexts")
+    probable = shared_probability(counted.select("gram"), frequent.select("gram"))
+    grams_ = frequent.join(probable, "gram").withColumn("context", _context(F.col("gram"))).join(contexts, "context").select("gram", *_ratios(by_model(p)))
+    # What no class has after a context says as much as the classes' backoff weights, and nothing where one class lacks the context.
+    both = lambda k: (F.col(f"ordinary_{k}.all") > 0) & (F.col(f"toxic_{k}.all") > 0)
+    unseen = lambda kind, _n, k: F.when(both(k), F.greatest(backed(kind, k), F.lit(1e-3))).otherwise(1.0)
+    found = [x.toArrow() for x in (grams_, contexts.select("context", *_ratios(by_model(unseen))))]
+    scratch.drop_all_but()
+    out = []
+    for table in found:
+        keys = table.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        out += [keys[order], np.stack([table.column(k + 1).to_numpy()[order] for k in range(FOLDS + 1)])]
+    return Model(*out)
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = 5) -> Model:
     """The model of ``labels`` (doc_id, toxic 0 or 1) over the texts of ``docs``."""
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"))
+    scratch = Scratch(docs.sparkSession)
     digest = seeded_digest(seed, F.col("doc_id"))
-    half = known.filter(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1)
-    ours = [half.filter(F.col("toxic") == kind).orderBy(digest, "doc_id").limit(max_labelled) for kind in (0, 1)]
-    # At most 2 * max_labelled rows of two numbers are broadcast for the curve; what they stand for is two counts.
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"))
+    known = scratch.write(known.withColumn("fold", (F.conv(F.substring(digest, 9, 4), 16, 10).cast("int") % FOLDS)), "known")
+    numbers = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_known = sum(numbers.values())
+    kinds = known.select("doc_id", (2 * F.col("fold") + F.col("toxic")).alias("kind"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(kinds) if n_known <= MAX_BROADCAST_LABELS else kinds, "doc_id", "left").select("text", "kind")
+    counted = texts.mapInArrow(_count_grams, _COUNTS).groupBy("gram").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    if set(numbers) != {0, 1}:
+        return Model(*(np.zeros(0, np.uint64), np.zeros((FOLDS + 1, 0), np.float32)) * 2)
+    model = build(scratch.write(counted, "counted"))
+    # At most 2 * max_labelled rows of three numbers are broadcast; what they stand for is two counts.
+    ours = [known.filter(F.col("toxic") == kind).orderBy(digest, "doc_id").limit(max_labelled) for kind in (0, 1)]
     some = F.broadcast(ours[0].unionByName(ours[1]))
-    counts = known.join(some.select("doc_id"), "doc_id", "left_anti")
-    counted = (
-        docs.select("doc_id", "text").join(counts, "doc_id", "left").select("text", "toxic").mapInArrow(_count_grams, _COUNTS)
-        .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    ).toPandas()
-    counted = counted.sort_values("gram")
-    model = build(counted["gram"].to_numpy().astype(np.uint64), counted["ordinary"].to_numpy(), counted["toxic"].to_numpy())
-    del counted
-    seen = docs.select("doc_id", "text").join(some, "doc_id").select("toxic", evidence(model, F.col("text")).alias("x")).toPandas()
-    stands_for = {r.toxic: r.n / min(r.n, max_labelled) for r in half.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    toxic = seen["toxic"].to_numpy().astype(float)
-    weight = np.where(toxic > 0, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
-    model.slope, model.intercept = fit_curve(seen["x"].to_numpy(), toxic, weight=weight)
+    seen = docs.select("doc_id", "text").join(some, "doc_id").select("toxic", evidence(model, F.col("text"), F.col("fold") + 1).alias("x")).toArrow()
+    scratch.drop_all_but()
+    toxic = seen.column("toxic").to_numpy().astype(float)
+    weight = np.where(toxic > 0, *(numbers[kind] / min(numbers[kind], max_labelled) for kind in (1, 0)))
+    model = model.only(0)
+    model.slope, model.intercept = fit_curve(seen.column("x").to_numpy(), toxic, weight=weight)
     return model
 
 
-def evidence(model: Model, text: Column) -> Column:
-    shared = _broadcast(model)
+def evidence(model: Model, text: Column, which: Column | None = None) -> Column:
+    """The evidence of each text by the model that ``which`` numbers."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     @tidy
-    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = shared.value
-        for texts in batches:
-            yield pa.array([own.evidence(t.as_py() or "") for t in texts], pa.float64())
-
-    return of(text)
-
-
-def _broadcast(model: Model):
-    from pyspark.sql import SparkSession
+        for texts, kinds in batches:
+            yield pa.array([own.evidence(t.as_py() or "", k) for t, k in zip(texts, kinds.to_pylist(), strict=True)], pa.float64())
 
-    return SparkSession.getActiveSession().sparkContext.broadcast(model)
+    return of(text, F.lit(0) if which is None else which)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

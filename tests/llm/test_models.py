@@ -69,13 +69,45 @@ def test_unlabelled_texts_count_in_the_lower_orders(spark):
     assert (one.seen == two.seen).all() and not np.allclose(one.seen_llr, two.seen_llr)
 
 
-def test_kneser_ney_sums_to_one():
-    keys = np.unique(toxicity.grams(toxicity.document_words("the cat and the dog and the cow ran then")))
-    for order in (2, 3):
-        short = np.unique(keys & np.uint64((1 << (8 * (order + 1))) - 1))
-        own, p = toxicity.shared_probability(short, order)
-        sums = pd.Series(p).groupby(own >> np.uint64(8)).sum()
-        assert (sums <= 1 + 1e-9).all() and (p > 0).all()  # unseen bytes have the rest
+def brute_kneser_ney(keys, gram, order):
+    """The probability of the last byte of ``gram`` after the ones before, by plain loops over the n-grams of the next order."""
+    kinds = {k[-order:] for k in keys}
+    count = {g: len({k[-order - 1 :] for k in keys if k[-order:] == g}) for g in kinds}
+    if order == 1:
+        return (count[gram] + 0.5) / (sum(count.values()) + 128)
+    same = {g: n for g, n in count.items() if g[:-1] == gram[:-1]}
+    below = brute_kneser_ney(keys, gram[1:], order - 1)
+    return (max(count[gram] - 0.75, 0) + 0.75 * len(same) * below) / sum(same.values())
+
+
+def test_shared_probability(spark):
+    found = np.unique(toxicity.informative(toxicity.grams(toxicity.document_words("the cat and the dog and thé cow ran then"))))
+    frame = spark.createDataFrame([(int(x),) for x in found.view(np.int64)], "gram long")
+    got = {r.gram: r.p for r in toxicity.shared_probability(frame, frame).collect()}
+    keys = [int(x).to_bytes(8, "big") for x in found]
+    assert len(got) == len(keys)
+    for key in keys:
+        assert got[int.from_bytes(key, "big", signed=True)] == pytest.approx(brute_kneser_ney(keys, key[1:], 7))
+
+
+def test_word_ratio_and_evidence_by_hand(spark):
+    """One word in all toxic texts, another in all: the ratio of the first, and what a text makes of it."""
+    rows = [(i, "calm abcd" if i % 2 else "calm", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn_toxicity(docs, spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int"))
+    keys = sorted({int(x).to_bytes(8, "big") for t in ("calm", "abcd") for x in toxicity.informative(toxicity.grams(toxicity.padded([t])))})
+    p = {k: brute_kneser_ney(keys, k[1:], 7) for k in keys}
+    start_a, start_c = b"       a", b"       c"
+    # After seven blanks: 20 toxic texts go on with a, 20 with c; 20 ordinary ones with c. Each count loses 3 to the backoff.
+    want_a = np.log(((20 - 3) / 40 + 6 / 40 * p[start_a]) / (3 / 20 * p[start_a]))
+    want_c = np.log(((20 - 3) / 40 + 6 / 40 * p[start_c]) / ((20 - 3) / 20 + 3 / 20 * p[start_c]))
+    llr = {int(k).to_bytes(8, "big"): v for k, v in zip(model.seen, model.seen_llr[0])}
+    assert llr[start_a] == pytest.approx(want_a, abs=1e-4) and llr[start_c] == pytest.approx(want_c, abs=1e-4)
+    ratios = model.word_ratios(["abcd", "calm"])
+    assert ratios[0] > 0 > ratios[1]
+    share = toxicity.SHARE
+    want = sum(np.log(1 - share + share * np.exp(min(x, 30))) for x in ratios) / (2 + toxicity.FEW)
+    assert model.evidence("Abcd calm") == pytest.approx(want)
 
 
 def test_no_labels(spark):
