@@ -142,8 +142,9 @@ def fit_curve(evidence: np.ndarray, toxic: np.ndarray, rounds: int = 60, weight:
     return float(w[0]) / scale, float(w[1])
 
 
-_CLASSES = [f"{kind}{fold}" for fold in range(FOLDS) for kind in ("ordinary", "toxic")]
-_COUNTS = "gram long, " + ", ".join(f"{c} int" for c in _CLASSES)
+#: Counts of a fold: toxic texts in the upper 32 bits, ordinary ones in the lower, so that both are one sum.
+_FOLDS = [f"fold{k}" for k in range(FOLDS)]
+_COUNTS = "gram long, " + ", ".join(f"{c} long" for c in _FOLDS)
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,17 +153,17 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(g, kind="stable")
     g = g[order]
     first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.array([], np.int64)
-    return g[first], np.add.reduceat(n[order], first, axis=0, dtype=np.int32) if len(g) else n
+    return g[first], np.add.reduceat(n[order], first, axis=0) if len(g) else n
 
 
 @tidy
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of (text, kind) by ``_CLASSES``; a null kind is counted in none."""
+    """N-grams of (text, kind) by ``_FOLDS``, a kind being twice the fold and 1 for toxic; a null kind is counted in none."""
 
     def rows(own: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *[pa.array(n[:, k].copy()) for k in range(n.shape[1])]], ["gram", *_CLASSES])
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), *[pa.array(n[:, k].copy()) for k in range(n.shape[1])]], ["gram", *_FOLDS])
 
-    held = np.array([], np.uint64), np.zeros((0, len(_CLASSES)), np.int32)
+    held = np.array([], np.uint64), np.zeros((0, FOLDS), np.int64)
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS):
             texts: dict[int | None, list[bytes]] = {}
@@ -171,9 +172,9 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [held]
             for kind, some in texts.items():
                 own, count = np.unique(informative(grams(b"".join(some))), return_counts=True)
-                n = np.zeros((len(own), len(_CLASSES)), np.int32)
+                n = np.zeros((len(own), FOLDS), np.int64)
                 if kind is not None:
-                    n[:, kind] = count
+                    n[:, kind // 2] = count << 32 if kind % 2 else count
                 parts.append((own, n))
             held = _merged(parts)
             if len(held[0]) > HELD:
@@ -199,9 +200,9 @@ def shared_probability(grams_: DataFrame, wanted: DataFrame, order: int = ORDER)
     many different n-grams of the next order it is; the lowest is smoothed over all bytes.
     """
     orders = F.explode(F.sequence(F.lit(1), F.lit(order - 1))).alias("order")
-    lower = F.col("order") < F.lit(order)
-    parts = grams_.select("gram", F.explode(F.sequence(F.lit(2), F.lit(order))).alias("order"))
-    parts = parts.select("order", F.when(lower, _suffix(F.col("gram"), F.col("order"))).otherwise(F.col("gram")).alias("gram")).distinct()
+    parts = grams_.select("gram", F.explode(F.sequence(F.lit(2), F.lit(order - 1))).alias("order"))
+    parts = parts.select("order", _suffix(F.col("gram"), F.col("order")).alias("gram")).distinct()
+    parts = parts.unionByName(grams_.select(F.lit(order).alias("order"), "gram"))
     counts = parts.select((F.col("order") - 1).alias("order"), "gram").select("order", _suffix(F.col("gram"), F.col("order")).alias("gram")).groupBy("order", "gram").agg(F.count("*").alias("count"))
     contexts = counts.groupBy("order", _context(F.col("gram")).alias("context")).agg(F.sum("count").alias("total"), F.count("*").alias("kinds"))
     rows = wanted.select("gram", orders).withColumn("part", _suffix(F.col("gram"), F.col("order")))
@@ -222,7 +223,11 @@ def _ratios(of: list[tuple[Column, Column]]) -> list[Column]:
 
 
 def build(counted: DataFrame) -> Model:
-    """The models of ``counted`` (gram and its counts by ``_CLASSES``)."""
+    """The models of ``counted`` (gram and its counts by ``_FOLDS``)."""
+
+    counted = counted.select(
+        "gram", *[F.shiftright(c, 32).alias(f"toxic{k}") for k, c in enumerate(_FOLDS)], *[F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"ordinary{k}") for k, c in enumerate(_FOLDS)]
+    )
 
     def by_model(column) -> list[tuple[Column, Column]]:
         """What ``column`` makes of the counts (ordinary, toxic) of each model."""
@@ -263,7 +268,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     n_known = sum(numbers.values())
     kinds = known.select("doc_id", (2 * F.col("fold") + F.col("toxic")).alias("kind"))
     texts = docs.select("doc_id", "text").join(F.broadcast(kinds) if n_known <= MAX_BROADCAST_LABELS else kinds, "doc_id", "left").select("text", "kind")
-    counted = texts.mapInArrow(_count_grams, _COUNTS).groupBy("gram").agg(*[F.sum(c).alias(c) for c in _CLASSES])
+    counted = texts.mapInArrow(_count_grams, _COUNTS).groupBy("gram").agg(*[F.sum(c).alias(c) for c in _FOLDS])
     if set(numbers) != {0, 1}:
         return Model(*(np.zeros(0, np.uint64), np.zeros((FOLDS + 1, 0), np.float32)) * 2)
     model = build(scratch.write(counted, "counted"))
