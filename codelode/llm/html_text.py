@@ -3,7 +3,9 @@
 A page is cut at block-level tags into flat blocks. Each block has its word count, link density, the same two numbers of
 its neighbours, and where it stands (in a menu, header, footer, aside, form or the like; in an article or main element;
 under a class, id or role that names a notice, advert, comment list and so on; in a heading). A decision tree trained on
-the labelled table below keeps or drops it. Kept blocks are joined by newlines; white space inside one is a blank.
+the labelled table below keeps or drops it: where a page has an article, by place; where names are vague or the page has
+no article, by words, links and neighbours. Names of what is around the outermost article don't count, vague ones only
+of the nearest element that has any. Kept blocks are joined by newlines; white space inside one is a blank.
 
 Nulls and pages without text give an empty text. Unclosed tags, comments and scripts end as browsers end them: only raw
 text (``RAW``) and templates run to the page's end, a button or drawing ends with its parent. Nothing is
@@ -26,52 +28,13 @@ from .common import tidy
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "main", "named", "heading"]
 
-#: Labelled blocks: the features in order, then 1 for main text. ``main`` is 0.5 where the page has no main element.
+#: Labelled blocks: the features in order, then 1 for main text. ``main`` is 0.5 where the page has no main element,
+#: ``named`` is 0.5 where a name is vague. These are the blocks whose place alone doesn't decide.
 LABELLED = """
-3 1.0 0 0.0 4 1.0 1 0.0 0 0  0
-1 1.0 2 1.0 1 1.0 1 0.0 0 0  0
-1 1.0 1 1.0 9 0.0 1 0.5 0 0  0
-6 0.9 0 0.0 40 0.0 1 0.5 1 0  0
-12 0.0 60 0.0 0 0.0 1 0.0 0 0  0
-9 0.2 30 0.0 0 0.0 1 0.5 0 0  0
-45 0.0 30 0.0 20 0.0 1 0.0 0 0  0
-80 0.1 10 0.0 90 0.0 1 0.5 0 0  0
-30 0.0 80 0.0 60 0.0 1 1.0 0 0  0
-5 0.0 80 0.0 60 0.0 1 1.0 0 1  0
-4 0.0 0 0.0 20 0.5 1 0.0 0 1  0
-25 0.0 5 0.0 90 0.0 1 1.0 1 0  0
-10 0.0 5 1.0 8 0.0 0 0.0 1 0  0
-14 0.3 1 1.0 12 0.0 0 0.0 1 0  0
-60 0.0 3 0.0 70 0.0 0 0.0 1 0  0
-35 0.0 60 0.0 50 0.0 0 1.0 1 0  0
-8 0.0 80 0.0 70 0.0 0 1.0 1 0  0
-3 0.0 80 0.0 25 0.0 0 1.0 1 1  0
-90 0.0 3 0.0 30 0.0 0 1.0 1 0  0
-20 0.0 70 0.0 15 0.0 0 0.5 1 0  0
-50 0.0 9 0.0 40 0.0 0 0.5 1 0  0
-7 0.8 20 0.0 9 0.9 0 0.5 1 0  0
-2 1.0 5 0.0 2 1.0 0 0.0 0 0  0
-9 0.0 12 0.0 0 0.0 0 0.0 0 0  0
-40 0.0 30 0.0 10 0.0 0 0.0 0 0  0
-15 0.1 0 0.0 80 0.0 0 0.0 0 0  0
-6 0.0 0 0.0 30 0.0 0 0.0 0 1  0
 3 1.0 0 0.0 2 1.0 0 0.5 0 0  0
 2 1.0 3 1.0 2 1.0 0 0.5 0 0  0
 4 1.0 2 1.0 10 0.0 0 0.5 0 0  0
 5 0.9 60 0.0 5 0.9 0 0.5 0 0  0
-8 0.0 1 1.0 40 0.0 0 1.0 0 1  1
-6 0.0 12 0.0 1 0.0 0 1.0 0 1  1
-1 0.0 40 0.0 30 0.0 0 1.0 0 0  1
-1 0.0 0 0.0 1 0.0 0 1.0 0 0  1
-3 0.0 6 0.0 0 0.0 0 1.0 0 0  1
-30 0.0 8 0.0 60 0.0 0 1.0 0 0  1
-90 0.0 60 0.0 70 0.0 0 1.0 0 0  1
-150 0.1 60 0.0 12 0.0 0 1.0 0 0  1
-40 0.3 20 0.0 80 0.0 0 1.0 0 0  1
-12 0.6 60 0.0 30 0.0 0 1.0 0 0  1
-6 1.0 60 0.0 30 0.0 0 1.0 0 0  1
-4 1.0 30 0.0 5 1.0 0 1.0 0 0  1
-20 0.0 90 0.0 9 0.0 0 1.0 0 0  1
 7 0.0 2 1.0 40 0.0 0 0.5 0 1  1
 5 0.0 60 0.0 40 0.0 0 0.5 0 1  1
 40 0.0 7 0.0 60 0.0 0 0.5 0 0  1
@@ -80,7 +43,60 @@ LABELLED = """
 8 0.0 60 0.0 70 0.0 0 0.5 0 0  1
 2 0.0 40 0.0 30 0.0 0 0.5 0 0  1
 60 0.0 3 1.0 9 0.0 0 0.5 0 0  1
+40 0.0 60 0.0 50 0.0 0 1.0 0.5 0  1
+90 0.1 40 0.0 30 0.0 0 1.0 0.5 0  1
+12 0.0 60 0.0 50 0.0 0 1.0 0.5 0  1
+3 0.0 60 0.0 25 0.0 0 1.0 0.5 1  1
+6 0.2 30 0.0 40 0.0 0 1.0 0.5 0  1
+3 1.0 60 0.0 3 1.0 0 1.0 0.5 0  0
+1 1.0 2 1.0 2 1.0 0 1.0 0.5 0  0
+6 0.9 40 0.0 5 0.9 0 1.0 0.5 0  0
+9 0.8 80 0.0 0 0.0 0 1.0 0.5 0  0
+12 0.0 0 0.0 15 0.0 0 0.5 0.5 0  1
+45 0.0 30 0.0 60 0.0 0 0.5 0.5 0  1
+80 0.1 5 0.0 40 0.0 0 0.5 0.5 0  1
+8 0.0 70 0.0 50 0.0 0 0.5 0.5 0  1
+5 0.0 2 1.0 50 0.0 0 0.5 0.5 1  1
+3 0.0 0 0.0 2 1.0 0 0.5 0.5 0  0
+4 0.0 1 1.0 3 1.0 0 0.5 0.5 0  0
+5 0.0 4 1.0 0 0.0 0 0.5 0.5 0  0
+6 0.9 50 0.0 5 0.9 0 0.5 0.5 0  0
+3 0.0 0 0.0 2 1.0 0 0.5 0 0  0
+4 0.0 2 1.0 2 1.0 0 0.5 0 0  0
+5 0.0 4 1.0 0 0.0 0 0.5 0 0  0
+6 0.0 5 0.9 0 0.0 0 0.5 0 0  0
+2 0.0 3 1.0 1 1.0 0 0.5 0 0  0
+4 0.0 12 0.0 0 0.0 0 0.5 0 0  1
+12 0.0 1 1.0 4 0.0 0 0.5 0 0  1
+10 0.0 60 0.0 0 0.0 0 0.5 0 0  1
+3 0.0 30 0.0 0 0.0 0 0.5 0 0  1
+30 0.0 2 1.0 0 0.0 0 0.5 0 0  1
+14 0.0 0 0.0 0 0.0 0 0.5 0 0  1
+35 0.3 4 1.0 5 1.0 0 0.5 0 0  1
+20 0.9 4 1.0 30 0.9 0 0.5 0 0  0
+1 1.0 1 1.0 12 0.0 0 0.5 0 0  0
+1 1.0 2 1.0 60 0.0 0 0.5 0 0  0
+2 1.0 0 0.0 1 1.0 0 0.5 0 0  0
+3 1.0 2 1.0 0 0.0 0 0.5 0 0  0
+2 1.0 2 0.0 2 0.0 0 0.5 0 0  0
+2 1.0 30 0.0 2 0.0 0 0.5 0 0  0
+2 0.0 2 1.0 0 0.0 0 0.5 0 0  0
+2 0.0 13 0.0 2 1.0 0 0.5 0 0  1
+4 0.0 20 0.9 0 0.0 0 0.5 0 0  0
+5 0.0 14 1.0 3 1.0 0 0.5 0 0  0
+3 0.0 40 0.8 0 0.0 0 0.5 0 0  0
+4 0.0 20 0.0 0 0.0 0 0.5 0 0  1
+5 0.0 14 0.0 3 1.0 0 0.5 0 0  1
+3 0.0 40 0.0 0 0.0 0 0.5 0 0  1
+2 0.0 20 0.0 2 1.0 0 0.5 0 0  1
+13 0.0 1 1.0 2 0.0 0 0.5 0 0  1
 """
+#: And those of a clear place, whatever their words and neighbours: (aside, main, named) with the label.
+PLACES = [((1, 0.0, 0), 0), ((1, 0.5, 0), 0), ((1, 1.0, 0), 0), ((0, 0.0, 0), 0), ((0, 0.0, 1), 0), ((0, 0.5, 1), 0), ((0, 1.0, 1), 0), ((0, 1.0, 0), 1)]
+#: How many times each of these counts, by label: an article is seldom cut, and it is what most blocks of most pages are.
+WEIGHT = (1, 6)
+OWN, AROUND = [(2, 0.0), (3, 1.0), (12, 0.0), (40, 0.1), (150, 0.0)], [(0, 0.0), (2, 1.0), (12, 0.0), (120, 0.0)]
+
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody tfoot thead tr ul".split())
 SPACES = frozenset("br td th wbr img button label object".split()) - {"wbr"}
@@ -96,12 +112,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 CLOSED_BY_NEXT = frozenset("p li dt dd option tr".split())
+#: Parts of class names: those that say what an element is for, those that may, and those that add nothing.
 NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|paywall|"
-    r"comments?|commentlist|respond|replies|disqus|discussion|sidebar|side|aside|widget\w*|related|recommended|trending|popular|share|sharing|social|follow|"
-    r"newsletter|subscribe\w*|signup|login|nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|pager|footer|masthead|toolbar|contentinfo|complementary|"
-    r"skip|sitemap|copyright|legal|disclaimer|toc)(?![a-z])"
+    r"ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notification|popup|modal|overlay|paywall|comments?|commentlist|"
+    r"respond|replies|disqus|sidebar|widget\w*|related|recommended|trending|share|sharing|social|newsletter|subscribe\w*|signup|login|nav|navbar|"
+    r"navigation|menu|menubar|breadcrumbs?|pagination|pager|footer|masthead|toolbar|contentinfo|complementary|skip|sitemap"
 )
+VAGUE = frozenset("notice notices alert discussion side aside popular follow copyright legal disclaimer toc".split())
+PLAIN = frozenset("list box wrapper wrap area section form bar container block item items thread link links button buttons icon icons top bottom left right inner outer".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -114,12 +132,32 @@ class Block:
     links: float
     aside: int
     main: float
-    named: int
+    named: float
     heading: int
 
 
-def named(attributes: str) -> bool:
-    return any(NAMES.search(CAMEL.sub("-", a or b or c).lower()) for a, b, c in ATTRIBUTE.findall(attributes))
+def named(attributes: str) -> float | None:
+    """1 where a class, id or role names something that is no main text, 0.5 where it may, 0 where not, None without any."""
+    found = ATTRIBUTE.findall(attributes)
+    if not found:
+        return None
+    most = 0.0
+    for name in " ".join(a or b or c for a, b, c in found).split():
+        parts = re.findall("[a-z]+", CAMEL.sub("-", name).lower())
+        clear, vague = any(map(NAMES.fullmatch, parts)), any(p in VAGUE for p in parts)
+        if clear and all(p in VAGUE or p in PLAIN or NAMES.fullmatch(p) for p in parts):
+            return 1.0
+        most = max(most, 0.5 * (clear or vague))
+    return most
+
+
+def place_name(open_: list[tuple]) -> float:
+    """What the names around a block say: clear ones from the outermost article inwards, a vague one only nearest to it."""
+    outermost = next((k for k, x in enumerate(open_) if x[2]), 0)
+    inside = [x[3] for x in open_[outermost:] if x[3] is not None]
+    if 1.0 in inside:
+        return 1.0
+    return 0.5 if inside and inside[-1] == 0.5 and not next(x for x in reversed(open_) if x[3] is not None)[2] else 0.0
 
 
 def still_dropped(inner: list[str], closing: bool, name: str, attributes: str, parents: list) -> bool:
@@ -158,7 +196,7 @@ def still_dropped(inner: list[str], closing: bool, name: str, attributes: str, p
 
 def text_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # tag, aside, main, named
+    open_: list[tuple[str, bool, bool, float | None]] = []  # tag, aside, main, named
     parts: list[str] = []
     linked: list[str] = []
     inner: list[str] = []  # open elements from a dropped one on
@@ -174,7 +212,7 @@ def text_blocks(page: str) -> list[Block]:
             in_main = any(x[2] for x in open_)
             in_header = any(x[0] == "header" for x in open_)
             aside = any(x[1] for x in open_) or in_header and not (in_main and heading)
-            blocks.append(Block(text, own, min(1.0, inside / own), int(aside), float(in_main), int(any(x[3] for x in open_)), int(heading)))
+            blocks.append(Block(text, own, min(1.0, inside / own), int(aside), float(in_main), place_name(open_), int(heading)))
         parts.clear()
         linked.clear()
 
@@ -225,7 +263,7 @@ def text_blocks(page: str) -> list[Block]:
                     has_main |= name in MAIN
                     if name == "body":
                         open_.clear()
-                    open_.append((name, name in ASIDES, name in MAIN, name not in ("html", "body") and name not in MAIN and named(attributes)))
+                    open_.append((name, name in ASIDES, name in MAIN, None if name in ("html", "body") else named(attributes)))
     flush()
     if not has_main:
         for b in blocks:
@@ -242,7 +280,7 @@ def rows_of(blocks: list[Block]) -> list[list[float]]:
     ]
 
 
-def grow_tree(rows: list[list[float]], labels: list[int], depth: int = 6):
+def grow_tree(rows: list[list[float]], labels: list[int], depth: int = 9):
     """A decision tree by Gini impurity: a leaf is 0 or 1, a node (feature, threshold, left, right)."""
     ones = sum(labels)
     if not depth or ones in (0, len(labels)):
@@ -271,6 +309,7 @@ def grow_tree(rows: list[list[float]], labels: list[int], depth: int = 6):
 @lru_cache(maxsize=1)
 def trained_tree():
     table = [[float(x) for x in line.split()] for line in LABELLED.strip().splitlines()]
+    table += [[*own, *before, *after, *place, heading, label] for heading in (0, 1) for place, label in PLACES for _ in range(WEIGHT[label]) for own in OWN for before in AROUND for after in AROUND]
     return grow_tree([r[:-1] for r in table], [int(r[-1]) for r in table])
 
 

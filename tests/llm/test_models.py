@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode.llm import quality, toxicity
-from codelode.llm.html_text import extract_main_text, main_text
+from codelode.llm.html_text import FEATURES, extract_main_text, main_text, trained_tree
 
 WORDS = [a + b for a in ("tion", "the", "an", "ver", "ou", "re") for b in ("s", "ing", "er", "le", "om", "ka")]
 BAD = ["idiot", "moron", "scumbag", "loweist", "loweian"]
@@ -197,6 +197,27 @@ def test_elements_left_open(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    (f'<div class="layout with-sidebar"><article><p>{LONG}</p></article></div>', LONG),
+    (f'<div class="content promo-free"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+    (f'<div class="article-share-wrapper"><article><p>{LONG}</p></article></div>', LONG),
+    *[(f'<article><p>{LONG}</p><section class="{c}"><p>{LONG}</p></section></article>', f"{LONG}\n{LONG}") for c in ("legal", "follow-up", "side-effects")],
+    (f'<article><p>{LONG}</p><div class="share-bar"><a href=1>Post</a></div><div class="article-share"><a href=1>Send this</a></div></article>', LONG),
+    (f'<main><p>{LONG}</p><section id="comments"><article><p>{LONG}</p></article></section><article class="comment"><p>{LONG}</p></article></main>', LONG),
+    (f'<div>Sections</div><ul><li><a href=1>A</a><li><a href=2>B</a></ul><p>{LONG}</p><p>Short end.</p><ul><li><a href=3>C d</a></ul><div>Made here</div>', f"{LONG}\nShort end."),
+])
+def test_layouts(page, want):
+    assert main_text(page) == want
+
+
+def test_the_tree_uses_words_and_neighbours():
+    def split_on(tree):
+        return {FEATURES[tree[0]]} | split_on(tree[2]) | split_on(tree[3]) if isinstance(tree, tuple) else set()
+
+    used = split_on(trained_tree())
+    assert {"words", "links"} & used and used & {"words_before", "words_after"} and used & {"links_before", "links_after"}
+
+
 def test_a_very_long_page():
     body = "".join(f"<p>paragraph {i}</p>" for i in range(20_000))
     assert main_text(f"<article>{body}</article>").count("\n") == 19_999
