@@ -11,7 +11,8 @@ looks at most a few characters ahead, and classes of characters end a run wherev
 an apostrophe). ``MARGIN`` bytes cover the longest special token and look-ahead.
 
 Nulls and empty texts have no ids; ids of null decode to an empty text. Long texts are keyed by their digest, so
-repeated rows and ids cost one encoding. Extra columns pass through; names starting with ``_bpe`` are reserved.
+repeated rows and ids cost one encoding. Extra columns pass through; a column named as the ids is replaced, and names
+starting with ``_bpe`` are reserved.
 """
 
 from __future__ import annotations
@@ -130,6 +131,7 @@ def _encode_udf(path: str):
 
 def encode_texts(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """The input with ``ids_col``: ids as little-endian unsigned 32-bit integers."""
+    docs = docs.drop(*[c for c in docs.columns if c == ids_col and c != text_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
     encode = _encode_udf(path)
     short = docs.filter(F.length(text) <= leaf_chars).withColumn(ids_col, encode(text))

@@ -7,7 +7,8 @@ another seeded digest. Counts depend on seed, doc_id and rate alone, so a rerun
 
 Nulls: a null source is a source of its own (weight by its size, as the others); null texts are replicated as they are.
 Repeated rows with one doc_id get the same count. A source without a target keeps the default weight. Empty tables give
-empty results. Columns of the input are kept as they are, whatever their names.
+empty results. Columns of the input are kept as they are, whatever their names, but for ``mix_copy``
+and ``mix_key``, which the results replace.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def repetition_rates(
     ``weights`` are relative target shares by source name; sources that it leaves out get their default weight. The
     output has ``growth`` times as many rows as the input on average. Rates above 700 would underflow and raise.
     """
-    total = docs.groupBy(F.col(source_col).alias("_source")).agg(F.count("*").alias("n_docs"))
+    total = docs.select(F.col(f"`{source_col}`").alias("_source")).groupBy("_source").agg(F.count("*").alias("n_docs"))
     weight = F.pow(F.col("n_docs").cast("double"), F.lit(float(temperature)))
     if weights:
         listed = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
@@ -75,13 +76,16 @@ def mix_sources(
     rates = repetition_rates(docs, source_col, weights, temperature, growth).select("_source", F.col("rate").alias("_rate"))
     if rates.count() <= MAX_BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    kept = docs.columns
-    u = digest_unit(seeded_digest(seed, F.col(id_col)))
+    own = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    u = digest_unit(seeded_digest(seed, F.col("row")[id_col]))
     counted = (
-        docs.join(rates, docs[source_col].eqNullSafe(rates["_source"]))
-        .withColumn("_count", poisson_count(u, F.col("_rate")))
-        .filter("_count > 0")
-        .withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+        rows.join(rates, rows["row"][source_col].eqNullSafe(rates["_source"]))
+        .withColumn("count", poisson_count(u, F.col("_rate")))
+        .filter("count > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    )
+    out = counted.select(
+        *[F.col("row")[c].alias(c) for c in own], F.col("copy").cast("int").alias("mix_copy"), seeded_digest(seed + 1, F.col("row")[id_col], F.col("copy")).alias("mix_key")
     )
-    out = counted.select(*[counted[c] for c in kept], F.col("mix_copy").cast("int"), seeded_digest(seed + 1, F.col(id_col), F.col("mix_copy")).alias("mix_key"))
     return out.repartition("mix_key").sortWithinPartitions("mix_key") if shuffle else out

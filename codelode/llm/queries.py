@@ -102,7 +102,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "media")
     write_media(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
     return describe_media(read_media(spark, folder)).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"
     )
 
 
