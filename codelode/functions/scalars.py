@@ -48,7 +48,7 @@ def extension(path: Column) -> Column:
 
 def language_of(path: Column) -> Column:
     """Language by extension, case-sensitive; null where none is known."""
-    return lookup(F.substring(extension(path), 2, 64), LANGUAGE_OF_EXTENSION)
+    return lookup(F.regexp_replace(extension(path), "^[.]", ""), LANGUAGE_OF_EXTENSION)
 
 
 def in_pruned_directory(path: Column) -> Column:
@@ -72,12 +72,16 @@ def safe_relative_path(path: Column) -> Column:
     return F.when(~bad, path)
 
 
+# Directories outside production, and file names of tests.
+NON_PRODUCTION = ["test", "tests", "testing", "spec", "docs", "examples", "samples", "benchmark", "fuzz", "fixtures", "third_party", "vendor"]
+TEST_FILE = r"^(test_.*\.py|.*_test\.py|.*Test\.java|.*\.(spec|test)\.(ts|js|tsx|jsx))$"
+
+
 def non_production(path: Column) -> Column:
     """Whether the path lies among tests, examples, docs and the like, or is named as a test."""
-    names = "test tests __tests__ testing spec specs example examples sample samples demo demos doc docs fixture fixtures benchmark benchmarks vendor third_party".split()
     parts = F.split(F.lower(path), "/")
     folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.arrays_overlap(folders, F.array(*map(F.lit, names))) | F.lower(file_name(path)).rlike(r"(^test_|_test\.|\.test\.|\.spec\.|tests?\.(java|cs)$)")
+    return F.arrays_overlap(folders, F.array(*map(F.lit, NON_PRODUCTION))) | file_name(path).rlike(TEST_FILE)
 
 
 def has_ticket(text: Column) -> Column:

@@ -36,8 +36,8 @@ def coupling(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def match_by_suffix(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """(entry, path, parts): the file that shares the longest suffix with each entry; path is null if none or several do."""
-    own = lambda df, c: df.select(F.col(c), F.explode(path_suffixes(F.col(c))).alias("s")).select(c, "s.suffix", "s.parts")
+    """(entry, path, parts): the file that shares the longest suffix with each entry; path is null if none or several do; ``\\`` counts as ``/``."""
+    own = lambda df, c: df.select(F.col(c), F.explode(path_suffixes(F.replace(F.col(c), F.lit("\\"), F.lit("/")))).alias("s")).select(c, "s.suffix", "s.parts")
     pairs = own(entries.select("entry").distinct(), "entry").join(own(files.select("path").distinct(), "path").drop("parts"), "suffix")
     longest = pairs.groupBy("entry", "path").agg(F.max("parts").alias("parts"))
     by_length = longest.groupBy("entry", "parts").agg(F.count("*").alias("n"), F.min("path").alias("path"))

@@ -290,16 +290,23 @@ def catch_findings(tokens: DataFrame) -> DataFrame:
 
 def field_findings(code: DataFrame) -> DataFrame:
     """Public fields, and mutable attributes of Python classes."""
-    after = F.collect_list("value").over(in_file().rowsBetween(1, 24))
-    java = {"java": ["static", "final"], "csharp": ["static", "readonly"]}
-    some = code.withColumn("_after", after).filter(F.col("language").isin(*java) & (F.col("type") == "KEYWORD") & (F.col("value") == "public"))
-    stop = F.array_position(F.transform("_after", lambda x: x.isin(";", "=", ",", "(", "{")), True).cast("int")
-    head = F.when(stop > 2, F.slice("_after", 1, stop - 1))
-    has = lambda *w: reduce(lambda a, b: a & b, [F.array_contains(head, x) for x in w])
-    declares = F.arrays_overlap(head, F.array(*map(F.lit, ["class", "interface", "enum", "record", "struct", "event", "delegate", "@"])))
+    some = code.filter(F.col("language").isin("java", "csharp"))
+    starts = (F.col("type") == "KEYWORD") & (F.col("value") == "public")
+    some = some.withColumn("_starts", starts).withColumn("_no", F.sum(starts.cast("int")).over(in_file().rowsBetween(W.unboundedPreceding, 0))).filter("_no > 0")
+    # A declaration's head ends before its first ; = ( { or a comma outside angle brackets, however far that is.
+    part = W.partitionBy("path", "_no").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    depth = F.sum(F.when(is_value("value", "<"), 1).when(is_value("value", ">"), -1).otherwise(0)).over(part)
+    end = is_value("value", ";", "=", "(", "{") | (is_value("value", ",") & (F.col("_depth") <= 0))
+    some = some.withColumn("_depth", depth).withColumn("_end", end).withColumn("_past", F.sum(F.col("_end").cast("int")).over(part))
+    heads = some.filter((F.col("_past") == 0) | ((F.col("_past") == 1) & F.col("_end"))).groupBy("path", "language", "_no").agg(
+        F.max(F.when(F.col("_starts"), F.col("line"))).alias("line"), F.max(F.when(F.col("_end"), F.col("value"))).alias("stop"),
+        F.collect_list(F.when(~F.col("_starts") & ~F.col("_end"), F.col("value"))).alias("head"),
+    )
+    has = lambda *w: reduce(lambda a, b: a & b, [F.array_contains("head", x) for x in w])
+    declares = F.arrays_overlap("head", F.array(*map(F.lit, ["class", "interface", "enum", "record", "struct", "event", "delegate", "@"])))
     constant = ((F.col("language") == "java") & has("static", "final")) | ((F.col("language") == "csharp") & (has("static", "readonly") | has("const")))
-    field = head.isNotNull() & F.get("_after", stop - 1).isin(";", "=", ",") & ~constant & ~((F.col("language") == "java") & declares) & ~((F.col("language") == "csharp") & declares)
-    public = some.filter(field).select("path", "language", "line", _prefixed("public-field").alias("rule_id"))
+    field = (F.size("head") >= 2) & F.col("stop").isin(";", "=", ",") & ~constant & ~declares
+    public = heads.filter(field).select("path", "language", "line", _prefixed("public-field").alias("rule_id"))
     python = code.filter("language = 'python'").withColumns({"_n1": ahead("value", 1), "_n2": ahead("value", 2), "_line0": ahead("line", -1)})
     scope = F.last(F.when(F.col("value").isin("class", "def") & (F.col("type") == "KEYWORD"), F.col("value")), True).over(in_file().rowsBetween(W.unboundedPreceding, 0))
     attribute = (F.col("type") == "IDENTIFIER") & (F.col("_n1") == "=") & F.col("_n2").isin("[", "{") & (F.col("line") != F.col("_line0")) & ~F.col("value").rlike("^_.*_$|^[A-Z0-9_]+$")

@@ -56,19 +56,52 @@ def bracket_pairs(tokens: DataFrame, open_: str, close: str, counted: dict[str,
 NOT_BEFORE = ("new", "class", "interface", "enum", "record")
 
 
+#: What may come between a function's parameters and its brace, by language: the first word of it, and what ends it.
+SPECIFIERS = {
+    "cpp": (["const", "noexcept", "override", "final", "volatile", "&", "-", "try"], ["{", ";", "}", "="]),
+    "java": (["throws"], ["{", ";", "}", "=", "("]),
+    "typescript": ([":"], ["{", ";", "}", "="]),
+    "csharp": (["where"], ["{", ";", "}", "="]),
+}
+
+
+def next_stop(tokens: DataFrame, column: str, condition: Column, what: Column) -> DataFrame:
+    """With ``column``: ``what`` of the next token in the file that meets the condition, however far.
+
+    The window runs backwards, so that no row reads the rest of its file again.
+    """
+    backwards = W.partitionBy("path").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
+    return tokens.withColumn(column, F.last(F.when(condition, what), True).over(backwards))
+
+
 def brace_functions(tokens: DataFrame) -> DataFrame:
     """(path, name, start_line, end_line, line_count) of ``name ( ... ) {`` ... ``}`` in brace languages.
 
-    Words between the closing parenthesis and the brace (const, throws, a return type) are not followed, so a function
-    with such words is found only where the brace comes at once; nested functions are found each.
+    Specifiers, thrown types, return types and constraints between the parenthesis and the brace are passed over
+    (``SPECIFIERS``); in scripts also ``function (...) {`` and ``=> {``, under the name that they are assigned to or
+    ``<anonymous>``. Nested functions are found each.
     """
     code = significant(tokens.filter("language <> 'python'"))
+    script = F.col("language").isin("javascript", "typescript")
+    stops, starts = F.lit(False), F.lit(False)
+    for language, (first, ends) in SPECIFIERS.items():
+        stops = stops | ((F.col("language") == language) & is_value("value", *ends))
+        starts = starts | ((F.col("language") == language) & is_value("value", *first))
     names = code.withColumns({"_next": ahead("value", 1), "_open": ahead("idx", 1), "_before": ahead("value", -1)}).filter(
         (F.col("type") == "IDENTIFIER") & (F.col("_next") == "(") & (F.col("_before").isNull() | ~F.col("_before").isin(*NOT_BEFORE))
     ).select("path", F.col("_open").alias("open"), F.col("value").alias("name"), F.col("line").alias("start_line"))
-    parens = bracket_pairs(code, "(", ")").filter("next_value = '{'").select("path", "open", F.col("next_idx").alias("brace"))
+    function = code.withColumns({"_open": ahead("idx", 1), "_next": ahead("value", 1)}).filter(script & (F.col("type") == "KEYWORD") & (F.col("value") == "function") & (F.col("_next") == "("))
+    assigned = W.partitionBy("path").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    name = F.when(is_value("value", ";", "{", "}"), "<anonymous>").when((F.col("type") == "IDENTIFIER") & (F.col("_1") == "=") & (F.col("_2") != ">"), F.col("value"))
+    arrows = code.withColumns({f"_{k}": ahead("value", k) for k in (1, 2)} | {"brace": ahead("idx", 2)}).withColumn("_name", F.coalesce(F.last(name, True).over(assigned), F.lit("<anonymous>")))
+    owners = arrows.select("path", "idx", "_name")
+    arrows = arrows.filter(script & is_value("value", "=") & (F.col("_1") == ">") & (F.col("_2") == "{")).select("path", "brace", F.col("_name").alias("name"), F.col("line").alias("start_line"))
+    function = function.join(owners, ["path", "idx"]).select("path", F.col("_open").alias("open"), F.col("_name").alias("name"), F.col("line").alias("start_line"))
+    names = names.unionByName(function)
+    after = next_stop(code, "_stop", stops, F.struct("idx", "value")).filter(starts & (F.col("_stop.value") == "{")).select("path", F.col("idx").alias("next_idx"), F.col("_stop.idx").alias("far"))
+    parens = bracket_pairs(code, "(", ")").join(after, ["path", "next_idx"], "left").select("path", "open", F.when(F.col("next_value") == "{", F.col("next_idx")).otherwise(F.col("far")).alias("brace")).filter("brace is not null")
     braces = bracket_pairs(code, "{", "}").select("path", F.col("open").alias("brace"), F.col("close_line").alias("end_line"))
-    return names.join(parens, ["path", "open"]).join(braces, ["path", "brace"]).select("path", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
+    return names.join(parens, ["path", "open"]).drop("open").unionByName(arrows).join(braces, ["path", "brace"]).select("path", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
 
 
 def python_functions(tokens: DataFrame, files: DataFrame) -> DataFrame:
@@ -90,16 +123,32 @@ def functions_of(tokens: DataFrame, files: DataFrame) -> DataFrame:
     return brace_functions(tokens).unionByName(python_functions(tokens, files))
 
 
-def decision_points(tokens: DataFrame) -> DataFrame:
-    """Tokens that add a path: loops, conditions, cases, catches, ``?``, and the two-sided logical operators."""
+# Types that ``?`` makes nullable.
+VALUE_TYPES = ["int", "uint", "long", "ulong", "short", "ushort", "byte", "sbyte", "char", "bool", "decimal", "double", "float"]
+
+
+def decision_points(tokens: DataFrame, in_functions: bool = False) -> DataFrame:
+    """Tokens that add a path: loops, conditions, cases, catches, ternaries, ``??`` and the two-sided logical operators.
+
+    ``?.``, optional parameters and nullable types add none. Python's ``match`` and ``case`` count for a file, not
+    ``in_functions``.
+    """
     code = significant(tokens)
     brace = F.col("language") != "python"
     words = (F.col("type") == "KEYWORD") & (
-        F.col("value").isin("if", "for", "while", "case") | (brace & F.col("value").isin("catch", "switch", "do", "foreach"))
-        | (~brace & F.col("value").isin("elif", "except", "match", "and", "or"))
+        F.col("value").isin("if", "for", "while") | (brace & F.col("value").isin("case", "catch", "switch", "do")) | ((F.col("language") == "csharp") & F.col("value").isin("foreach", "when"))
+        | (~brace & F.col("value").isin("elif", "except", "and", "or")) | (~brace & F.col("value").isin("match", "case") & F.lit(not in_functions))
     )
     twin = brace & is_value("value", "&", "|") & (F.lead("value").over(in_file()) == F.col("value")) & (F.lead("idx").over(in_file()) == F.col("idx") + 1)
-    return code.withColumn("_hit", words | twin | (brace & is_value("value", "?"))).filter("_hit").drop("_hit")
+    near = code.withColumns({"_1": ahead("value", 1), "_m1": ahead("value", -1), "_tm1": ahead("type", -1)})
+    follows, comes = F.coalesce("_1", F.lit("")), F.coalesce("_m1", F.lit(""))
+    language = F.col("language")
+    plain = (
+        F.when(language.isin("java", "cpp"), True).when(comes == "?", False).when(follows == "?", True).when(follows == ".", False)
+        .when(language == "typescript", follows != ":")
+        .when(language == "csharp", (follows != "[") & ~((F.col("_tm1") == "KEYWORD") & comes.isin(VALUE_TYPES))).otherwise(True)
+    )
+    return near.withColumn("_hit", words | twin | (brace & is_value("value", "?") & plain)).filter("_hit").drop("_hit", "_1", "_m1", "_tm1")
 
 
 def nesting(tokens: DataFrame, files: DataFrame) -> DataFrame:
@@ -148,22 +197,29 @@ def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
 
 def import_targets(tokens: DataFrame) -> DataFrame:
     """(path, target): what each import, include or using names; empty for an include in angle brackets."""
-    before, running = F.lag("type", 1, "NEWLINE").over(in_file()), in_file().rowsBetween(1, 64)
     code = tokens.filter(~F.col("type").isin(*CODE_COMMENTS))
-    following = F.collect_list(F.struct("type", "value")).over(running)
+    language, keyword = F.col("language"), F.col("type") == "KEYWORD"
+    running = in_file().rowsBetween(W.unboundedPreceding, 0)
+    before = F.lag("type", 1, "NEWLINE").over(in_file())
     # The statement's string, however far: read backwards, so that no row reads the rest of its file again.
-    backwards = W.partitionBy("path").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
-    module = F.last(F.when(F.col("type") == "STRING", F.col("value")).when(is_value("value", ";"), ""), True).over(backwards)
-    some = code.withColumns({"_before": before, "_after": following, "_module": module})
-    run = lambda stop: F.array_join(F.transform(F.slice("_after", 1, F.greatest(F.coalesce(F.array_position(F.transform("_after", stop), True), F.size("_after").cast("long") + 1).cast("int") - 1, F.lit(0))), lambda x: x["value"]), "")
-    target = (
-        F.when((F.col("language") == "cpp") & F.col("value").startswith("#include"), F.regexp_extract("value", r'^#include\s*"([^"]*)"', 1))
-        .when((F.col("language") == "python") & F.col("value").isin("import", "from") & (F.col("_before") == "NEWLINE"), run(lambda x: (x["type"] == "NEWLINE") | (x["value"].isin("import", "as", ","))))
-        .when((F.col("language") == "java") & (F.col("value") == "import"), F.regexp_replace(run(lambda x: x["value"] == ";"), "^static", ""))
-        .when(F.col("language").isin("javascript", "typescript") & (F.col("type") == "KEYWORD") & (F.col("value") == "import"), F.coalesce(F.regexp_replace("_module", "^['\"`]|['\"`]$", ""), F.lit("")))
-        .when((F.col("language") == "csharp") & (F.col("type") == "KEYWORD") & (F.col("value") == "using") & (F.get("_after", F.lit(0))["value"] != "("), F.regexp_replace(run(lambda x: x["value"] == ";"), "^static|^.*=", ""))
+    some = next_stop(code.withColumn("_before", before), "_module", (F.col("type") == "STRING") | is_value("value", ";"), F.when(F.col("type") == "STRING", F.col("value")).otherwise(F.lit("")))
+    starts = (
+        ((language == "python") & F.col("value").isin("import", "from") & (F.col("_before") == "NEWLINE"))
+        | ((language == "java") & (F.col("value") == "import")) | ((language == "csharp") & keyword & (F.col("value") == "using") & F.coalesce(ahead("value", 1) != "(", F.lit(True)))
+    )
+    ends = ((language == "python") & ((F.col("type") == "NEWLINE") | F.col("value").isin("import", "as", ","))) | (language.isin("java", "csharp") & (F.col("value") == ";"))
+    # A name is what lies between its start and the first end after it: both are counted, and the parts are put together by start.
+    marked = some.withColumn("_starts", starts).withColumns({"_no": F.sum(F.col("_starts").cast("int")).over(running), "_end": (ends & ~F.col("_starts")).cast("int")})
+    part = W.partitionBy("path", "_no").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
+    named = marked.filter("_no > 0").withColumn("_past", F.sum("_end").over(part)).filter("_past = 0").groupBy("path", "language", "_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_starts"), F.struct("idx", "value")))), lambda x: x["value"]), "").alias("_name")
+    )
+    named = named.select("path", F.when(language == "java", F.regexp_replace("_name", "^static", "")).when(language == "csharp", F.regexp_replace("_name", "^static|^.*=", "")).otherwise(F.col("_name")).alias("target"))
+    at_once = (
+        F.when((language == "cpp") & F.col("value").startswith("#include"), F.regexp_extract("value", r'^#include\s*"([^"]*)"', 1))
+        .when(language.isin("javascript", "typescript") & keyword & (F.col("value") == "import"), F.coalesce(F.regexp_replace("_module", "^['\"`]|['\"`]$", ""), F.lit("")))
     )
-    return some.select("path", target.alias("target")).filter("target is not null")
+    return some.select("path", at_once.alias("target")).filter("target is not null").unionByName(named)
 
 
 def function_complexity(tokens: DataFrame, files: DataFrame) -> DataFrame:
@@ -171,7 +227,7 @@ def function_complexity(tokens: DataFrame, files: DataFrame) -> DataFrame:
     from .joins import innermost_interval
 
     spans = functions_of(tokens, files).withColumn("span", F.struct("start_line", "end_line", "name"))
-    points = decision_points(tokens).select("path", F.col("idx").alias("point"), F.col("line").alias("at"))
+    points = decision_points(tokens, True).select("path", F.col("idx").alias("point"), F.col("line").alias("at"))
     held = innermost_interval(points, spans.select("path", "span", F.col("start_line").alias("start"), F.col("end_line").alias("end")), ["path"])
     counts = held.filter("span is not null").groupBy("path", "span").agg(F.count("*").alias("_n"))
     return spans.join(counts, ["path", "span"], "left").select("path", "name", "start_line", (F.coalesce("_n", F.lit(0)) + 1).alias("complexity"))

@@ -464,13 +464,13 @@ def url_scalars(spark, sf_dir):
     )
 
 
-NONPROD = "'test', 'tests', '__tests__', 'testing', 'spec', 'specs', 'example', 'examples', 'sample', 'samples', 'demo', 'demos', 'doc', 'docs', 'fixture', 'fixtures', 'benchmark', 'benchmarks', 'vendor', 'third_party'"
+NONPROD = "'test', 'tests', 'testing', 'spec', 'docs', 'examples', 'samples', 'benchmark', 'fuzz', 'fixtures', 'third_party', 'vendor'"
 
 
 @query(f"""
 WITH u AS (SELECT regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
 v AS (SELECT CASE WHEN length(path) % 3 = 0 THEN 'docs/' ELSE 'lib/' END || path || CASE WHEN length(path) % 5 = 0 THEN '_test.py' ELSE '.py' END AS path FROM u)
-SELECT len(list_filter(string_split(lower(path), '/')[:-2], lambda x: x IN ({NONPROD}))) > 0 OR regexp_matches(lower(path), '(^|/)test_[^/]*$|_test\\.[^/]*$') AS non_production, count(*) AS n FROM v GROUP BY 1""")
+SELECT len(list_filter(string_split(lower(path), '/')[:-2], lambda x: x IN ({NONPROD}))) > 0 OR regexp_matches(string_split(path, '/')[-1], '^(test_.*\\.py|.*_test\\.py|.*Test\\.java|.*\\.(spec|test)\\.(ts|js|tsx|jsx))$') AS non_production, count(*) AS n FROM v GROUP BY 1""")
 def nonprod_split(spark, sf_dir):
     path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
     full = F.concat(F.when(F.length(path) % 3 == 0, "docs/").otherwise("lib/"), path, F.when(F.length(path) % 5 == 0, "_test.py").otherwise(".py"))

@@ -9,7 +9,10 @@ from pyspark.sql import types as T
 from ..functions.scalars import extension, in_pruned_directory, language_of, lookup, relative_path
 
 # Display names of extensions that are counted but not analysed.
-OTHER_NAMES = {".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".kt": "Kotlin", ".swift": "Swift", ".scala": "Scala", ".sh": "Shell", ".sql": "SQL", ".html": "HTML", ".css": "CSS", ".json": "JSON", ".yml": "YAML", ".yaml": "YAML", ".xml": "XML", ".md": "Markdown", ".txt": "Text"}
+OTHER_NAMES = {
+    ".js": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".cs": "C#",
+    ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift", ".kt": "Kotlin", ".kts": "Kotlin", ".m": "Objective-C", ".scala": "Scala", ".dart": "Dart",
+}
 
 STUDY = T.StructType([
     T.StructField("repo", T.StringType()), T.StructField("commit_scanned", T.StringType()), T.StructField("primary_language", T.StringType()),

@@ -36,19 +36,21 @@ def lcov_entries(lines: DataFrame) -> DataFrame:
     """(file, source, lines_found, lines_hit, coverage_pct, uncovered) of LCOV records.
 
     A record starts at ``SF:`` and ends at the next one or ``end_of_record``. Of several ``DA:`` of a line the last
-    counts; ``LF:`` and ``LH:`` override what the ``DA:`` lines say.
+    counts; the last ``LF:`` and ``LH:`` override what the ``DA:`` lines say. White space around lines doesn't count.
     """
     order = W.partitionBy("file").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
     marked = lines.withColumn("record", F.sum(F.col("text").startswith("SF:").cast("int")).over(order))
     marked = marked.withColumn("_over", F.sum(F.trim("text").eqNullSafe("end_of_record").cast("int")).over(W.partitionBy("file", "record").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
     inside = marked.filter("record > 0 and _over = 0")
     field = lambda p: F.expr(f"try_cast(regexp_extract(text, '{p}', 1) as long)")
+    last_of = lambda c: F.max(F.when(c.isNotNull(), F.struct("n", c.alias("value"))))["value"]
     da = inside.filter(F.col("text").rlike(r"^DA:\d+,-?\d+")).select("file", "record", "n", field("^DA:([0-9]+)").alias("line"), F.expr("try_cast(regexp_extract(text, '^DA:[0-9]+,(-?[0-9]+)', 1) as long)").alias("hits"))
     last = da.groupBy("file", "record", "line").agg(F.max(F.struct("n", "hits"))["hits"].alias("hits"))
     per = last.groupBy("file", "record").agg(F.count("*").alias("_lf"), F.count_if(F.col("hits") > 0).alias("_lh"), F.sort_array(F.collect_list(F.when(F.col("hits") <= 0, F.col("line")))).alias("uncovered"))
     head = inside.groupBy("file", "record").agg(
-        F.min(F.when(F.col("text").startswith("SF:"), F.trim(F.substring("text", 4, 4096)))).alias("source"),
-        F.max(field("^LF:([0-9]+)")).alias("lf"), F.max(field("^LH:([0-9]+)")).alias("lh"),
+        F.min(F.when(F.col("text").startswith("SF:"), F.trim(F.expr("substring(text, 4)")))).alias("source"),
+        last_of(field("^LF:([0-9]+)")).alias("lf"), last_of(field("^LH:([0-9]+)")).alias("lh"),
     )
     out = head.join(per, ["file", "record"], "left").withColumns({
         "lines_found": F.coalesce("lf", "_lf", F.lit(0)), "lines_hit": F.coalesce("lh", "_lh", F.lit(0)), "uncovered": F.coalesce("uncovered", F.array().cast("array<bigint>")),
@@ -83,7 +85,7 @@ def diff_lines(lines: DataFrame) -> DataFrame:
     own = own.withColumns({"_o": F.coalesce(F.sum((body & takes_old).cast("int")).over(past), F.lit(0)), "_k": F.coalesce(F.sum((body & takes_new).cast("int")).over(past), F.lit(0))})
     content = body & ((takes_old & takes_new & (F.col("_o") < F.col("_old")) & (F.col("_k") < F.col("_new"))) | (sign.eqNullSafe("-") & (F.col("_o") < F.col("_old"))) | (sign.eqNullSafe("+") & (F.col("_k") < F.col("_new"))))
     own = own.withColumn("_content", content)
-    path = lambda p: F.when(~F.col("_content") & F.col("text").startswith(p), F.regexp_replace(F.regexp_replace(F.substring("text", 5, 4096), '^"|"$|\t.*$', ""), "^[ab]/", ""))
+    path = lambda p: F.when(~F.col("_content") & F.col("text").startswith(p), F.regexp_replace(F.regexp_replace(F.expr("substring(text, 5)"), '^"|"$|\t.*$', ""), "^[ab]/", ""))
     own = own.withColumns({"_from": F.last(path("--- "), True).over(order), "_to": F.last(path("+++ "), True).over(order)})
     kind = (
         F.when(F.col("_content") & (sign == "+"), "added").when(~F.col("_content") & F.col("text").startswith("Binary files "), "binary")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codelode.operators import rules, structure
 from codelode.operators.rules import CATALOG, catalog, findings
 from codelode.operators.structure import file_metrics, function_complexity, functions_of, import_targets
 from codelode.operators.tokens import tokens
@@ -95,3 +96,44 @@ def test_catalog(spark):
     assert catalog(spark, category="security").count() == 45
     with pytest.raises(ValueError):
         catalog(spark, language="cobol")
+
+
+def functions_in(spark, *files):
+    frame = spark.createDataFrame([(f"{i}", language, text) for i, (language, text) in enumerate(files)], "path string, language string, content string")
+    toks = tokens(frame)
+    return frame, toks, {(r.path, r.name, r.start_line, r.end_line) for r in structure.functions_of(toks, frame).collect()}
+
+
+def test_function_forms(spark):
+    _, _, got = functions_in(
+        spark, ("cpp", "int A::m() const noexcept {\n}\nint f(int x);\nauto g() -> int {\n}\n"), ("java", "class A { void m() throws X, Y {\n}\n void n();\n int k() {}\n}"),
+        ("typescript", "const h = (x: number) => {\n};\nfunction t(a: A): Promise<B> {\n}\nrun(() => {\n});\n"), ("csharp", "class A { void M(T x) where T : B {\n} }"),
+        ("javascript", "const k = function (a) {\n}\n"),
+    )
+    assert got == {
+        ("0", "m", 1, 2), ("0", "g", 4, 5), ("1", "m", 1, 2), ("1", "k", 4, 4), ("2", "h", 1, 2), ("2", "t", 3, 4), ("2", "<anonymous>", 5, 6), ("3", "M", 1, 2), ("4", "k", 1, 2),
+    }
+
+
+def test_question_marks_and_matches(spark):
+    frame, toks, _ = functions_in(
+        spark, ("typescript", "function f(x?: T) { return x?.a?.b ?? c; }"), ("csharp", "class A { int F() { int? a = 1; int? b = 2; return a ?? b; } }"),
+        ("python", "def f(x):\n    match x:\n        case 1: pass\n        case 2: pass\n"), ("java", "class A { int f(int a) { return a > 1 ? 2 : 3; } }"),
+    )
+    got = {r.path: r.complexity for r in structure.function_complexity(toks, frame).collect()}
+    assert got == {"0": 2, "1": 2, "2": 1, "3": 2}
+
+
+def test_imports_and_fields_of_any_length(spark):
+    names = ",\n".join(f"name{i}" for i in range(60))
+    dotted = ".".join(f"part{i}" for i in range(80))
+    wide = "Map<" + ", ".join(f"A{i}" for i in range(30)) + ">"
+    frame = spark.createDataFrame([
+        ("a.ts", "typescript", f"import {{ {names} }} from './z';\n"), ("a.java", "java", f"import {dotted};\npublic class A {{\n public {wide} field;\n public {wide} get() {{ return null; }}\n}}"),
+        ("a.py", "python", f"import {dotted} as x, y\nfrom . import z\n"), ("a.cs", "csharp", "using A.B;\nusing X = C.D;\nusing (var f = g()) { }"),
+    ], "path string, language string, content string")
+    toks = tokens(frame)
+    got = sorted((r.path, r.target) for r in structure.import_targets(toks).collect())
+    assert got == sorted([("a.ts", "./z"), ("a.java", dotted), ("a.py", dotted), ("a.py", "."), ("a.cs", "A.B"), ("a.cs", "C.D")])
+    found = [(r.path, r.line) for r in rules.findings(toks, frame).filter("rule_id = 'java-public-field'").collect()]
+    assert found == [("a.java", 3)]
