@@ -383,14 +383,14 @@ def feedback_average(spark, sf_dir):
 
 
 @query("""
-WITH f AS (SELECT o_orderkey::VARCHAR AS path, o_orderstatus = 'P' AS is_new FROM orders WHERE o_orderkey % 3 <> 0),
+WITH f AS (SELECT o_orderkey::VARCHAR AS path, o_orderstatus = 'P' AS is_new FROM orders WHERE o_orderstatus <> 'O'),
 a AS (SELECT DISTINCT l_orderkey::VARCHAR AS path, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'),
 v AS (SELECT l_orderkey::VARCHAR AS path, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_linenumber END AS line FROM lineitem),
 j AS (SELECT v.path, CASE WHEN v.line = 0 THEN f.is_new ELSE a.path IS NOT NULL END AS introduced FROM v JOIN f ON v.path = f.path LEFT JOIN a ON v.path = a.path AND v.line = a.line)
 SELECT introduced, count(*) AS n, count(DISTINCT path) AS files FROM j GROUP BY introduced""")
 def diff_split(spark, sf_dir):
     o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
-    changed = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderstatus") == "P").alias("is_new"))
+    changed = o.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderstatus") == "P").alias("is_new"))
     path = F.col("l_orderkey").cast("string").alias("path")
     added = li.filter("l_returnflag = 'R'").select(path, F.col("l_linenumber").alias("line"))
     found = li.select(path, F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_linenumber")).alias("line"))
@@ -398,12 +398,12 @@ def diff_split(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT o_orderkey AS path, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS language FROM orders WHERE o_orderkey % 3 <> 0),
+WITH d AS (SELECT o_orderkey AS path, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS language FROM orders WHERE o_orderstatus <> 'O'),
 s AS (SELECT DISTINCT l_orderkey AS path FROM lineitem WHERE l_linenumber = 2)
 SELECT coalesce(d.path, s.path) AS path, CASE WHEN d.path IS NULL THEN 'not in diff' WHEN d.language IS NULL THEN 'unsupported' WHEN s.path IS NULL THEN 'content not supplied' ELSE 'analysed' END AS status
 FROM d FULL JOIN s ON d.path = s.path""")
 def diff_reconcile(spark, sf_dir):
-    changed = t(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("language"))
+    changed = t(spark, sf_dir, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("language"))
     supplied = t(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("path")).distinct()
     return diffs.reconcile(changed, supplied)
 
@@ -510,17 +510,22 @@ def _page_files(spark, sf_dir) -> DataFrame:
     return t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.element_at(languages, (F.col("page_id") % 6 + 1).cast("int")).alias("language"), F.col("html").alias("content"))
 
 
+def _pages_as(spark, sf_dir, *languages: str) -> DataFrame:
+    """Every page as a file of each of the languages."""
+    return t(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.explode(F.array(*map(F.lit, languages))).alias("language"), F.col("html").alias("content"))
+
+
 # The java expression without what RE2 lacks (possessive quantifiers don't change what these branches match first).
 JAVA_SQL = r"""//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*(?:"|\n|\z)|''[^''\\\n]*(?:\\[\s\S][^''\\\n]*)*(?:''|\n|\z)|[0-9][0-9A-Za-z_.]*|[A-Za-z_$][A-Za-z0-9_$]*|\n|[\t\v\f\r ]+|[\s\S]"""
 
 
 @query(f"""
-WITH k AS (SELECT page_id::VARCHAR AS path, unnest(regexp_extract_all(html, '{JAVA_SQL}')) AS value FROM pages WHERE page_id % 6 = 2),
+WITH k AS (SELECT page_id::VARCHAR AS path, unnest(regexp_extract_all(html, '{JAVA_SQL}')) AS value FROM pages),
 s AS (SELECT path, value FROM k WHERE NOT regexp_full_match(value, '[\\t\\v\\f\\r ]+'))
 SELECT path, count(*) AS tokens, count(*) FILTER (WHERE value LIKE '"%') AS strings, count(*) FILTER (WHERE regexp_matches(value, '^[0-9]')) AS numbers,
   count(*) FILTER (WHERE regexp_matches(value, '^[A-Za-z_$]')) AS words, count(*) FILTER (WHERE value LIKE '//%') AS comments FROM s GROUP BY path""")
 def tokens_java(spark, sf_dir):
-    found = tokens.tokens(_page_files(spark, sf_dir).filter("language = 'java'"))
+    found = tokens.tokens(_pages_as(spark, sf_dir, "java"))
     word = F.col("type").isin("IDENTIFIER", "KEYWORD")
     return found.groupBy("path").agg(
         F.count("*").alias("tokens"), F.count_if(F.col("type") == "STRING").alias("strings"), F.count_if(F.col("type") == "NUMBER").alias("numbers"),
@@ -545,11 +550,12 @@ def file_metrics_health(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT page_id::VARCHAR AS path, html FROM pages WHERE page_id % 6 IN (3, 4))
-SELECT path, CASE WHEN path::BIGINT % 6 = 4 THEN 'ts-var-usage' ELSE 'js-var-usage' END AS rule_id, count(*) AS n FROM s WHERE contains(html, '<script>var t=') GROUP BY path""")
+WITH s AS (SELECT page_id::VARCHAR AS path, html, unnest(['ts-var-usage', 'js-var-usage']) AS rule_id FROM pages)
+SELECT path, rule_id, count(*) AS n FROM s WHERE contains(html, '<script>var t=') GROUP BY path, rule_id""")
 def rule_findings_var(spark, sf_dir):
-    own = _page_files(spark, sf_dir).filter("language in ('javascript', 'typescript')")
-    found = rules.sequence_findings(structure.significant(tokens.tokens(own))).filter("rule_id like '%-var-usage'")
+    # A page is two files here, one a language.
+    own = _pages_as(spark, sf_dir, "javascript", "typescript").withColumn("path", F.concat_ws(":", "path", "language"))
+    found = rules.sequence_findings(structure.significant(tokens.tokens(own))).filter("rule_id like '%-var-usage'").withColumn("path", F.split_part("path", F.lit(":"), F.lit(1)))
     return found.groupBy("path", "rule_id").agg(F.count("*").alias("n"))
 
 

@@ -115,3 +115,18 @@ def test_scan_of_a_tree(spark, tmp_path):
     query = metrics_stream(arriving_files(spark, str(tmp_path)), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 2
+
+
+def test_untrimmed_lcov_lines(spark):
+    lines = [" SF: src/" + "x" * 5000 + ".py ", "\tDA:1,2", "DA:2,0 ", "LF:9", "LH:3", "LF:4", "LH:2", "  end_of_record"]
+    frame = spark.createDataFrame([("r", i + 1, x) for i, x in enumerate(lines)], "file string, n int, text string")
+    (r,) = formats.lcov_entries(frame).collect()
+    assert (r.source, r.lines_found, r.lines_hit, r.coverage_pct, list(r.uncovered)) == ("src/" + "x" * 5000 + ".py", 4, 2, 50.0, [2])
+
+
+def test_backslashes_and_names(spark):
+    entries, own = spark.createDataFrame([("src\\b.py",)], "entry string"), spark.createDataFrame([("lib/src/b.py",), ("b.py",)], "path string")
+    assert [(r.entry, r.path, r.parts) for r in joins.match_by_suffix(entries, own).collect()] == [("src\\b.py", "lib/src/b.py", 2)]
+    paths = ["a/fuzz/x.py", "demo/x.py", "src/test_a.py", "src/AbcTest.java", "src/a.spec.tsx", "src/Test.py", "Docs/a.py", "docs"]
+    got = [r.n for r in spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string").orderBy("i").select(S.non_production(F.col("path")).alias("n")).collect()]
+    assert got == [True, False, True, True, True, False, True, False]
