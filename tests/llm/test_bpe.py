@@ -60,3 +60,10 @@ def test_long_unsplit_and_odd_rows(spark, library):
 
 def test_empty_table(spark):
     assert encode_texts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_an_input_column_named_as_the_ids(spark):
+    docs = spark.createDataFrame([(1, "some text", 5), (2, "long " * 50, 6)], "doc_id long, text string, ids int")
+    out = encode_texts(docs, PATH, leaf_chars=64)
+    assert sorted(out.columns) == ["doc_id", "ids", "text"] and {r.doc_id: bytes(r.ids) for r in out.collect()} == {
+        r.doc_id: bytes(r.ids) for r in encode_texts(docs.drop("ids"), PATH, leaf_chars=64).collect()}

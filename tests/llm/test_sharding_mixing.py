@@ -62,3 +62,12 @@ def test_mixing_inverts_the_poisson_distribution(spark):
     assert Counter((r.doc_id, r.mix_copy) for r in out.collect()) == want
     assert out.columns == ["doc_id", "text", "source", "mix_copy", "mix_key"]
     assert abs(sum(want.values()) - 2 * len(ROWS)) < 6 * math.sqrt(2 * len(ROWS))
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    plain = docs(spark)
+    clash = plain.selectExpr("*", "1 as _count", "2 as _rate", "3 as row", "4 as copy", "5 as mix_copy", "6 as `a.b`", "7 as _source")
+    out = mix_sources(clash)
+    assert out.columns == [*plain.columns, "_count", "_rate", "row", "copy", "a.b", "_source", "mix_copy", "mix_key"]
+    got = [(r.doc_id, r.mix_copy, r._count, r._rate, r.row, r.copy, r["a.b"], r._source) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(r.doc_id, r.mix_copy, 1, 2, 3, 4, 6, 7) for r in mix_sources(plain).collect()], key=str)
