@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import first_phrase, has_ticket
 from .findings import secret_hits
 from .joins import supersede
-from .structure import CODE_COMMENTS, ahead, bracket_pairs, function_complexity, functions_of, in_file, is_value, nesting, significant
+from .structure import CODE_COMMENTS, ahead, bracket_pairs, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
 
 # Rules as id, severity, category, tier, confidence.
 CATALOG = """
@@ -200,7 +200,7 @@ def _prefixed(suffix: str) -> Column:
 
 
 def _step(step: str, k: int) -> Column:
-    value, kind = F.col(f"v{k}"), F.col(f"t{k}")
+    value, kind = (F.col(f"v{k}"), F.col(f"t{k}")) if k else (F.col("value"), F.col("type"))
     literal = kind.isin("STRING", "CHAR")
     if step.startswith("~"):
         return literal & value.rlike(step[1:])
@@ -209,12 +209,9 @@ def _step(step: str, k: int) -> Column:
     return ~literal & value.isin(step.split("/") if step != "/" else ["/"])
 
 
-def sequence_findings(code: DataFrame) -> DataFrame:
-    """Rules of neighbouring tokens; ``code`` has the significant tokens."""
+def sequence_hits() -> list[Column]:
+    """Rules of neighbouring tokens, each the rule's id or null, on the columns of ``structured``."""
     specs = [(x.split()[0], x.split()[1:]) for x in SEQUENCES.strip().splitlines()]
-    near = {f"{c}{k}": ahead(n, k) for k in range(-2, 8) for c, n in (("v", "value"), ("t", "type"))}
-    near = {k.replace("-", "m"): c for k, c in near.items()}
-    wide = code.withColumns(near)
     hits = []
     for rule, steps in specs:
         own = F.col("language") == LANGUAGE[rule.split("-")[0]]
@@ -238,41 +235,71 @@ def sequence_findings(code: DataFrame) -> DataFrame:
     raw = F.col("value").isin("List", "Map", "Set", "ArrayList", "HashMap", "HashSet", "LinkedList", "Collection", "Iterator") & (F.col("type") == "IDENTIFIER")
     typed = ((F.col("vm1") == "new") & (F.col("v1") == "(")) | (F.col("t1") == "IDENTIFIER")
     hits.append(F.when((F.col("language") == "java") & raw & typed, "java-raw-type-usage"))
-    found = wide.select("path", "language", "line", "idx", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
-    # One finding a file: the first place.
-    once = (
-        code.filter(((F.col("language") == "java") & (F.col("value") == "X509TrustManager")) | ((F.col("language") == "csharp") & (F.col("value") == "ServerCertificateValidationCallback")))
+    return hits
+
+
+def once_findings(tokens: DataFrame) -> DataFrame:
+    """Rules with one finding a file: the first place."""
+    return (
+        tokens.filter(((F.col("language") == "java") & (F.col("value") == "X509TrustManager")) | ((F.col("language") == "csharp") & (F.col("value") == "ServerCertificateValidationCallback")))
         .filter("type = 'IDENTIFIER'").groupBy("path", "language").agg(F.min(F.struct("idx", "line")).alias("m"))
-        .select("path", "language", "m.line", "m.idx", F.when(F.col("language") == "java", "java-sec-trust-manager-review").otherwise("csharp-sec-cert-validation-disabled").alias("rule_id"))
+        .select("path", "language", "m.line", F.when(F.col("language") == "java", "java-sec-trust-manager-review").otherwise("csharp-sec-cert-validation-disabled").alias("rule_id"))
     )
-    return found.unionByName(once).drop("idx")
 
 
-def call_findings(code: DataFrame) -> DataFrame:
-    """Rules about what a call's brackets hold."""
-    follows = lambda *texts: reduce(lambda a, b: a & b, [ahead("value", k) == t for k, t in enumerate(texts)])
-    counted = {
+def sequence_findings(code: DataFrame) -> DataFrame:
+    """Rules of neighbouring tokens; ``code`` has the significant tokens."""
+    found = structured(code).select("path", "language", "line", F.explode(F.array_compact(F.array(*sequence_hits()))).alias("rule_id"))
+    return found.unionByName(once_findings(code))
+
+
+def call_counts() -> dict[str, Column]:
+    """What the rules count in a call's brackets, on the columns of ``structured``."""
+    follows = lambda *texts: reduce(lambda a, b: a & b, [F.col(f"v{k}" if k else "value") == t for k, t in enumerate(texts)])
+    return {
         "plus": is_value("value", "+"), "loader": F.col("value").isin("Loader"), "shell_true": follows("shell", "=", "True"),
-        "not_for_security": follows("usedforsecurity", "=", "False"), "dots": is_value("value", "."),
-        "mutable": is_value("value", "=") & ahead("value", 1).isin("[", "{"),
+        "not_for_security": follows("usedforsecurity", "=", "False"), "mutable": is_value("value", "=") & F.col("v1").isin("[", "{"),
     }
-    # Conditions that look ahead are windows, so they are columns before the brackets' own windows sum them.
-    marked = code.withColumns({f"_is_{n}": F.coalesce(c, F.lit(False)) for n, c in counted.items()})
-    pairs = bracket_pairs(marked, "(", ")", {n: F.col(f"_is_{n}") for n in counted}).drop("open_line")
-    before = code.withColumns({f"b{k}": ahead("value", -k) for k in range(1, 4)}).filter(is_value("value", "(")).select("path", "language", "line", F.col("idx").alias("open"), "b1", "b2", "b3")
-    calls = before.join(pairs, ["path", "open"])
+
+
+def call_hits() -> list[Column]:
+    """Rules about what a call's brackets hold, each the rule's id or null."""
+    call = is_value("value", "(") & F.col("close").isNotNull()
     hits = []
     for rule, names, inside, what in CALLS:
-        own = F.col("language") == LANGUAGE[rule.split("-")[0]]
-        own = reduce(lambda a, b: a & b, [F.col(f"b{len(names) - i}").isin(n.split("/")) for i, n in enumerate(names)], own)
-        hits.append(F.when(own & ((F.col(what) > 0) if inside else (F.col(what) == 0)), rule))
-    found = calls.select("path", "language", "line", F.explode(F.array_compact(F.array(*hits))).alias("rule_id"))
-    defaults = calls.filter((F.col("language") == "python") & (F.col("b2") == "def") & (F.col("mutable") > 0))
-    defaults = defaults.select("path", "language", "line", F.explode(F.array_repeat(F.lit("py-mutable-default-arg"), F.col("mutable").cast("int"))).alias("rule_id"))
-    limits = calls.filter((F.col("language") == "cpp") & F.col("b1").isin("if", "while")).select("path", "open", "close")
-    numbers = code.filter((F.col("language") == "cpp") & (F.col("type") == "NUMBER") & ~F.col("value").isin("0", "1")).select("path", "language", "line", "idx")
-    magic = numbers.join(limits, "path").filter("idx > open and idx < close").select("path", "language", "line", "idx").distinct()
-    return found.unionByName(defaults).unionByName(magic.select("path", "language", "line", F.lit("cpp-magic-number-literal").alias("rule_id")))
+        own = call & (F.col("language") == LANGUAGE[rule.split("-")[0]])
+        own = reduce(lambda a, b: a & b, [F.col(f"vm{len(names) - i}").isin(n.split("/")) for i, n in enumerate(names)], own)
+        hits.append(F.when(own & ((F.col(f"_n_{what}") > 0) if inside else (F.col(f"_n_{what}") == 0)), rule))
+    return hits
+
+
+#: Events of the one pass that are no findings yet.
+FUNCTION, POINT, LIMIT, MAGIC = "function", "decision point", "limit", "cpp-magic-number-literal"
+
+
+def code_events(code: DataFrame) -> DataFrame:
+    """(path, language, line, idx, close, f_name, f_start, f_end, rule_id): all that one pass over the code finds.
+
+    Besides findings: functions, decision points, and the brackets of C++ conditions with the numbers that may be in them.
+    """
+    wide = structured(code, call_counts())
+    call = is_value("value", "(") & F.col("close").isNotNull()
+    cpp = F.col("language") == "cpp"
+    number = cpp & (F.col("type") == "NUMBER") & ~F.col("value").isin("0", "1")
+    more = [
+        F.when(F.col("f_end").isNotNull(), FUNCTION), F.when(decides(True), POINT),
+        F.when(cpp & call & F.col("vm1").isin("if", "while"), LIMIT), F.when(number, MAGIC),
+    ]
+    default = (F.col("language") == "python") & call & (F.col("vm2") == "def") & (F.col("_n_mutable") > 0)
+    defaults = F.array_repeat(F.lit("py-mutable-default-arg"), F.when(default, F.col("_n_mutable").cast("int")).otherwise(0))
+    found = F.concat(F.array_compact(F.array(*sequence_hits(), *call_hits(), *more)), defaults)
+    return wide.select("path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", F.explode(found).alias("rule_id"))
+
+
+def magic_numbers(events: DataFrame) -> DataFrame:
+    """Numbers inside the brackets of a condition: the farthest end of a bracket before them lies behind them."""
+    far = F.max(F.when(F.col("rule_id") == LIMIT, F.col("close"))).over(in_file().rowsBetween(W.unboundedPreceding, -1))
+    return events.filter(F.col("rule_id").isin(LIMIT, MAGIC)).withColumn("_far", far).filter((F.col("rule_id") == MAGIC) & (F.col("_far") > F.col("idx")))
 
 
 def catch_findings(tokens: DataFrame) -> DataFrame:
@@ -324,25 +351,32 @@ def comment_findings(tokens: DataFrame) -> DataFrame:
     return comments.select("path", "language", "line", F.explode(rules).alias("rule_id"))
 
 
-def structure_findings(tokens: DataFrame, files: DataFrame) -> DataFrame:
+def structure_findings(events: DataFrame, tokens: DataFrame, files: DataFrame) -> DataFrame:
     """Long and complex functions, deep files (line 0)."""
     language = files.select("path", "language")
     size = F.when(F.col("language").isin("cpp", "python"), _prefixed("long-function")).otherwise(_prefixed("long-method"))
-    long = functions_of(tokens, files).filter(F.col("line_count") > LONG_FUNCTION).join(language, "path").select("path", "language", F.col("start_line").alias("line"), size.alias("rule_id"))
+    functions = functions_at(events.filter(F.col("rule_id") == FUNCTION)).unionByName(python_functions(tokens, files))
+    long = functions.filter(F.col("line_count") > LONG_FUNCTION).join(language, "path").select("path", "language", F.col("start_line").alias("line"), size.alias("rule_id"))
     deep = nesting(tokens, files).filter(F.col("max_nesting") > DEEP_NESTING).join(language, "path").select("path", "language", F.lit(0).alias("line"), _prefixed("deep-nesting").alias("rule_id"))
-    hard = function_complexity(tokens, files).filter(F.col("complexity") > COMPLEX_FUNCTION).join(language, "path").select("path", "language", F.col("start_line").alias("line"), _prefixed("complex-function").alias("rule_id"))
+    hard = complexity_at(events.filter(F.col("rule_id") == POINT), functions).filter(F.col("complexity") > COMPLEX_FUNCTION)
+    hard = hard.join(language, "path").select("path", "language", F.col("start_line").alias("line"), _prefixed("complex-function").alias("rule_id"))
     return long.unionByName(deep).unionByName(hard)
 
 
 def findings(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, line, rule_id, language, severity, category, tier, confidence) of all 98 rules.
 
-    A hard-coded secret by name gives way to a provider token on the same line. Equal findings are all kept.
+    A hard-coded secret by name gives way to a provider token on the same line. Equal findings are all kept. The token
+    table and the events of the pass over it are persisted, so files are lexed once.
     """
+    tokens = tokens.persist()
     code = significant(tokens)
+    events = code_events(code).persist()
     secrets = secret_hits(tokens.filter("type = 'STRING'"), ["path", "language", "line"], F.col("value"))
+    plain = ["path", "language", "line", "rule_id"]
     parts = [
-        sequence_findings(code), call_findings(code), catch_findings(tokens), field_findings(code), comment_findings(tokens), structure_findings(tokens, files),
+        events.filter(~F.col("rule_id").isin(FUNCTION, POINT, LIMIT, MAGIC)).select(*plain), magic_numbers(events).select(*plain), once_findings(tokens),
+        catch_findings(tokens), field_findings(code), comment_findings(tokens), structure_findings(events, tokens, files),
         secrets.select("path", "language", "line", _prefixed("sec-secret-token").alias("rule_id")),
     ]
     found = reduce(DataFrame.unionByName, parts)

@@ -74,6 +74,65 @@ def next_stop(tokens: DataFrame, column: str, condition: Column, what: Column) -
     return tokens.withColumn(column, F.last(F.when(condition, what), True).over(backwards))
 
 
+def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
+    """Significant tokens with their neighbours, their brackets' partners and the functions that start at them.
+
+    ``v1`` ... ``v7``, ``t1`` ... are the next values and types, ``vm1`` ... ``vm3``, ``tm1`` ... those before, ``i1`` the
+    next index. On an opening bracket that is closed, ``close`` and ``close_line`` say where, and ``_n_<name>`` how many
+    tokens between the two meet each condition of ``counted`` (on these columns). ``f_name``, ``f_start`` and ``f_end``
+    are not null where a function of a brace language has its parenthesis or arrow. Windows only, all by path: a table
+    that is clustered by path is sorted, never shuffled, and nothing is joined.
+
+    A bracket's level is the running depth, floored at 0; its partner is the next bracket of that level.
+    """
+    counted = counted or {}
+    running, level = in_file().rowsBetween(W.unboundedPreceding, 0), W.partitionBy("path", "_kind", "_level").orderBy("idx")
+    backwards = W.partitionBy("path").orderBy(F.desc("idx"))
+    script, brace = F.col("language").isin("javascript", "typescript"), F.col("language") != "python"
+    steps = {k: F.when(is_value("value", o), 1).when(is_value("value", c), -1).otherwise(0) for k, o, c in (("p", "(", ")"), ("b", "{", "}"))}
+    near = {f"{'v' if c == 'value' else 't'}{'m' if k < 0 else ''}{abs(k)}": ahead(c, k) for c in ("value", "type") for k in (*range(-3, 0), *range(1, 8))}
+    wide = code.withColumns(near | {"i1": ahead("idx", 1), "_linem1": ahead("line", -1)} | {f"_s{k}": F.sum(s).over(running) for k, s in steps.items()})
+    name = F.when(is_value("value", ";", "{", "}"), "<anonymous>").when((F.col("type") == "IDENTIFIER") & (F.col("v1") == "=") & (F.col("v2") != ">"), F.col("value"))
+    wide = wide.withColumns(
+        {f"_d{k}": F.col(f"_s{k}") - F.least(F.lit(0), F.min(f"_s{k}").over(running)) for k in steps}
+        | {f"_c_{n}": F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(running) for n, c in counted.items()}
+        | {"_name": F.coalesce(F.last(name, True).over(running), F.lit("<anonymous>"))}
+    )
+    opening = is_value("value", "(", "{")
+    kind = F.when(is_value("value", "(", ")"), "p").when(is_value("value", "{", "}"), "b")
+    depth = F.when(F.col("_kind") == "p", F.col("_dp")).when(F.col("_kind") == "b", F.col("_db"))
+    wide = wide.withColumn("_kind", kind).withColumn("_level", F.when(opening, depth).otherwise(depth + 1))
+    partner = F.lead(F.struct("value", "idx", "line", *[f"_c_{n}" for n in counted])).over(level)
+    wide = wide.withColumn("_partner", F.when(opening, partner)).withColumn("_closed", F.col("_partner.value").isin(")", "}"))
+    wide = wide.withColumns(
+        {"close": F.when(F.col("_closed"), F.col("_partner.idx")), "close_line": F.when(F.col("_closed"), F.col("_partner.line"))}
+        | {f"_n_{n}": F.when(F.col("_closed"), F.col(f"_partner._c_{n}") - F.col(f"_c_{n}")) for n in counted}
+    )
+    stops, starts = F.lit(False), F.lit(False)
+    for language, (first, ends) in SPECIFIERS.items():
+        stops = stops | ((F.col("language") == language) & is_value("value", *ends))
+        starts = starts | ((F.col("language") == language) & ~F.col("t1").isin("STRING", "CHAR") & F.col("v1").isin(*first))
+    # Read backwards, so that no row reads the rest of its file again.
+    stop = F.last(F.when(stops, F.struct("value", "close_line")), True).over(backwards.rowsBetween(W.unboundedPreceding, -1))
+    wide = wide.withColumns({"_stop": stop, "_line1": F.lag("close_line", 1).over(backwards), "_line2": F.lag("close_line", 2).over(backwards)})
+    body = F.when(F.col("v1") == "{", F.col("_line1")).when(starts & (F.col("_stop.value") == "{"), F.col("_stop.close_line"))
+    wide = wide.withColumn("_body", F.lead(F.when(is_value("value", ")"), body)).over(level))
+    named = (F.col("tm1") == "IDENTIFIER") & (F.col("vm2").isNull() | ~F.col("vm2").isin(*NOT_BEFORE))
+    nameless = script & (F.col("tm1") == "KEYWORD") & (F.col("vm1") == "function")
+    call = brace & is_value("value", "(") & F.col("_closed") & (named | nameless)
+    arrow = script & is_value("value", "=") & (F.col("v1") == ">") & (F.col("v2") == "{")
+    end = F.when(call, F.col("_body")).when(arrow, F.col("_line2"))
+    return wide.withColumn("f_end", end).withColumns({
+        "f_name": F.when(F.col("f_end").isNotNull(), F.when(call & named, F.col("vm1")).otherwise(F.col("_name"))),
+        "f_start": F.when(F.col("f_end").isNotNull(), F.when(call, F.col("_linem1")).otherwise(F.col("line"))),
+    })
+
+
+def functions_at(wide: DataFrame) -> DataFrame:
+    """(path, name, start_line, end_line, line_count) of a structured table's functions."""
+    return wide.filter("f_end is not null").select("path", F.col("f_name").alias("name"), F.col("f_start").alias("start_line"), F.col("f_end").alias("end_line"), (F.col("f_end") - F.col("f_start") + 1).alias("line_count"))
+
+
 def brace_functions(tokens: DataFrame) -> DataFrame:
     """(path, name, start_line, end_line, line_count) of ``name ( ... ) {`` ... ``}`` in brace languages.
 
@@ -81,27 +140,7 @@ def brace_functions(tokens: DataFrame) -> DataFrame:
     (``SPECIFIERS``); in scripts also ``function (...) {`` and ``=> {``, under the name that they are assigned to or
     ``<anonymous>``. Nested functions are found each.
     """
-    code = significant(tokens.filter("language <> 'python'"))
-    script = F.col("language").isin("javascript", "typescript")
-    stops, starts = F.lit(False), F.lit(False)
-    for language, (first, ends) in SPECIFIERS.items():
-        stops = stops | ((F.col("language") == language) & is_value("value", *ends))
-        starts = starts | ((F.col("language") == language) & is_value("value", *first))
-    names = code.withColumns({"_next": ahead("value", 1), "_open": ahead("idx", 1), "_before": ahead("value", -1)}).filter(
-        (F.col("type") == "IDENTIFIER") & (F.col("_next") == "(") & (F.col("_before").isNull() | ~F.col("_before").isin(*NOT_BEFORE))
-    ).select("path", F.col("_open").alias("open"), F.col("value").alias("name"), F.col("line").alias("start_line"))
-    function = code.withColumns({"_open": ahead("idx", 1), "_next": ahead("value", 1)}).filter(script & (F.col("type") == "KEYWORD") & (F.col("value") == "function") & (F.col("_next") == "("))
-    assigned = W.partitionBy("path").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    name = F.when(is_value("value", ";", "{", "}"), "<anonymous>").when((F.col("type") == "IDENTIFIER") & (F.col("_1") == "=") & (F.col("_2") != ">"), F.col("value"))
-    arrows = code.withColumns({f"_{k}": ahead("value", k) for k in (1, 2)} | {"brace": ahead("idx", 2)}).withColumn("_name", F.coalesce(F.last(name, True).over(assigned), F.lit("<anonymous>")))
-    owners = arrows.select("path", "idx", "_name")
-    arrows = arrows.filter(script & is_value("value", "=") & (F.col("_1") == ">") & (F.col("_2") == "{")).select("path", "brace", F.col("_name").alias("name"), F.col("line").alias("start_line"))
-    function = function.join(owners, ["path", "idx"]).select("path", F.col("_open").alias("open"), F.col("_name").alias("name"), F.col("line").alias("start_line"))
-    names = names.unionByName(function)
-    after = next_stop(code, "_stop", stops, F.struct("idx", "value")).filter(starts & (F.col("_stop.value") == "{")).select("path", F.col("idx").alias("next_idx"), F.col("_stop.idx").alias("far"))
-    parens = bracket_pairs(code, "(", ")").join(after, ["path", "next_idx"], "left").select("path", "open", F.when(F.col("next_value") == "{", F.col("next_idx")).otherwise(F.col("far")).alias("brace")).filter("brace is not null")
-    braces = bracket_pairs(code, "{", "}").select("path", F.col("open").alias("brace"), F.col("close_line").alias("end_line"))
-    return names.join(parens, ["path", "open"]).drop("open").unionByName(arrows).join(braces, ["path", "brace"]).select("path", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
+    return functions_at(structured(significant(tokens.filter("language <> 'python'"))))
 
 
 def python_functions(tokens: DataFrame, files: DataFrame) -> DataFrame:
@@ -127,28 +166,32 @@ def functions_of(tokens: DataFrame, files: DataFrame) -> DataFrame:
 VALUE_TYPES = ["int", "uint", "long", "ulong", "short", "ushort", "byte", "sbyte", "char", "bool", "decimal", "double", "float"]
 
 
-def decision_points(tokens: DataFrame, in_functions: bool = False) -> DataFrame:
-    """Tokens that add a path: loops, conditions, cases, catches, ternaries, ``??`` and the two-sided logical operators.
-
-    ``?.``, optional parameters and nullable types add none. Python's ``match`` and ``case`` count for a file, not
-    ``in_functions``.
-    """
-    code = significant(tokens)
-    brace = F.col("language") != "python"
+def decides(in_functions: bool = False) -> Column:
+    """Whether a token of a structured table adds a path: see ``decision_points``."""
+    brace, language = F.col("language") != "python", F.col("language")
     words = (F.col("type") == "KEYWORD") & (
-        F.col("value").isin("if", "for", "while") | (brace & F.col("value").isin("case", "catch", "switch", "do")) | ((F.col("language") == "csharp") & F.col("value").isin("foreach", "when"))
+        F.col("value").isin("if", "for", "while") | (brace & F.col("value").isin("case", "catch", "switch", "do")) | ((language == "csharp") & F.col("value").isin("foreach", "when"))
         | (~brace & F.col("value").isin("elif", "except", "and", "or")) | (~brace & F.col("value").isin("match", "case") & F.lit(not in_functions))
     )
-    twin = brace & is_value("value", "&", "|") & (F.lead("value").over(in_file()) == F.col("value")) & (F.lead("idx").over(in_file()) == F.col("idx") + 1)
-    near = code.withColumns({"_1": ahead("value", 1), "_m1": ahead("value", -1), "_tm1": ahead("type", -1)})
-    follows, comes = F.coalesce("_1", F.lit("")), F.coalesce("_m1", F.lit(""))
-    language = F.col("language")
+    twin = brace & is_value("value", "&", "|") & (F.col("v1") == F.col("value")) & (F.col("i1") == F.col("idx") + 1)
+    follows, comes = F.coalesce("v1", F.lit("")), F.coalesce("vm1", F.lit(""))
     plain = (
         F.when(language.isin("java", "cpp"), True).when(comes == "?", False).when(follows == "?", True).when(follows == ".", False)
         .when(language == "typescript", follows != ":")
-        .when(language == "csharp", (follows != "[") & ~((F.col("_tm1") == "KEYWORD") & comes.isin(VALUE_TYPES))).otherwise(True)
+        .when(language == "csharp", (follows != "[") & ~((F.col("tm1") == "KEYWORD") & comes.isin(VALUE_TYPES))).otherwise(True)
     )
-    return near.withColumn("_hit", words | twin | (brace & is_value("value", "?") & plain)).filter("_hit").drop("_hit", "_1", "_m1", "_tm1")
+    return F.coalesce(words | twin | (brace & is_value("value", "?") & plain), F.lit(False))
+
+
+def decision_points(tokens: DataFrame, in_functions: bool = False) -> DataFrame:
+    """Tokens that add a path: loops, conditions, cases, catches, ternaries, ``??`` and the two-sided logical operators.
+
+    ``?.``, optional parameters and nullable types add none. Python's ``match`` and ``case`` count for a file, not
+    ``in_functions``.
+    """
+    code = significant(tokens)
+    near = code.withColumns({"v1": ahead("value", 1), "i1": ahead("idx", 1), "vm1": ahead("value", -1), "tm1": ahead("type", -1)})
+    return near.filter(decides(in_functions)).select(*code.columns)
 
 
 def nesting(tokens: DataFrame, files: DataFrame) -> DataFrame:
@@ -182,16 +225,25 @@ def line_classes(tokens: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a file: lines by class, functions, complexity (from 1), nesting, imports, TODO marks."""
+    """One row a file: lines by class, functions, complexity (from 1), nesting, imports, TODO marks.
+
+    The token table is persisted and lexed once; its parts are aggregated by path and joined as one row a file each.
+    """
+    tokens = tokens.persist()
     marks = F.size(F.regexp_extract_all("value", F.lit("(TODO|FIXME)"), F.lit(1)))
     comments = tokens.filter(F.col("type").isin(*CODE_COMMENTS)).groupBy("path").agg(F.sum(marks).alias("todos"))
-    calls = decision_points(tokens).groupBy("path").agg(F.count("*").alias("decisions"))
+    size = F.col("f_end") - F.col("f_start") + 1
+    wide = structured(significant(tokens)).groupBy("path").agg(
+        F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(size).alias("longest_function"),
+    )
     imports = import_targets(tokens).groupBy("path").agg(F.count("*").alias("imports"))
-    own = functions_of(tokens, files).groupBy("path").agg(F.count("*").alias("functions"), F.sum("line_count").alias("function_lines"), F.max("line_count").alias("longest_function"))
+    python = python_functions(tokens, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max("line_count").alias("_m"))
     out = line_classes(tokens, files)
-    for part in (comments, calls, imports, own, nesting(tokens, files)):
+    for part in (comments, wide, imports, python, nesting(tokens, files)):
         out = out.join(part, "path", "left")
-    out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "longest_function", "max_nesting"])
+    out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "longest_function", "max_nesting", "_f", "_l", "_m"])
+    both = {"functions": F.col("functions") + F.col("_f"), "function_lines": F.col("function_lines") + F.col("_l"), "longest_function": F.greatest("longest_function", "_m")}
+    out = out.withColumns(both).drop("_f", "_l", "_m")
     return out.withColumn("complexity", F.col("decisions") + 1).withColumn("avg_function", F.coalesce(F.try_divide("function_lines", "functions"), F.lit(0.0)))
 
 
@@ -224,10 +276,16 @@ def import_targets(tokens: DataFrame) -> DataFrame:
 
 def function_complexity(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, name, start_line, complexity): decision points count for the innermost function that holds their line."""
+    wide = structured(significant(tokens))
+    return complexity_at(wide.filter(decides(True)), functions_at(wide).unionByName(python_functions(tokens, files)))
+
+
+def complexity_at(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """``function_complexity`` of given decision points (path, idx, line) and functions."""
     from .joins import innermost_interval
 
-    spans = functions_of(tokens, files).withColumn("span", F.struct("start_line", "end_line", "name"))
-    points = decision_points(tokens, True).select("path", F.col("idx").alias("point"), F.col("line").alias("at"))
+    spans = functions.withColumn("span", F.struct("start_line", "end_line", "name"))
+    points = points.select("path", F.col("idx").alias("point"), F.col("line").alias("at"))
     held = innermost_interval(points, spans.select("path", "span", F.col("start_line").alias("start"), F.col("end_line").alias("end")), ["path"])
     counts = held.filter("span is not null").groupBy("path", "span").agg(F.count("*").alias("_n"))
     return spans.join(counts, ["path", "span"], "left").select("path", "name", "start_line", (F.coalesce("_n", F.lit(0)) + 1).alias("complexity"))

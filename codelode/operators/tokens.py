@@ -61,24 +61,27 @@ PATTERNS["typescript"] = PATTERNS["javascript"]
 
 
 def token_type(language: Column, value: Column) -> Column:
-    """The type of a token from its first characters."""
+    """The type of a token from its first characters; an expression is tried only where its first character can occur."""
     python = language == "python"
+    first = F.substring(value, 1, 1)
     keyword = F.lit(False)
     for name, words in KEYWORDS.items():
         keyword = keyword | ((language == name) & value.isin(words))
-    string = value.rlike(r'^(?:[rRbBuUfF]{0,2}|@\$?|\$@?)"|^`') | (python & value.rlike(r"^[rRbBuUfF]{0,2}'")) | (language.isin("javascript", "typescript") & value.startswith("'"))
+    quoted = F.contains(value, F.lit('"')) & value.rlike(r'^(?:[rRbBuUfF]{0,2}|@\$?|\$@?)"')
+    string = (first == "`") | quoted | (python & F.contains(value, F.lit("'")) & value.rlike(r"^[rRbBuUfF]{0,2}'")) | ((first == "'") & language.isin("javascript", "typescript"))
+    letter = first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$")
     return (
         F.when(value == "\n", "NEWLINE")
-        .when(python & value.startswith("#"), "LINE_COMMENT")
-        .when(value.rlike(r"^\s*#.") | (value == "#"), "PREPROCESSOR")
-        .when(~python & value.startswith("//"), "LINE_COMMENT")
-        .when(value.startswith("/*"), "BLOCK_COMMENT")
+        .when(python & (first == "#"), "LINE_COMMENT")
+        .when(F.contains(value, F.lit("#")) & (value.rlike(r"^\s*#.") | (value == "#")), "PREPROCESSOR")
+        .when(~python & (first == "/") & value.startswith("//"), "LINE_COMMENT")
+        .when((first == "/") & value.startswith("/*"), "BLOCK_COMMENT")
         .when(string, "STRING")
-        .when(value.startswith("'"), "CHAR")
-        .when(value.rlike("^[0-9]"), "NUMBER")
-        .when(keyword, "KEYWORD")
-        .when(value.rlike("^@?[A-Za-z_$]"), "IDENTIFIER")
-        .when(value.rlike(r"^[-+*/%=<>!&|^~?:.@]"), "OPERATOR")
+        .when(first == "'", "CHAR")
+        .when(first.between("0", "9"), "NUMBER")
+        .when(letter & keyword, "KEYWORD")
+        .when(letter | ((first == "@") & value.rlike("^@[A-Za-z_$]")), "IDENTIFIER")
+        .when(first.isin(*"-+*/%=<>!&|^~?:.@"), "OPERATOR")
         .otherwise("PUNCTUATION")
     )
 
@@ -86,17 +89,20 @@ def token_type(language: Column, value: Column) -> Column:
 def tokens(files: DataFrame) -> DataFrame:
     """(path, language, idx, type, value, line) of files (path, language, content) in a known language.
 
-    Null contents are empty; rows that repeat a path count as one file each only if their paths differ.
+    Null contents are empty; rows that repeat a path count as one file each only if their paths differ. The rows come
+    clustered by path and in order, as every window over a file's tokens needs them: one shuffle serves them all.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
     found = F.lit(None).cast("array<string>")
     for name, pattern in PATTERNS.items():
         found = F.when(F.col("language") == name, F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))).otherwise(found)
     rows = files.filter(F.col("language").isin(LANGUAGES)).select("path", "language", F.posexplode(found).alias("idx", "value"))
-    newlines = F.length(F.regexp_replace("value", r"[^\n]", ""))
+    # Blanks hold no newline, so they go before the lines are counted.
+    rows = rows.filter(~F.substring("value", 1, 1).isin(" ", "\t", "\r", "\f", "\v") | ~F.col("value").rlike(r"^[^\S\n]+$"))
+    newlines = F.when(F.contains("value", F.lit("\n")), F.length(F.regexp_replace("value", r"[^\n]", ""))).otherwise(0)
     before = W.partitionBy("path").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("line", (F.coalesce(F.sum(newlines).over(before), F.lit(0)) + 1).cast("int"))
-    return placed.filter(~F.col("value").rlike(r"^[^\S\n]+$")).select("path", "language", "idx", token_type(F.col("language"), F.col("value")).alias("type"), "value", "line")
+    return placed.select("path", "language", "idx", token_type(F.col("language"), F.col("value")).alias("type"), "value", "line")
 
 
 def normalized(tokens_: DataFrame) -> DataFrame:
