@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import clones, diffs, findings, history, hotspots, intervals, joins, rollups, rules, structure, study, tokens
+from .plans import cases
 from .sources import files, formats
 
 
@@ -572,3 +573,32 @@ def import_graph(spark, sf_dir):
     d = t(spark, sf_dir, "documents")
     own = files.files_from_table(d, F.col("doc_id").cast("string"), F.concat(F.lit("import "), F.col("source"), F.lit("\n")), F.lit("python"))
     return structure.import_targets(tokens.tokens(own)).groupBy("target").agg(F.count("*").alias("n"))
+
+
+def _case_files(spark, sf_dir) -> DataFrame:
+    """A file of each language for each supplier, its cases once or twice."""
+    return cases.case_files(t(spark, sf_dir, "supplier"), F.col("s_suppkey"), (F.col("s_nationkey") % 2 + 1).cast("int"))
+
+
+_CASES_SQL = "WITH f AS (SELECT s_nationkey % 2 + 1 AS k FROM supplier), "
+
+
+@query(_CASES_SQL + f"""c(rule_id, line, before, height, once) AS (VALUES {", ".join(map(str, cases.expected_findings()))})
+SELECT rule_id, sum(CASE WHEN once = 1 THEN 1 ELSE k END)::BIGINT AS n,
+  sum(CASE WHEN once = 1 AND line = 0 THEN 0 WHEN once = 1 THEN before * k + line ELSE k * (before * k + line) + height * (k * (k - 1) // 2) END)::BIGINT AS lines
+FROM c, f GROUP BY rule_id""")
+def rule_cases(spark, sf_dir):
+    """Findings of all 98 rules, and the sums of their lines, where a stated number of them is; near misses give none."""
+    own = _case_files(spark, sf_dir)
+    return rules.findings(tokens.tokens(own), own).groupBy("rule_id").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+
+
+@query(_CASES_SQL + f"""c(language, height, functions, points) AS (VALUES {", ".join(map(str, cases.expected_structure()))}),
+g AS (SELECT language, sum(height) AS height, sum(functions) AS functions, sum(points) AS points FROM c GROUP BY language)
+SELECT language, count(*) AS files, sum(k * height + 1)::BIGINT AS total_lines, sum(k * functions)::BIGINT AS functions, sum(k * points + 1)::BIGINT AS complexity FROM g, f GROUP BY language""")
+def structure_cases(spark, sf_dir):
+    """Lines, functions and complexity of files that state them."""
+    own = _case_files(spark, sf_dir)
+    return structure.file_metrics(tokens.tokens(own), own).groupBy("language").agg(
+        F.count("*").alias("files"), F.sum("total_lines").alias("total_lines"), F.sum("functions").alias("functions"), F.sum("complexity").alias("complexity"),
+    )
