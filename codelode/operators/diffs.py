@@ -14,6 +14,20 @@ def split_by_diff(findings: DataFrame, diff_files: DataFrame, added: DataFrame)
     return joined.withColumn("introduced", introduced).drop("_added", "is_new")
 
 
+def diff_summary(split: DataFrame, diff_files: DataFrame, added: DataFrame, tiers: list[str]) -> DataFrame:
+    """One row: files_in_diff, added_lines (different ones), introduced, preexisting, and introduced findings by tier.
+
+    ``split`` is what ``split_by_diff`` gives for findings with a tier. Each part is one row before they are joined.
+    """
+    new = F.col("introduced")
+    counts = split.agg(
+        F.count_if(new).alias("introduced"), F.count_if(~new).alias("preexisting"), *[F.count_if(new & (F.col("tier") == t)).alias(t) for t in tiers],
+    )
+    files = diff_files.agg(F.count_distinct("path").alias("files_in_diff"))
+    lines = added.select("path", "line").distinct().agg(F.count("*").alias("added_lines"))
+    return files.crossJoin(lines).crossJoin(counts)
+
+
 def reconcile(diff_files: DataFrame, supplied: DataFrame) -> DataFrame:
     """(path, status): analysed, unsupported, content not supplied, or not in diff."""
     left = diff_files.select("path", "language", F.lit(1).alias("_d"))

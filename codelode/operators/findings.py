@@ -86,6 +86,34 @@ def severest_files(findings: DataFrame, files: DataFrame, k: int = 10) -> DataFr
     return joined.orderBy(F.desc("severe"), F.desc("findings"), F.desc("complexity"), "path").limit(k)
 
 
+def fix_now(findings: DataFrame) -> DataFrame:
+    """(rule_id, count, files) of the findings that are severe and certain and not of security, most first, then by rule."""
+    urgent = (F.coalesce("category", F.lit("style")) != "security") & F.col("tier").isin("critical", "high") & (F.col("confidence") == "high")
+    return findings.filter(urgent).groupBy("rule_id").agg(F.count("*").alias("count"), F.count_distinct("path").alias("files")).orderBy(F.desc("count"), "rule_id")
+
+
+#: What a list of files can be sorted by.
+SORT_KEYS = ("issues", "complexity", "nesting", "lines")
+
+
+def search_files(files: DataFrame, findings: DataFrame, text: str = "", sort: str = "issues") -> DataFrame:
+    """Files (path, complexity, nesting, lines) whose path holds ``text`` in any case, with their ``issues``.
+
+    Greatest ``sort`` first, then complexity, then path. A blank text takes all; an unknown key raises ValueError.
+    """
+    if sort not in SORT_KEYS:
+        raise ValueError(f"sort is one of {', '.join(SORT_KEYS)}")
+    issues = findings.groupBy("path").agg(F.count("*").alias("issues"))
+    some = files.filter(F.contains(F.lower("path"), F.lit(text.strip().lower())))
+    return some.join(issues, "path", "left").fillna(0, ["issues"]).orderBy(F.desc(sort), F.desc("complexity"), "path")
+
+
+def findings_of_files(findings: DataFrame, k: int = 50) -> DataFrame:
+    """Each file's first ``k`` findings by tier, line and input order, with their ``place``; a report's list of a file."""
+    order = W.partitionBy("path").orderBy(tier_place(F.col("tier")), "line", "ord")
+    return findings.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
 # Token formats and the words that mark a placeholder.
 SECRET_FORMATS = {
     "sk-ant-": r"sk-ant-[A-Za-z0-9_-]{32,}",

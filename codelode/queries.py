@@ -357,6 +357,37 @@ def severest_files_top10(spark, sf_dir):
     return findings.severest_files(_findings(spark, sf_dir), users)
 
 
+@query(FINDINGS_SQL + """
+, u AS (SELECT * FROM s WHERE line % 2 = 0 AND tier IN ('critical', 'high') AND confidence = 'high')
+SELECT rule_id, count(*) AS count, count(DISTINCT path) AS files FROM u GROUP BY rule_id""")
+def fix_now_rules(spark, sf_dir):
+    # Findings on odd lines are of security here.
+    category = F.when(F.col("line") % 2 == 1, "security").otherwise("style")
+    return findings.fix_now(_findings(spark, sf_dir).withColumn("category", category))
+
+
+@query(FINDINGS_SQL + """
+, f AS (SELECT n_name || '/' || c_name AS path, 'user/' || c_custkey AS user_path, floor(c_acctbal / 1000)::BIGINT AS complexity, c_nationkey::BIGINT AS nesting, length(c_name)::BIGINT AS lines FROM customer JOIN nation ON c_nationkey = n_nationkey),
+i AS (SELECT path AS user_path, count(*) AS issues FROM s GROUP BY path)
+SELECT path, complexity, nesting, lines, coalesce(issues, 0)::BIGINT AS issues FROM f LEFT JOIN i USING (user_path) WHERE contains(lower(path), 'n_1')""")
+def file_search(spark, sf_dir):
+    """Customers as files below their nations; a user's events are the findings of the customer of that number."""
+    j = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = j.select(
+        F.concat_ws("/", "n_name", "c_name").alias("path"), F.concat(F.lit("user/"), "c_custkey").alias("user_path"), F.floor(F.col("c_acctbal") / 1000).alias("complexity"),
+        F.col("c_nationkey").cast("long").alias("nesting"), F.length("c_name").cast("long").alias("lines"),
+    )
+    found = _findings(spark, sf_dir).withColumnRenamed("path", "user_path").join(own.select("path", "user_path"), "user_path")
+    return findings.search_files(own.drop("user_path"), found, " N_1 ", "issues")
+
+
+@query(FINDINGS_SQL + """
+, k AS (SELECT path, ord, tier, line, row_number() OVER (PARTITION BY path ORDER BY tier_place, line, ord)::INTEGER AS place FROM s)
+SELECT path, ord, tier, line, place FROM k WHERE place <= 50""")
+def file_findings(spark, sf_dir):
+    return findings.findings_of_files(_findings(spark, sf_dir)).select("path", "ord", "tier", "line", "place")
+
+
 @query(FINDINGS_SQL + """
 , m AS (SELECT *, max((rule_id = 'error')::INTEGER) OVER (PARTITION BY path, line) AS hit FROM s)
 SELECT path, line, rule_id, count(*) AS n FROM m WHERE NOT (rule_id = 'click' AND hit = 1) GROUP BY path, line, rule_id""")
@@ -398,6 +429,24 @@ def diff_split(spark, sf_dir):
     return diffs.split_by_diff(found, changed, added).groupBy("introduced").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
+@query("""
+WITH f AS (SELECT o_orderkey AS path, o_orderstatus = 'P' AS is_new FROM orders WHERE o_orderstatus <> 'O'),
+a AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'),
+v AS (SELECT l_orderkey AS path, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_linenumber END AS line,
+  CASE WHEN l_quantity > 40 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 10 THEN 'medium' ELSE 'low' END AS tier FROM lineitem),
+j AS (SELECT v.tier, CASE WHEN v.line = 0 THEN f.is_new ELSE a.path IS NOT NULL END AS introduced FROM v JOIN f ON v.path = f.path LEFT JOIN a ON v.path = a.path AND v.line = a.line)
+SELECT (SELECT count(*) FROM f) AS files_in_diff, (SELECT count(*) FROM a) AS added_lines, count(*) FILTER (WHERE introduced) AS introduced, count(*) FILTER (WHERE NOT introduced) AS preexisting,
+  count(*) FILTER (WHERE introduced AND tier = 'critical') AS critical, count(*) FILTER (WHERE introduced AND tier = 'high') AS high,
+  count(*) FILTER (WHERE introduced AND tier = 'medium') AS medium, count(*) FILTER (WHERE introduced AND tier = 'low') AS low FROM j""")
+def diff_summary(spark, sf_dir):
+    o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
+    changed = o.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("path"), (F.col("o_orderstatus") == "P").alias("is_new"))
+    added = li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"))
+    tier = F.when(F.col("l_quantity") > 40, "critical").when(F.col("l_quantity") > 30, "high").when(F.col("l_quantity") > 10, "medium").otherwise("low")
+    found = li.select(F.col("l_orderkey").alias("path"), F.when(F.col("l_linenumber") == 7, 0).otherwise(F.col("l_linenumber")).alias("line"), tier.alias("tier"))
+    return diffs.diff_summary(diffs.split_by_diff(found, changed, added), changed, added, findings.TIERS)
+
+
 @query("""
 WITH d AS (SELECT o_orderkey AS path, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS language FROM orders WHERE o_orderstatus <> 'O'),
 s AS (SELECT DISTINCT l_orderkey AS path FROM lineitem WHERE l_linenumber = 2)
