@@ -134,6 +134,8 @@ PLACEHOLDER_PHRASES = [
     "placeholder implementation", "lorem ipsum",
 ]
 SECRET_NAMES = ["password", "passwd", "secret", "apikey", "api_key", "accesskey", "access_key", "authtoken"]
+# Collections that take type arguments.
+RAW_TYPES = ["List", "Map", "Set", "ArrayList", "HashMap", "HashSet", "LinkedList", "Collection", "Iterator"]
 LONG_FUNCTION, DEEP_NESTING, COMPLEX_FUNCTION = 100, 6, 10
 
 #: Neighbouring tokens by rule: alternatives with ``/``, ``~`` and a pattern for a string literal, ``!`` for "none of".
@@ -232,12 +234,19 @@ def sequence_hits() -> list[Column]:
     hits.append(F.when(fresh & ~((F.col("value") == "delete") & F.coalesce(F.col("vm1") == "=", F.lit(False))), "cpp-raw-new-delete"))
     header = F.col("path").rlike(r"\.(h|hpp|hxx|h\+\+)$") & (F.col("value") == "using") & (F.col("v1") == "namespace") & (F.col("v2") == "std")
     hits.append(F.when((F.col("language") == "cpp") & header, "cpp-using-namespace-std-header"))
-    raw = F.col("value").isin("List", "Map", "Set", "ArrayList", "HashMap", "HashSet", "LinkedList", "Collection", "Iterator") & (F.col("type") == "IDENTIFIER")
+    raw = F.col("value").isin(*RAW_TYPES) & (F.col("type") == "IDENTIFIER")
     typed = ((F.col("vm1") == "new") & (F.col("v1") == "(")) | (F.col("t1") == "IDENTIFIER")
     hits.append(F.when((F.col("language") == "java") & raw & typed, "java-raw-type-usage"))
     return hits
 
 
+def may_hit() -> Column:
+    """A cheap condition that every token with a sequence's or a call's finding meets, so that few tokens try all rules."""
+    first = {w for x in SEQUENCES.strip().splitlines() for w in x.split()[1].split("/")}
+    words = sorted(first | {"eval", "exec", "execSync", "new", "delete", "using", "(", *RAW_TYPES})
+    return F.col("value").isin(words) | F.coalesce(F.col("v1") == "=", F.lit(False))
+
+
 def once_findings(tokens: DataFrame) -> DataFrame:
     """Rules with one finding a file: the first place."""
     return (
@@ -249,7 +258,7 @@ def once_findings(tokens: DataFrame) -> DataFrame:
 
 def sequence_findings(code: DataFrame) -> DataFrame:
     """Rules of neighbouring tokens; ``code`` has the significant tokens."""
-    found = structured(code).select("path", "language", "line", F.explode(F.array_compact(F.array(*sequence_hits()))).alias("rule_id"))
+    found = structured(code).filter(may_hit()).select("path", "language", "line", F.explode(F.array_compact(F.array(*sequence_hits()))).alias("rule_id"))
     return found.unionByName(once_findings(code))
 
 
@@ -293,7 +302,8 @@ def code_events(code: DataFrame) -> DataFrame:
     default = (F.col("language") == "python") & call & (F.col("vm2") == "def") & (F.col("_n_mutable") > 0)
     defaults = F.array_repeat(F.lit("py-mutable-default-arg"), F.when(default, F.col("_n_mutable").cast("int")).otherwise(0))
     found = F.concat(F.array_compact(F.array(*sequence_hits(), *call_hits(), *more)), defaults)
-    return wide.select("path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", F.explode(found).alias("rule_id"))
+    some = wide.filter(may_hit() | F.col("f_end").isNotNull() | decides(True) | number)
+    return some.select("path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", F.explode(found).alias("rule_id"))
 
 
 def magic_numbers(events: DataFrame) -> DataFrame:

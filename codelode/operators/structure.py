@@ -77,7 +77,7 @@ def next_stop(tokens: DataFrame, column: str, condition: Column, what: Column) -
 def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> DataFrame:
     """Significant tokens with their neighbours, their brackets' partners and the functions that start at them.
 
-    ``v1`` ... ``v7``, ``t1`` ... are the next values and types, ``vm1`` ... ``vm3``, ``tm1`` ... those before, ``i1`` the
+    ``v1`` ... ``v7``, ``t1`` ... are the next values and types, ``vm1`` ... ``vm3``, ``tm1`` those before, ``i1`` the
     next index. On an opening bracket that is closed, ``close`` and ``close_line`` say where, and ``_n_<name>`` how many
     tokens between the two meet each condition of ``counted`` (on these columns). ``f_name``, ``f_start`` and ``f_end``
     are not null where a function of a brace language has its parenthesis or arrow. Windows only, all by path: a table
@@ -90,7 +90,8 @@ def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> Dat
     backwards = W.partitionBy("path").orderBy(F.desc("idx"))
     script, brace = F.col("language").isin("javascript", "typescript"), F.col("language") != "python"
     steps = {k: F.when(is_value("value", o), 1).when(is_value("value", c), -1).otherwise(0) for k, o, c in (("p", "(", ")"), ("b", "{", "}"))}
-    near = {f"{'v' if c == 'value' else 't'}{'m' if k < 0 else ''}{abs(k)}": ahead(c, k) for c in ("value", "type") for k in (*range(-3, 0), *range(1, 8))}
+    near = {"v1": ahead("value", 1), "v2": ahead("value", 2), "t1": ahead("type", 1), "vm1": ahead("value", -1), "vm2": ahead("value", -2), "tm1": ahead("type", -1)}
+    far = {f"v{k}": ahead("value", k) for k in range(3, 8)} | {f"t{k}": ahead("type", k) for k in range(2, 8)} | {"vm3": ahead("value", -3)}
     wide = code.withColumns(near | {"i1": ahead("idx", 1), "_linem1": ahead("line", -1)} | {f"_s{k}": F.sum(s).over(running) for k, s in steps.items()})
     name = F.when(is_value("value", ";", "{", "}"), "<anonymous>").when((F.col("type") == "IDENTIFIER") & (F.col("v1") == "=") & (F.col("v2") != ">"), F.col("value"))
     wide = wide.withColumns(
@@ -122,7 +123,8 @@ def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> Dat
     call = brace & is_value("value", "(") & F.col("_closed") & (named | nameless)
     arrow = script & is_value("value", "=") & (F.col("v1") == ">") & (F.col("v2") == "{")
     end = F.when(call, F.col("_body")).when(arrow, F.col("_line2"))
-    return wide.withColumn("f_end", end).withColumns({
+    # The rules' farther neighbours come last, so that the sorts between carry narrow rows.
+    return wide.withColumn("f_end", end).withColumns(far).withColumns({
         "f_name": F.when(F.col("f_end").isNotNull(), F.when(call & named, F.col("vm1")).otherwise(F.col("_name"))),
         "f_start": F.when(F.col("f_end").isNotNull(), F.when(call, F.col("_linem1")).otherwise(F.col("line"))),
     })
