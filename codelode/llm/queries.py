@@ -12,10 +12,13 @@ from .html_text import extract_main_text
 from .media import describe_media, read_media, write_media
 from .minhash import near_duplicates
 from .mixing import mix_sources
+from .phrases import collocations
 from .quality import judge_quality, learn_from
 from .repeats import remove_repeats
 from .sharding import shard_interleaved
 from .toxicity import learn_toxicity, score_toxicity
+from .vector_codes import codebook_digest, compress_vectors
+from .vector_dedup import near_vectors
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -149,6 +152,82 @@ FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND k.cdf <= d.u
 """
 
 
+def op11_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.95)
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT u, w FROM l UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u),
+c AS (SELECT u, least(u, min(w)) AS c FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.u = vec_id LEFT JOIN n ON n.u = vec_id
+"""
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations(table(spark, sf_dir, "documents"), "text", "lang", longest=5, least=100, top=2000)
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k.k, w, unnest(range(1, len(w) - k.k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) k WHERE len(w) >= k.k),
+f AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM f WHERE k >= 2),
+s AS (
+  SELECT c.lang, c.k, c.g, c.a, c.cut, l.a AS l, r.a AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM c JOIN t USING (lang) JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, c.cut) JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, c.cut + 1, c.k)),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+d AS (SELECT DISTINCT lang, a, unnest([list_slice(g, 1, k - 1), list_slice(g, 2, k)]) AS g FROM f WHERE k > 2),
+o AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b ANTI JOIN d ON d.lang = b.lang AND d.g = b.g AND d.a >= b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o
+QUALIFY rank <= 2000
+"""
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    codes, books = compress_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", parts=8, entries=16, rounds=6, scale=4096)
+    return codes.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codebook_digest(books)).alias("codebooks_sha256"))
+
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Assignments and codebooks of every round as tables of their own."""
+    near = """a{k} AS MATERIALIZED (SELECT * FROM (SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS d FROM p JOIN b{k} b USING (part, place) GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)"""
+    mean = """b{n} AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, b.x) AS x FROM b{k} b LEFT JOIN (
+SELECT part, entry, place, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM p JOIN a{k} USING (vec_id, part) GROUP BY ALL) m USING (part, entry, place))"""
+    steps = [(near if k % 2 == 0 else mean).format(k=k // 2, n=k // 2 + 1) for k in range(2 * rounds + 1)]
+    return """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, i // (len(c) // 8) AS part, i % (len(c) // 8) AS place, c[i + 1] AS x FROM (SELECT vec_id, c, unnest(range(len(c))) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, entry, place, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < 16) USING (vec_id)),
+""" + ",\n".join(steps) + f""",
+e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) FROM b{rounds}) AS codebooks_sha256
+FROM e JOIN v USING (vec_id)
+"""
+
+
+OP13_SQL = _lloyd_sql()
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -160,9 +239,15 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_embedding": op11_embedding,
+    "op12_phrases": op12_phrases,
+    "op13_codes": op13_codes,
 }
 
 ORACLES = {
     "op3_chat": OP3_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_embedding": OP11_SQL,
+    "op12_phrases": OP12_SQL,
+    "op13_codes": OP13_SQL,
 }
