@@ -2,17 +2,19 @@
 
 1. A sample of pieces of text (``SAMPLE`` of those of every document) counts all phrases of up to ``longest`` words; those
    at ``LOWERED`` of the share of ``least`` are proposed.
-2. A full pass counts, exactly and over every document, the proposed phrases and their negative border: every phrase of
-   which the part without the last and the part without the first word are proposed (every word is). Whether a phrase is
-   proposed is asked of a Bloom filter of ``2 ** BLOOM_BITS`` bits, a fixed size at any scale; what it says too often is
-   counted in vain and changes nothing.
+2. A full pass over every document is about the proposed phrases and their negative border: every phrase of which the part
+   without the last and the part without the first word are proposed (every word is). It first counts them by 42 bits of
+   their hash, which rules out nearly all that are rare, then exactly, by their words, where the hash is frequent: a hash
+   never counts less than a phrase that has it.
 3. A phrase that is frequent but was not proposed is a failure of the border: longer phrases may have been left out. The
    failures are added, and an expansion pass counts what the grown set adds, and only that. It also goes on from every
    phrase that it is the first to count, so that it closes the set: any part of a frequent phrase is frequent, hence
    proposed, a failure, or counted first in this pass. It is left out where there are no failures.
 
-The counts stay in Spark tables: tasks send (lang, phrase, n) of the words that they have read, summed once they have
-``FLUSH_BYTES`` of text; the driver gets the filter's bits alone.
+What is proposed, and which hashes are frequent, tasks are told by Bloom filters of ``2 ** BLOOM_BITS`` bits, a fixed size
+at any scale; what they say too often is counted in vain and changes nothing. Counts by hash travel as arrays, dealt over
+``BUCKETS`` by the hash's first bits; counts by phrase as rows (lang, phrase, n). Tasks sum what they have read before they
+send it. The driver gets the filters' bits alone.
 
 Null texts are empty, a null language is ``und``. Languages are counted apart. Texts of any length are read whole, in runs
 that end at a break; a phrase never crosses a break or a document. Repeated rows count as often as they stand. Tables
@@ -22,6 +24,7 @@ without words give no row. Columns of other names are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,97 +37,123 @@ from pyspark.sql import Window as W
 from .common import Scratch, tidy
 
 SAMPLE, LOWERED = 1 / 8, 0.35
-BLOOM_BITS, PROBES = 26, 4
-FLUSH_BYTES = 4 << 20
+BLOOM_BITS, PROBES, BUCKETS = 26, 4, 1024
+#: Text that is counted at once, and counts by hash that a task holds before it sends them.
+FLUSH_BYTES, HELD = 2 << 20, 1 << 22
 
 #: What separates words, and what separates the pieces that phrases stay within.
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + BLANKS + BREAKS, bytes(range(97, 123)) + b" " * len(BLANKS) + b"\n" * len(BREAKS))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Numbers(dict):
-    """Numbers of words in the order in which they are met."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(max(n - 1, 0), base)], dtype=np.uint64)
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode())
 
+@dataclass
+class Words:
+    """The words of a folded text: where they are, which piece they are in, and two hashes of each."""
 
-def _longer(head: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a phrase from the hash of all but its last word and the last word's."""
-    h = head * _MIX + word
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    text: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+    piece: np.ndarray
+    one: np.ndarray
+    two: np.ndarray
 
+    def phrase(self, at: int, k: int) -> bytes:
+        return b" ".join([self.text[s:e] for s, e in zip(self.starts[at : at + k].tolist(), self.ends[at : at + k].tolist(), strict=True)])
 
-def phrase_hash(lang: str, phrase: str) -> int:
-    seed = _seed(lang)
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in phrase.encode().split(b" ")], np.uint64)
-    out = hashes[:1]
-    for k in range(1, len(hashes)):
-        out = _longer(out, hashes[k : k + 1])
-    return int(out[0])
 
+def read_words(text: bytes, lang: str) -> Words:
+    raw = np.frombuffer(text, np.uint8)
+    inside = (raw != 32) & (raw != 10)
+    edges = np.diff(np.r_[False, inside, False].astype(np.int8))
+    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    size = ends - starts
+    first = np.cumsum(size) - size
+    own = raw[inside].astype(np.uint64) + np.uint64(1)
+    within = np.arange(len(own)) - first.repeat(size)
+    seed = np.array([xxhash.xxh64_intdigest(lang.encode())], np.uint64)
+    longest = int(size.max()) if len(size) else 0
+    hashes = [_mixed(np.add.reduceat(own * _powers(base, longest)[within], first) + seed * base) if len(size) else own for base in (_ONE, _TWO)]
+    return Words(text, starts, ends, np.searchsorted(np.nonzero(raw == 10)[0], starts), *hashes)
 
-def _probes(hashes: np.ndarray) -> list[np.ndarray]:
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return [(hashes + np.uint64(k) * step) & np.uint64((1 << BLOOM_BITS) - 1) for k in range(PROBES)]
+
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    """The 42 bits by which phrases are counted and filtered."""
+    return hashes >> np.uint64(22)
+
+
+def _probes(keys: np.ndarray) -> list[np.ndarray]:
+    spread = _mixed(keys * _TWO)
+    step = (spread >> np.uint64(32)) | np.uint64(1)
+    return [(spread + np.uint64(k) * step) & np.uint64((1 << BLOOM_BITS) - 1) for k in range(PROBES)]
 
 
 def known(bloom: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
     """Whether the filter has each hash; no filter has all."""
-    if bloom is None:
-        return np.ones(len(hashes), bool)
     out = np.ones(len(hashes), bool)
-    for at in _probes(hashes):
-        out &= (bloom[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    if bloom is not None:
+        for at in _probes(_keys(hashes)):
+            out &= (bloom[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).view(np.int64) == 1
     return out
 
 
-def count_phrases(lang: str, text: bytes, longest: int, now: np.ndarray | None, before: np.ndarray | bool) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, counts) by length of a folded text: those whose two parts the filter ``now`` has.
+def filter_words(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits) of a filter that has the keys."""
+    at = np.unique(np.concatenate(_probes(keys)))
+    words, first = np.unique(at >> np.uint64(6), return_index=True)
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+    return words.view(np.int64), bits.view(np.int64)
+
+
+def phrases_of(words: Words, longest: int, now: np.ndarray | None, before: np.ndarray | bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, first words, hashes) of the phrases whose two parts the filter ``now`` has, by their length k.
 
     ``before`` is the filter of an earlier pass: what that pass counted is left out, and what it did not is gone on from.
-    False is no earlier pass. The empty phrase stands for all words.
+    False is no earlier pass.
     """
-    numbers = _Numbers({b"": 0, b"\n": 1})
-    tokens = text.replace(b"\n", b" \n ").split(b" ")
-    ids = np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens))
-    del tokens
-    words, ids = list(numbers)[2:], ids[ids != 0] - 2
-    if not words:
-        return
-    seed = _seed(lang)
-    word_hash = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-    counts = np.bincount(ids[ids >= 0], minlength=len(words))
+    hashes, n = words.one, len(words.one)
+    there = fresh = np.ones(n, bool)
     if before is False:
-        yield [b"", *words], np.r_[counts.sum(), counts]
-    phrases, hashes, place, fresh = words, word_hash, ids, np.zeros(len(words), bool)
-    for k in range(2, longest + 1):
-        new = known(now, hashes) | fresh
-        old = known(before, hashes) if before is not False else np.zeros(len(hashes), bool)
-        # Where a phrase of k words starts: both of its parts are there and known.
-        n = len(ids) - k + 1
-        if n <= 0:
-            return
-        head, tail = place[:n], place[1 : n + 1]
-        at = np.nonzero((head >= 0) & (tail >= 0))[0]
-        at = at[new[head[at]] & new[tail[at]]]
-        if not len(at):
-            return
-        unique, first, inverse, n_of = np.unique(place[at] * len(words) + ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        heads, lasts, tails = unique // len(words), unique % len(words), place[at[first] + 1]
-        longer = [phrases[h] + b" " + words[w] for h, w in zip(heads.tolist(), lasts.tolist(), strict=True)]
-        fresh = ~(old[heads] & old[tails])
-        if fresh.any():
-            yield [longer[i] for i in np.nonzero(fresh)[0]], n_of[fresh]
-        phrases, hashes = longer, _longer(hashes[heads], word_hash[lasts])
-        place = np.full(len(ids), -1, np.int64)
-        place[at] = inverse
+        yield 1, np.arange(n), hashes
+    else:
+        fresh = np.zeros(n, bool)
+    for k in range(2, min(longest, n) + 1):
+        new = there & known(now, hashes)
+        if before is not False:
+            old = there & known(before, hashes)
+            new |= there & fresh
+        n -= 1
+        there = new[:n] & new[1 : n + 1] & (words.piece[:n] == words.piece[k - 1 :])
+        hashes = _mixed(hashes[:n] * _ONE + words.one[k - 1 :])
+        fresh = there if before is False else there & ~(old[:n] & old[1 : n + 1])
+        at = np.nonzero(fresh)[0]
+        if len(at):
+            yield k, at, hashes[at]
+
+
+def count_exactly(words: Words, longest: int, now, before, frequent) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """(phrases, counts) of ``phrases_of`` whose hash ``frequent`` has; the empty phrase stands for all words."""
+    if before is False and len(words.one):
+        yield [b""], np.array([len(words.one)])
+    for k, at, hashes in phrases_of(words, longest, now, before):
+        some = known(frequent, hashes)
+        at, hashes = at[some], hashes[some]
+        if len(at):
+            second = sum((words.two[at + j] * _TWO ** np.uint64(j) for j in range(k)), np.zeros(len(at), np.uint64))
+            order = np.argsort(hashes, kind="stable")
+            # Two phrases of one hash are told apart by the second; should they alternate, each is sent more than once.
+            new = np.r_[True, (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)]
+            first = np.nonzero(new)[0]
+            yield [words.phrase(i, k) for i in at[order[first]].tolist()], np.diff(np.r_[first, len(at)])
 
 
 def _folded(text: bytes) -> Iterator[bytes]:
@@ -136,18 +165,11 @@ def _folded(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], longest: int, now, before, share: float) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], share: float = 1) -> Iterator[tuple[str, Words]]:
+    """Words of about ``FLUSH_BYTES`` of one language's texts at once; of ``share`` of their pieces."""
     chosen = np.random.default_rng(TaskContext.get().partitionId())
-    now, before = (b.value if hasattr(b, "value") else b for b in (now, before))
     held: dict[str, list[bytes]] = {}
     size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, texts in held.items():
-            for phrases, counts in count_phrases(lang, b"\n".join(texts), longest, now, before):
-                column = pa.array(phrases, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), np.int32)), pa.array([lang])).cast(pa.string()), column, pa.array(counts)], ["lang", "phrase", "n"])
-
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
             for run in _folded((text or "").encode()):
@@ -157,33 +179,99 @@ def _counted(batches: Iterator[pa.RecordBatch], longest: int, now, before, share
                 held.setdefault(lang, []).append(run)
                 size += len(run)
                 if size >= FLUSH_BYTES:
-                    yield from flush()
+                    yield from ((x, read_words(b"\n".join(y), x)) for x, y in held.items())
                     held, size = {}, 0
-    yield from flush()
-
+    yield from ((x, read_words(b"\n".join(y), x)) for x, y in held.items())
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.nonzero(np.r_[True, keys[1:] != keys[:-1]])[0] if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def _counts_by_hash(batches: Iterator[pa.RecordBatch], longest: int, now, share: float) -> Iterator[pa.RecordBatch]:
+    """(bucket, keys, counts): counts of phrases by their hash."""
+    now = now.value if now is not None else None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def sent() -> pa.RecordBatch:
+        keys, counts = _summed(held)
+        buckets = (keys >> np.uint64(32)).view(np.int64)
+        ends = np.searchsorted(buckets, np.arange(BUCKETS + 1))
+        some = np.nonzero(np.diff(ends))[0]
+        low, few = keys.astype(np.uint32), np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
+        arrays = [pa.array(some), *(pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (low, few))]
+        return pa.RecordBatch.from_arrays(arrays, ["bucket", "keys", "counts"])
+
+    for _, words in _read(batches, share):
+        for _, _, hashes in phrases_of(words, longest, now, False):
+            keys, counts = np.unique(_keys(hashes), return_counts=True)
+            held.append((keys, counts))
+        if sum(len(k) for k, _ in held) > HELD:
+            held = [_summed(held)]
+            if len(held[0][0]) > HELD // 2:
+                yield sent()
+                held = []
+    if held:
+        yield sent()
+
+
+def _frequent_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of a filter of the hashes counted ``least`` times or more; the rows come sorted by bucket."""
+    bucket, held, size = None, [], 0
+
+    def told() -> Iterator[pa.RecordBatch]:
+        keys, counts = _summed(held)
+        words, bits = filter_words((np.uint64(bucket) << np.uint64(32)) | keys[counts >= least])
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
 
-def _hashed(batches: Iterator[pa.RecordBatch], bloom) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, hash, known) of phrases."""
-    bits = bloom.value if bloom is not None else None
     for batch in batches:
-        hashes = np.array([phrase_hash(x, y) for x, y in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True)], np.uint64)
-        has = known(bits, hashes) if bits is not None else np.zeros(len(hashes), bool)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(has)], ["hash", "known"])
-
-
-def filter_bits(phrases: DataFrame, bloom=None) -> tuple[np.ndarray, int]:
-    """(bits, how many) of the phrases (lang, phrase) that ``bloom`` lacks: at most ``2 ** (BLOOM_BITS - 6)`` rows reach the driver."""
-    fresh = phrases.select("lang", "phrase").mapInArrow(tidy(lambda b: _hashed(b, bloom)), "hash bigint, known boolean").filter("not known")
-    h = F.col("hash")
-    step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
-    ends = F.array(*[(h.bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)) + F.lit(k) * step.bitwiseAND(F.lit((1 << BLOOM_BITS) - 1))).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)) for k in range(PROBES)])
-    at = fresh.select(F.explode(ends).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"), F.count("*").alias("n"))
-    bits, n = np.zeros(1 << (BLOOM_BITS - 6), np.int64), 0
-    for r in words.toLocalIterator():
-        bits[r.word] = r.bits
-        n += r.n
-    return bits.view(np.uint64), n // PROBES
+        for b, keys, counts in zip(*(batch[c] for c in ("bucket", "keys", "counts")), strict=True):
+            if b.as_py() != bucket and held:
+                yield from told()
+                held, size = [], 0
+            bucket = b.as_py()
+            held.append((np.frombuffer(keys.as_buffer(), np.uint32).astype(np.uint64), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0][0]) // 2
+    if held:
+        yield from told()
+
+
+def _exact(batches: Iterator[pa.RecordBatch], longest: int, now, before, frequent) -> Iterator[pa.RecordBatch]:
+    now, before, frequent = (b.value if hasattr(b, "value") else b for b in (now, before, frequent))
+    for lang, words in _read(batches):
+        for phrases, counts in count_exactly(words, longest, now, before, frequent):
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
+
+
+def _missing(batches: Iterator[pa.RecordBatch], bloom) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of the phrases (lang, phrase) that the filter lacks."""
+    for batch in batches:
+        hashes = []
+        for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True):
+            words = read_words(phrase.encode(), lang)
+            h = words.one[:1]
+            for k in range(1, len(words.one)):
+                h = _mixed(h * _ONE + words.one[k : k + 1])
+            hashes.append(h)
+        if hashes:
+            all_ = np.concatenate(hashes)
+            words, bits = filter_words(_keys(all_[~known(bloom.value, all_)]))
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
+
+
+def _bits(words: DataFrame) -> np.ndarray:
+    """A filter's bits, of its words (word, bits): at most ``2 ** (BLOOM_BITS - 6)`` rows reach the driver."""
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bits.view(np.uint64)
 
 
 def frequent_phrases(docs: DataFrame, text: str, lang: str, longest: int = 5, least: int = 100) -> DataFrame:
@@ -193,23 +281,27 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, longest: int = 5, le
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    shape = "lang string, phrase string, n bigint"
 
-    def counted(now, before, share: float = 1) -> DataFrame:
-        found = rows.mapInArrow(tidy(lambda b: _counted(b, longest, now, before, share)), shape)
-        return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def by_hash(now, share: float, at_least: int) -> np.ndarray:
+        counted = rows.mapInArrow(tidy(lambda b: _counts_by_hash(b, longest, now, share)), "bucket bigint, keys binary, counts binary")
+        dealt = counted.repartition("bucket").sortWithinPartitions("bucket")
+        return _bits(dealt.mapInArrow(tidy(lambda b: _frequent_words(b, at_least)), "word bigint, bits bigint"))
+
+    def exactly(now, before, frequent) -> DataFrame:
+        found = rows.mapInArrow(tidy(lambda b: _exact(b, longest, now, before, frequent)), "lang string, phrase string, n bigint")
+        return scratch.write(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
 
-    proposed = counted(None, False, SAMPLE).filter(F.col("n") >= max(2, int(SAMPLE * least * LOWERED))).filter("phrase <> ''")
-    proposed = scratch.write(proposed.select("lang", "phrase"), "proposed")
-    bits, _ = filter_bits(proposed)
-    scratch.drop(proposed)
+    bits = by_hash(None, SAMPLE, max(2, int(SAMPLE * least * LOWERED)))
     before = spark.sparkContext.broadcast(bits)
-    found = scratch.write(counted(before, False).filter(F.col("n") >= least), "phrases")
-    more, failures = filter_bits(found.filter("phrase <> ''").filter(F.size(F.split("phrase", " ")) < longest), before)
-    if failures:
+    frequent = spark.sparkContext.broadcast(by_hash(before, 1, least))
+    found = exactly(before, False, frequent)
+    shorter = found.filter("phrase <> ''").filter(F.size(F.split("phrase", " ")) < longest).select("lang", "phrase")
+    more = _bits(shorter.mapInArrow(tidy(lambda b: _missing(b, before)), "word bigint, bits bigint"))
+    if more.any():
         now = spark.sparkContext.broadcast(bits | more)
-        found = found.unionByName(scratch.write(counted(now, before).filter(F.col("n") >= least), "phrases"))
+        found = found.unionByName(exactly(now, before, None))
         now.destroy()
+    frequent.destroy()
     before.destroy()
     return found
 

@@ -70,8 +70,18 @@ def test_nothing(spark):
     assert collocations(spark.createDataFrame([("en", None), (None, " ")], docs.schema), "text", "lang").collect() == []
 
 
-def test_filter_is_the_same_in_spark_and_in_tasks(spark):
-    some = [("en", "a b"), ("de", "a b"), ("en", "c"), ("und", "é ü")]
-    bits, n = phrases.filter_bits(spark.createDataFrame(some, "lang string, phrase string"))
-    hashes = phrases.np.array([phrases.phrase_hash(*x) for x in some], phrases.np.uint64)
-    assert n == 4 and phrases.known(bits, hashes).all() and not phrases.known(bits, hashes + phrases.np.uint64(12345)).any()
+def test_filter_has_what_it_was_given():
+    hashes = phrases.read_words("a b é c".encode(), "en").one
+    words, bits = phrases.filter_words(phrases._keys(hashes))
+    bloom = phrases.np.zeros(1 << (phrases.BLOOM_BITS - 6), phrases.np.int64)
+    bloom[words] = bits
+    bloom = bloom.view(phrases.np.uint64)
+    assert len(hashes) == 4 and phrases.known(bloom, hashes).all() and not phrases.known(bloom, ~hashes).any()
+    assert not phrases.known(bloom, phrases.read_words(b"a b", "de").one).any()
+
+
+def test_words_of_a_folded_text():
+    words = phrases.read_words(b" ab  c\nab c\x00 c", "en")
+    assert [words.phrase(i, 1) for i in range(5)] == [b"ab", b"c", b"ab", b"c\x00", b"c"] and words.piece.tolist() == [0, 0, 1, 1, 1]
+    assert words.one[0] == words.one[2] and words.one[1] == words.one[4] and len(set(words.one.tolist())) == len(set(words.two.tolist())) == 3
+    assert len(phrases.read_words(b"", "en").one) == len(phrases.read_words(b" \n ", "en").one) == 0
