@@ -145,19 +145,32 @@ def brace_functions(tokens: DataFrame) -> DataFrame:
     return functions_at(structured(significant(tokens.filter("language <> 'python'"))))
 
 
+def code_lines(files: DataFrame) -> DataFrame:
+    """(path, line, indent) of the Python lines that are neither blank nor a comment."""
+    lines = files.filter("language = 'python'").select("path", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n", -1)).alias("_at", "_text")).filter(F.trim("_text").rlike("^[^#]"))
+    return lines.select("path", (F.col("_at") + 1).alias("line"), F.length(F.regexp_extract("_text", r"^([ \t]*)", 1)).alias("indent"))
+
+
+def block_ends(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """(path, line, end_line) of the blocks that begin at ``heads`` (path, line): up to the next line not indented more.
+
+    The next smaller value, by levels: a file's levels are the indents of its heads, and a line takes part in those that
+    it would end. Within a level the next row is the end of the one before, so each line is read once a level.
+    """
+    file = W.partitionBy("path")
+    placed = lines.withColumns({"_prev": F.lag("line").over(file.orderBy("line")), "_last": F.max("line").over(file)})
+    levels = lines.join(heads.select("path", "line").distinct(), ["path", "line"]).groupBy("path").agg(F.collect_set("indent").alias("_levels"))
+    leveled = placed.join(levels, "path").withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= F.col("indent"))))
+    end = F.coalesce(F.lead("_prev").over(W.partitionBy("path", "_level").orderBy("line")), F.col("_last"))
+    return leveled.withColumn("end_line", end).filter("_level = indent").select("path", "line", "end_line")
+
+
 def python_functions(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, name, start_line, end_line, line_count): a def ends before the next code line that is not indented more."""
-    lines = F.split(F.coalesce("content", F.lit("")), "\n", -1)
-    indent = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, r"^([ \t]*)", 1)).alias("indent"), (F.trim(x).rlike("^[^#]")).alias("code")))
-    coded = files.filter("language = 'python'").select("path", F.filter(indent, lambda x: x["code"]).alias("lines"))
     code = significant(tokens.filter("language = 'python'"))
-    defs = code.withColumn("name", ahead("value", 1)).filter((F.col("type") == "KEYWORD") & (F.col("value") == "def")).select("path", "name", F.col("line").alias("start_line"))
-    at = F.get(F.filter("lines", lambda x: x["line"] == F.col("start_line")), F.lit(0))["indent"]
-    joined = defs.join(coded, "path").withColumn("_indent", at)
-    stop = F.get(F.filter("lines", lambda x: (x["line"] > F.col("start_line")) & (x["indent"] <= F.col("_indent"))), F.lit(0))["line"]
-    last = F.array_max(F.transform(F.filter("lines", lambda x: F.col("_stop").isNull() | (x["line"] < F.col("_stop"))), lambda x: x["line"]))
-    ended = joined.withColumn("_stop", stop).withColumn("end_line", last)
-    return ended.select("path", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).alias("line_count"))
+    defs = code.withColumn("name", ahead("value", 1)).filter((F.col("type") == "KEYWORD") & (F.col("value") == "def")).select("path", "name", "line")
+    ended = defs.join(block_ends(code_lines(files), defs), ["path", "line"])
+    return ended.select("path", "name", F.col("line").alias("start_line"), "end_line", (F.col("end_line") - F.col("line") + 1).alias("line_count"))
 
 
 def functions_of(tokens: DataFrame, files: DataFrame) -> DataFrame:

@@ -180,6 +180,54 @@ def clone_line_coverage(spark, sf_dir):
     return clones.clone_coverage(clones.clone_pairs(_seeds(spark, sf_dir)))
 
 
+# By tokens: the diagonals that a seed lies on, the runs of equal tokens on them, and those runs that hold a seed.
+MATCHES_SQL = """
+WITH x AS (SELECT doc_id, lang, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL),
+y AS (SELECT lang AS language, doc_id AS path, line, list_filter(string_split_regex(string_split(text, chr(10))[line], '[ \\t]+'), lambda x: x <> '') AS tok FROM x),
+z AS (SELECT language, path, line, tok, unnest(range(len(tok))) AS i FROM y),
+w AS (SELECT language, path, line, tok[i + 1] AS code, row_number() OVER (PARTITION BY language, path ORDER BY line, i) - 1 AS place FROM z),
+s AS (SELECT language, path, place // 40 AS chunk, string_agg(code, chr(31) ORDER BY place) AS run40 FROM w GROUP BY ALL HAVING count(*) = 40),
+n AS (SELECT *, count(*) OVER (PARTITION BY language, run40) AS n, row_number() OVER (PARTITION BY language, run40 ORDER BY path, chunk) AS rank FROM s),
+k AS (SELECT * FROM n WHERE n > 1 AND rank <= 64),
+p AS (SELECT DISTINCT a.language, a.path AS path_a, b.path AS path_b, a.chunk * 40 AS at, (b.chunk - a.chunk) * 40 AS d FROM k a JOIN k b ON a.language = b.language AND a.run40 = b.run40 AND a.rank < b.rank),
+g AS (SELECT DISTINCT language, path_a, path_b, d FROM p),
+e AS (SELECT g.*, a.place, a.line AS line_a, b.line AS line_b, a.place - row_number() OVER (PARTITION BY g.language, g.path_a, g.path_b, g.d ORDER BY a.place) AS run
+  FROM g JOIN w a ON a.language = g.language AND a.path = g.path_a JOIN w b ON b.language = g.language AND b.path = g.path_b AND b.place = a.place + g.d AND b.code = a.code),
+r AS (SELECT language, path_a, path_b, d, min(place) AS first, count(*) AS token_count, min(line_a) AS line_start_a, max(line_a) AS line_end_a, min(line_b) AS line_start_b, max(line_b) AS line_end_b
+  FROM e GROUP BY language, path_a, path_b, d, run),
+m AS (SELECT * FROM r SEMI JOIN p ON p.language = r.language AND p.path_a = r.path_a AND p.path_b = r.path_b AND p.d = r.d AND p.at BETWEEN r.first AND r.first + r.token_count - 40
+  WHERE path_a <> path_b OR d >= token_count),
+o AS (SELECT language, path_a, line_start_a::INTEGER AS line_start_a, line_end_a::INTEGER AS line_end_a, path_b, line_start_b::INTEGER AS line_start_b, line_end_b::INTEGER AS line_end_b, token_count::INTEGER AS token_count, (line_end_a - line_start_a + 1)::INTEGER AS line_count
+  FROM m QUALIFY row_number() OVER (PARTITION BY language, path_a, line_start_a, path_b, line_start_b ORDER BY token_count DESC, line_end_a DESC, line_end_b DESC) = 1)
+"""
+
+
+def _matches(spark, sf_dir) -> DataFrame:
+    rows = clones.word_rows(t(spark, sf_dir, "documents").filter("text is not null"), "lang", "doc_id", "text")
+    return clones.clone_matches(clones.token_chunks(rows))
+
+
+@query(MATCHES_SQL + "SELECT * FROM o")
+def clone_matches(spark, sf_dir):
+    """Clones among the documents, word by word, with their lines."""
+    return _matches(spark, sf_dir)
+
+
+@query(MATCHES_SQL + """
+, v AS (SELECT path_a AS path, unnest(range(line_start_a, line_end_a + 1)) AS line FROM o UNION SELECT path_b, unnest(range(line_start_b, line_end_b + 1)) FROM o)
+SELECT path, count(*) AS duplicate_lines FROM v GROUP BY path""")
+def clone_duplicate_lines(spark, sf_dir):
+    return clones.duplicate_lines(_matches(spark, sf_dir))
+
+
+@query(MATCHES_SQL + """
+, u AS (SELECT *, row_number() OVER (ORDER BY line_count DESC, path_a, line_start_a, path_b, line_start_b) AS rank FROM o)
+SELECT * EXCLUDE (rank) FROM u WHERE rank <= 50""")
+def clone_top_matches(spark, sf_dir):
+    """The clones with the most lines: a report's first fifty."""
+    return clones.ordered_matches(_matches(spark, sf_dir), "line_count", 50)
+
+
 @query("""
 WITH e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, (floor(epoch(ts))::BIGINT + (value * 60)::BIGINT) AS e FROM events),
 f AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
