@@ -1,8 +1,7 @@
 """The rule catalog and the findings of token tables: sequences, bracketed calls, comments, functions, files.
 
 Every rule is a condition on neighbouring tokens (``lead`` and ``lag``), on the tokens between matched brackets, or on
-structure, evaluated by Spark over all files at once. Not followed: the exemption of data-holding classes from
-``java-public-field``.
+structure, evaluated by Spark over all files at once.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import first_phrase, has_ticket
 from .findings import secret_hits
 from .joins import supersede
+from .scopes import with_data_holder
 from .structure import CODE_COMMENTS, ahead, bracket_pairs, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
 
 # Rules as id, severity, category, tier, confidence.
@@ -133,7 +133,9 @@ PLACEHOLDER_PHRASES = [
     "implementation goes here", "code goes here", "logic goes here", "add your code here", "add your logic here", "insert your code here",
     "placeholder implementation", "lorem ipsum",
 ]
+# Parts of a secret's name, and ends of a name in Python that tell of no secret.
 SECRET_NAMES = ["password", "passwd", "secret", "apikey", "api_key", "accesskey", "access_key", "authtoken"]
+NO_SECRET_ENDS = ["field", "name", "label", "hint", "help", "text", "title", "url", "path", "file", "length", "policy"]
 # Collections that take type arguments.
 RAW_TYPES = ["List", "Map", "Set", "ArrayList", "HashMap", "HashSet", "LinkedList", "Collection", "Iterator"]
 LONG_FUNCTION, DEEP_NESTING, COMPLEX_FUNCTION = 100, 6, 10
@@ -219,7 +221,7 @@ def sequence_hits() -> list[Column]:
         own = F.col("language") == LANGUAGE[rule.split("-")[0]]
         hits.append(F.when(reduce(lambda a, b: a & b, [_step(s, k) for k, s in enumerate(steps)], own), rule))
     name = (F.col("type") == "IDENTIFIER") & F.lower("value").rlike("|".join(SECRET_NAMES)) & (F.col("v1") == "=") & (F.col("t2") == "STRING") & (F.length("v2") >= 8)
-    name = name & ((F.col("language") != "python") | ~F.lower("value").rlike(r"_(field|name|label|hint|help|text|title|url|path|file|length|policy)$"))
+    name = name & ((F.col("language") != "python") | ~F.lower("value").rlike(f"_({'|'.join(NO_SECRET_ENDS)})$"))
     hits.append(F.when(name, _prefixed("sec-hardcoded-secret")))
     script = F.col("language").isin("javascript", "typescript")
     bare = F.col("vm1").isNull() | (F.col("vm1") != ".")
@@ -325,25 +327,50 @@ def catch_findings(tokens: DataFrame) -> DataFrame:
     return out.filter("rule_id is not null")
 
 
-def field_findings(code: DataFrame) -> DataFrame:
-    """Public fields, and mutable attributes of Python classes."""
-    some = code.filter(F.col("language").isin("java", "csharp"))
+# Words between ``public`` and a field's type.
+MODIFIERS = {
+    "java": ["static", "final", "volatile", "transient", "abstract", "synchronized"],
+    "csharp": ["static", "readonly", "const", "volatile", "virtual", "override", "abstract", "sealed", "async"],
+}
+
+
+def public_fields(code: DataFrame) -> DataFrame:
+    """Fields after ``public`` in Java and C#, on the line of their name: no constants, and in Java none of data holders.
+
+    A declaration's head ends before its first ``; = ( {`` or comma outside angle and square brackets, however far that
+    is; its name is the last name before that. Java's type declarations are none; what ends at ``(`` or ``{`` is none.
+    """
+    owned = with_data_holder(code.filter("language = 'java'"))
+    plain = code.filter("language = 'csharp'").withColumn("data_holder", F.lit(False))
+    some = owned.select(*plain.columns).unionByName(plain)
     starts = (F.col("type") == "KEYWORD") & (F.col("value") == "public")
     some = some.withColumn("_starts", starts).withColumn("_no", F.sum(starts.cast("int")).over(in_file().rowsBetween(W.unboundedPreceding, 0))).filter("_no > 0")
-    # A declaration's head ends before its first ; = ( { or a comma outside angle brackets, however far that is.
     part = W.partitionBy("path", "_no").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    depth = F.sum(F.when(is_value("value", "<"), 1).when(is_value("value", ">"), -1).otherwise(0)).over(part)
-    end = is_value("value", ";", "=", "(", "{") | (is_value("value", ",") & (F.col("_depth") <= 0))
-    some = some.withColumn("_depth", depth).withColumn("_end", end).withColumn("_past", F.sum(F.col("_end").cast("int")).over(part))
-    heads = some.filter((F.col("_past") == 0) | ((F.col("_past") == 1) & F.col("_end"))).groupBy("path", "language", "_no").agg(
-        F.max(F.when(F.col("_starts"), F.col("line"))).alias("line"), F.max(F.when(F.col("_end"), F.col("value"))).alias("stop"),
-        F.collect_list(F.when(~F.col("_starts") & ~F.col("_end"), F.col("value"))).alias("head"),
+    some = some.withColumn("_s", F.sum(F.when(is_value("value", "<", "["), 1).when(is_value("value", ">", "]"), -1).otherwise(0)).over(part))
+    some = some.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(part)))
+    end = (F.col("_depth") == 0) & is_value("value", ";", "=", "(", "{", ",")
+    some = some.withColumn("_end", end).withColumn("_past", F.sum(F.col("_end").cast("int")).over(part))
+    held = some.filter((F.col("_past") == 0) | ((F.col("_past") == 1) & F.col("_end"))).groupBy("path", "language", "_no").agg(
+        F.max(F.when(F.col("_starts"), F.col("data_holder"))).alias("_holder"), F.max(F.when(F.col("_end"), F.col("value"))).alias("_stop"),
+        F.max(F.when((F.col("_depth") == 0) & (F.col("type") == "IDENTIFIER"), F.struct("idx", "line"))).alias("_name"),
+        F.array_sort(F.collect_list(F.when(~F.col("_starts") & ~F.col("_end"), F.struct("idx", "type", "value")))).alias("_head"),
     )
-    has = lambda *w: reduce(lambda a, b: a & b, [F.array_contains("head", x) for x in w])
-    declares = F.arrays_overlap("head", F.array(*map(F.lit, ["class", "interface", "enum", "record", "struct", "event", "delegate", "@"])))
-    constant = ((F.col("language") == "java") & has("static", "final")) | ((F.col("language") == "csharp") & (has("static", "readonly") | has("const")))
-    field = (F.size("head") >= 2) & F.col("stop").isin(";", "=", ",") & ~constant & ~declares
-    public = heads.filter(field).select("path", "language", "line", _prefixed("public-field").alias("rule_id"))
+    allowed = F.when(F.col("language") == "java", F.array(*map(F.lit, MODIFIERS["java"]))).otherwise(F.array(*map(F.lit, MODIFIERS["csharp"])))
+    other = F.array_position(F.transform("_head", lambda x: (x["type"] == "KEYWORD") & F.array_contains(allowed, x["value"])), False)
+    first = F.when(other == 0, F.size("_head") + 1).otherwise(other).cast("int")
+    words = F.transform(F.slice("_head", 1, first - 1), lambda x: x["value"])
+    held = held.withColumns({"_words": words, "_next": F.get("_head", first - 1)})
+    has = lambda *w: reduce(lambda a, b: a & b, [F.array_contains("_words", x) for x in w])
+    java = F.col("language") == "java"
+    constant = F.when(java, has("static", "final")).otherwise(has("const") | has("static", "readonly"))
+    declares = java & F.coalesce((F.col("_next.type") == "KEYWORD") & F.col("_next.value").isin("class", "interface", "enum"), F.lit(False))
+    field = F.col("_name").isNotNull() & F.col("_stop").isin(";", "=", ",") & ~constant & ~declares & ~F.col("_holder")
+    return held.filter(field).select("path", "language", F.col("_name.line").alias("line"), _prefixed("public-field").alias("rule_id"))
+
+
+def field_findings(code: DataFrame) -> DataFrame:
+    """Public fields, and mutable attributes of Python classes."""
+    public = public_fields(code)
     python = code.filter("language = 'python'").withColumns({"_n1": ahead("value", 1), "_n2": ahead("value", 2), "_line0": ahead("line", -1)})
     scope = F.last(F.when(F.col("value").isin("class", "def") & (F.col("type") == "KEYWORD"), F.col("value")), True).over(in_file().rowsBetween(W.unboundedPreceding, 0))
     attribute = (F.col("type") == "IDENTIFIER") & (F.col("_n1") == "=") & F.col("_n2").isin("[", "{") & (F.col("line") != F.col("_line0")) & ~F.col("value").rlike("^_.*_$|^[A-Z0-9_]+$")

@@ -75,7 +75,9 @@ CASES: dict[str, list[tuple[str, str, int, int]]] = {
     ],
     "java": [
         ("class A@ { A@() { try { f(); } catch (E e) { } } }", "java-empty-catch-block:1", 1, 1), ("class A@ { A@() { try { f(); } catch (E e) { /* no */ } } }", "", 1, 1),
-        ("class B@ {\n public int x;\n}", "java-public-field:2", 0, 0), ("class B@ {\n public static final int Y = 1;\n public int get() { return 1; }\n}", "", 1, 0),
+        ("class B@ {\n public int x;\n void run() { }\n}", "java-public-field:2", 1, 0), ("class B@ {\n public static final int Y = 1;\n public int get() { return 1; }\n}", "", 1, 0),
+        ("class D@ {\n public int x = f();\n public D@(int a) { x = a; }\n public int getX() { return x; }\n}", "", 2, 0), ("class E@ {\n public\n  Map<A, B[]> m;\n class F@ {\n  public int y;\n }\n void run() { }\n}", "java-public-field:3", 1, 0),
+        ("public class G@ extends A, B { }", "", 0, 0),
         ("e@.printStackTrace();", "java-printstacktrace:1", 0, 0), ("List l@ = f();", "java-raw-type-usage:1", 0, 0), ("List<A> l@ = f();", "", 0, 0),
         ("Runtime.getRuntime().exec(c@);", "java-sec-runtime-exec:1", 0, 0), ("new ProcessBuilder(c@);", "java-sec-runtime-exec:1", 0, 0), ("pool.exec(c@);", "", 0, 0),
         ('MessageDigest.getInstance("MD5");', "java-sec-weak-hash:1", 0, 0), ('MessageDigest.getInstance("SHA-256");', "", 0, 0),
@@ -88,6 +90,7 @@ CASES: dict[str, list[tuple[str, str, int, int]]] = {
     "csharp": [
         ("class A@ { void M() { try { F(); } catch (E e) { } } }", "csharp-empty-catch-block:1", 1, 1), ("class A@ { void M() { try { F(); } catch { } } }", "csharp-empty-catch-block:1", 1, 1),
         ("class B@ {\n public int F;\n}", "csharp-public-field:2", 0, 0), ("class B@ {\n public const int G = 1;\n public int P { get; set; }\n}", "", 0, 0),
+        ("class B@ {\n public event\n  Handler Done;\n public static readonly int[,] H = f;\n}", "csharp-public-field:3", 0, 0),
         ("Console.WriteLine(a@);", "csharp-console-writeline:1", 0, 0), ("Log.WriteLine(a@);", "", 0, 0),
         ("class D@ { async void N() { F(); } }", "csharp-async-void:1", 1, 0), ("class D@ { async Task N() { F(); } }", "", 1, 0),
         ("Process.Start(a@);", "csharp-sec-process-start:1", 0, 0), ("MD5.Create();", "csharp-sec-weak-hash:1", 0, 0), ("SHA256.Create();", "", 0, 0), ("DES.Create();", "csharp-sec-weak-cipher:1", 0, 0), ("Aes.Create();", "", 0, 0),
@@ -97,16 +100,20 @@ CASES: dict[str, list[tuple[str, str, int, int]]] = {
 }
 
 
-def case_files(df: DataFrame, key: Column, times: Column) -> DataFrame:
-    """(path, language, content): a file of each language for each row, its cases repeated ``times``."""
+def _built(df: DataFrame, key: Column, times: Column, texts: dict[str, list[str]]) -> DataFrame:
     built = [
-        F.struct(F.lit(language).alias("language"), F.lit(SUFFIX[language]).alias("suffix"), F.replace(F.concat(*[F.repeat(F.lit(text + "\n"), times) for text, *_ in cases]), F.lit("@"), key.cast("string")).alias("content"))
-        for language, cases in CASES.items()
+        F.struct(F.lit(language).alias("language"), F.lit(SUFFIX[language]).alias("suffix"), F.replace(F.concat(*[F.repeat(F.lit(text + "\n"), times) for text in own]), F.lit("@"), key.cast("string")).alias("content"))
+        for language, own in texts.items()
     ]
     files = df.select(key.cast("string").alias("_key"), F.explode(F.array(*built)).alias("_f"))
     return files.select(F.concat("_key", "_f.suffix").alias("path"), "_f.language", "_f.content")
 
 
+def case_files(df: DataFrame, key: Column, times: Column) -> DataFrame:
+    """(path, language, content): a file of each language for each row, its cases repeated ``times``."""
+    return _built(df, key, times, {language: [text for text, *_ in cases] for language, cases in CASES.items()})
+
+
 def expected_findings() -> list[tuple[str, int, int, int, int]]:
     """(rule_id, line, lines before the case, lines of the case, 1 if once a file) of every stated finding."""
     rows = []
@@ -124,3 +131,50 @@ def expected_findings() -> list[tuple[str, int, int, int, int]]:
 def expected_structure() -> list[tuple[str, int, int, int]]:
     """(language, lines, functions, decision points) of every case."""
     return [(language, text.count("\n") + 1, functions, points) for language, cases in CASES.items() for text, _, functions, points in cases]
+
+
+#: Declarations: a text, the types that it declares as ``kind:line``, and how many variables, loops, conditions and tries.
+DECLARATIONS: dict[str, list[tuple[str, str, int, int, int, int]]] = {
+    "cpp": [
+        ("namespace n@ {\nclass A@ { int x; };\nstruct B@ { }; }", "namespace:1 class:2 struct:3", 1, 0, 0, 0), ("enum class C@ { };\nclass\nD@ { };", "class:1", 0, 0, 0, 0), ("enum E@ { };", "enum:1", 0, 0, 0, 0),
+        ("unsigned const int** p@ = 0;\nint const q@;\nMyType r@;\nint f@(int a);", "", 3, 0, 0, 0), ("for (int i@ = 0; i < 3; ++i) { if (a) { do { } while (b); } }\ntry { } catch (...) { }", "", 1, 3, 1, 1),
+    ],
+    "python": [
+        ("class A@:\n    x = 1\n    y: int = 2", "class:1", 2, 0, 0, 0), ("f(a@=1)\na.b = 1\nc@ == 1\nd@ = e = 2\ng@: int", "", 3, 0, 0, 0),
+        ("for i@ in b:\n    while c:\n        pass\nif d:\n    pass\nelif e:\n    pass\ntry:\n    pass\nexcept E:\n    pass", "", 0, 2, 2, 1), ("match(a@):\n    case 1:\n        z = [k for k in m]", "", 1, 1, 1, 0),
+    ],
+    "java": [
+        ("interface A@ { }\nenum B@ { X }\nrecord C@(int a) { }\nclass\nD@ { }", "class:1 enum:2 struct:3", 1, 0, 0, 0), ("Object o@ = A.class;\nfinal int x@ = 1; var y@ = 2;\nint f@() { return 1; }\nint[] z@;", "", 2, 0, 0, 0),
+        ("do { for (;;) { } } while (a@);\nswitch (b) { case 1: }\ntry { } finally { }", "", 0, 3, 1, 1),
+    ],
+    "typescript": [
+        ("interface A@ { }\nmodule B@ { }\ndeclare module 'x@' { }\nnamespace C@ { }\nenum D@ { }", "class:1 namespace:2 namespace:4 enum:5", 0, 0, 0, 0), ("let a@ = 1; const b@: number = 2;\nvar f@(1); const { c } = d;", "", 2, 0, 0, 0),
+        ("while (a@) { if (b) { } }\ntry { } catch { }", "", 0, 1, 1, 1),
+    ],
+    "javascript": [("class A@ { }\ninterface B@ { }", "class:1", 0, 0, 0, 0), ("let a@ = 1, b = 2; for (const c of d) { }", "", 2, 1, 0, 0), ("switch (a@) { }\ntry { } catch { }", "", 0, 0, 1, 1)],
+    "csharp": [
+        ("namespace N@ { class A@ { } }\nrecord struct B@(int a);\nrecord C@;\ninterface D@ { }\nenum E@ { }\nstruct F@ { }", "namespace:1 class:1 struct:2 struct:3 class:4 enum:5 struct:6", 1, 0, 0, 0),
+        ("int x@ = 1; string y@; dynamic z@;\nint f@<T, U<V>>(T a);\nint g@ < 3;\nvoid h@<T>();", "", 4, 0, 0, 0), ("foreach (var a@ in b) { if (c) { } }\ntry { } catch { }", "", 1, 1, 1, 1),
+    ],
+}
+
+
+def declaration_files(df: DataFrame, key: Column, times: Column) -> DataFrame:
+    """``case_files`` of the declarations."""
+    return _built(df, key, times, {language: [text for text, *_ in cases] for language, cases in DECLARATIONS.items()})
+
+
+def expected_types() -> list[tuple[str, str, int, int, int]]:
+    """(language, kind, line, lines before the case, lines of the case) of every stated type."""
+    rows = []
+    for language, cases in DECLARATIONS.items():
+        before = 0
+        for text, stated, *_ in cases:
+            rows += [(language, kind, int(line), before, text.count("\n") + 1) for kind, line in (x.split(":") for x in stated.split())]
+            before += text.count("\n") + 1
+    return rows
+
+
+def expected_declarations() -> list[tuple[str, int, int, int, int, int]]:
+    """(language, types, variables, loops, conditions, tries) of every case."""
+    return [(language, len(stated.split()), *counts) for language, cases in DECLARATIONS.items() for _, stated, *counts in cases]

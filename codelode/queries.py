@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clones, diffs, findings, history, hotspots, intervals, joins, rollups, rules, structure, study, tokens
+from .operators import clones, diffs, findings, history, hotspots, intervals, joins, rollups, rules, scopes, structure, study, tokens
 from .plans import cases
 from .sources import files, formats
 
@@ -699,3 +699,25 @@ def structure_cases(spark, sf_dir):
     return structure.file_metrics(tokens.tokens(own), own).groupBy("language").agg(
         F.count("*").alias("files"), F.sum("total_lines").alias("total_lines"), F.sum("functions").alias("functions"), F.sum("complexity").alias("complexity"),
     )
+
+
+def _declaration_files(spark, sf_dir) -> DataFrame:
+    return cases.declaration_files(t(spark, sf_dir, "supplier"), F.col("s_suppkey"), (F.col("s_nationkey") % 2 + 1).cast("int"))
+
+
+@query(_CASES_SQL + f"""c(language, kind, line, before, height) AS (VALUES {", ".join(map(str, cases.expected_types()))})
+SELECT language, kind, sum(k)::BIGINT AS n, sum(k * (before * k + line) + height * (k * (k - 1) // 2))::BIGINT AS lines FROM c, f GROUP BY language, kind""")
+def type_cases(spark, sf_dir):
+    """Types and namespaces by kind, and the sums of their lines, in files that state them."""
+    found = scopes.type_declarations(tokens.tokens(_declaration_files(spark, sf_dir)))
+    return found.groupBy("language", "kind").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+
+
+@query(_CASES_SQL + f"""c(language, types, variables, loops, conditions, tries) AS (VALUES {", ".join(map(str, cases.expected_declarations()))}),
+g AS (SELECT language, sum(variables) AS variables, sum(loops) AS loops, sum(conditions) AS conditions, sum(tries) AS tries FROM c GROUP BY language)
+SELECT language, sum(k * variables)::BIGINT AS variables, sum(k * loops)::BIGINT AS loops, sum(k * conditions)::BIGINT AS conditions, sum(k * tries)::BIGINT AS tries FROM g, f GROUP BY language""")
+def declaration_cases(spark, sf_dir):
+    """Variables, loops, conditions and tries of files that state them."""
+    own = _declaration_files(spark, sf_dir)
+    counted = scopes.declaration_counts(tokens.tokens(own)).join(own.select("path", "language"), "path")
+    return counted.groupBy("language").agg(*[F.sum(c).alias(c) for c in ("variables", "loops", "conditions", "tries")])
