@@ -47,11 +47,39 @@ def match_by_suffix(entries: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def dyadic_blocks(start: Column, end: Column) -> Column:
+    """The closed interval of whole numbers as aligned blocks (level, block): at most two a level, none that overlap.
+
+    Block b of level l has b * 2^l to (b + 1) * 2^l - 1. From the finest level up, an odd first block and an odd end are
+    taken and the rest is halved, so the bounds at a level follow from the interval's own by shifts.
+    """
+    shift = lambda x, level: F.call_function("shiftright", x, level)
+    odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    block = lambda level, at: F.struct(level.alias("level"), at.alias("block"))
+
+    def at_level(level: Column) -> Column:
+        low, high = -shift(-start.cast("bigint"), level), shift(end.cast("bigint") + 1, level)
+        first = F.when(odd(low) & (low < high), block(level, low))
+        return F.array_compact(F.array(first, F.when(odd(high) & (low + low.bitwiseAND(F.lit(1)) < high), block(level, high - 1))))
+
+    levels = F.length(F.bin((end - start + 1).cast("bigint")))
+    return F.when(end >= start, F.flatten(F.transform(F.sequence(F.lit(0), levels), at_level)))
+
+
 def innermost_interval(points: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Each point (keys, point, at) with the shortest span (keys, span, start, end) that holds it; ties to the later start, then the larger span id."""
-    held = points.join(spans, keys).filter("at between start and end")
-    best = held.groupBy(*keys, "point").agg(F.max(F.struct((F.col("start") - F.col("end")).alias("size"), "start", "span")).alias("b"))
-    return points.join(best, [*keys, "point"], "left").select(*keys, "point", "at", F.col("b.span").alias("span"))
+    """Each point (keys, point, at) with the shortest span (keys, span, start, end) that holds it; ties to the later start, then the larger span id.
+
+    Spans are cut into ``dyadic_blocks``, and each block keeps its best span; a point looks up the block of each level that
+    its key has. So a point meets at most one row a level, however many spans hold it. Points and bounds are whole numbers.
+    """
+    rank = F.struct((F.col("start") - F.col("end")).alias("size"), "start", "span")
+    blocks = spans.select(*keys, rank.alias("_best"), F.explode(dyadic_blocks(F.col("start"), F.col("end"))).alias("_b"))
+    best = blocks.groupBy(*keys, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block")).agg(F.max("_best").alias("_best"))
+    levels = best.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    leveled = points.join(levels, keys, "left").select(*points.columns, F.explode_outer("_levels").alias("_level"))
+    leveled = leveled.withColumn("_block", F.call_function("shiftright", F.col("at").cast("bigint"), F.col("_level")))
+    held = leveled.join(best, [*keys, "_level", "_block"], "left").groupBy(*keys, "point", "at").agg(F.max("_best").alias("_best"))
+    return held.select(*keys, "point", "at", F.col("_best.span").alias("span"))
 
 
 def supersede(findings: DataFrame, general: Column, specific: Column, keys: list[str]) -> DataFrame:

@@ -130,3 +130,24 @@ def test_backslashes_and_names(spark):
     paths = ["a/fuzz/x.py", "demo/x.py", "src/test_a.py", "src/AbcTest.java", "src/a.spec.tsx", "src/Test.py", "Docs/a.py", "docs"]
     got = [r.n for r in spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string").orderBy("i").select(S.non_production(F.col("path")).alias("n")).collect()]
     assert got == [True, False, True, True, True, False, True, False]
+
+
+def test_innermost_interval_by_blocks(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = [(k, i, a, a + rng.choice([-1, 0, 1, 3, 17, 200, 5000])) for k in ("a", "b", None) for i, a in enumerate(rng.randint(-300, 300) for _ in range(40))]
+    points = [(k, i, rng.randint(-400, 5400) if i % 4 == 0 else rng.randint(-320, 330)) for k in ("a", "b", "c") for i in range(60)]
+    got = joins.innermost_interval(
+        spark.createDataFrame(points, "k string, point int, at int"), spark.createDataFrame(spans, "k string, span int, start int, end int"), ["k"]
+    ).collect()
+    best = lambda k, at: max(((a - b, a, s) for key, s, a, b in spans if key == k and a <= at <= b), default=(None,))[-1]
+    assert len(got) == len(points) and {(r.k, r.point, r.at, r.span) for r in got} == {(k, p, at, best(k, at)) for k, p, at in points}
+
+
+def test_dyadic_blocks_cover_once(spark):
+    rows = [(a, b) for a in range(-9, 9, 2) for b in range(a - 1, a + 20, 3)]
+    df = spark.createDataFrame(rows, "a int, b int").withColumn("blocks", joins.dyadic_blocks(F.col("a"), F.col("b")))
+    for r in df.collect():
+        covered = sorted(x for k in r.blocks or [] for x in range(k.block << k.level, (k.block + 1) << k.level))
+        assert covered == list(range(r.a, r.b + 1)) and len(r.blocks or []) <= 10
