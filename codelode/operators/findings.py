@@ -79,6 +79,13 @@ def ranked_findings(findings: DataFrame, cap: int = 500) -> DataFrame:
     return scored.orderBy(F.desc("score"), "path", "line", "ord").limit(cap)
 
 
+def introduced_list(split: DataFrame, cap: int = 500) -> DataFrame:
+    """The introduced findings of ``diffs.split_by_diff`` as ``ranked_findings``, with ``truncated``: whether there are more."""
+    new = split.filter("introduced")
+    more = new.agg((F.count("*") > cap).alias("truncated"))
+    return ranked_findings(new, cap).crossJoin(F.broadcast(more))  # one row
+
+
 def severest_files(findings: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
     """Files (path, complexity) by severe findings (critical or high), all findings, complexity and path."""
     per = findings.groupBy("path").agg(F.count("*").alias("findings"), F.count_if(F.col("tier").isin("critical", "high")).alias("severe"))

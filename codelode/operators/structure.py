@@ -249,16 +249,16 @@ def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
     comments = tokens.filter(F.col("type").isin(*CODE_COMMENTS)).groupBy("path").agg(F.sum(marks).alias("todos"))
     size = F.col("f_end") - F.col("f_start") + 1
     wide = structured(significant(tokens)).groupBy("path").agg(
-        F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(size).alias("longest_function"),
+        F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(F.when(size.isNotNull(), F.struct(size.alias("size"), (-F.col("f_start")).alias("at"), F.col("f_name").alias("name")))).alias("_longest"),
     )
     imports = import_targets(tokens).groupBy("path").agg(F.count("*").alias("imports"))
-    python = python_functions(tokens, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max("line_count").alias("_m"))
+    python = python_functions(tokens, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max(F.struct(F.col("line_count").alias("size"), (-F.col("start_line")).alias("at"), "name")).alias("_m"))
     out = line_classes(tokens, files)
     for part in (comments, wide, imports, python, nesting(tokens, files)):
         out = out.join(part, "path", "left")
-    out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "longest_function", "max_nesting", "_f", "_l", "_m"])
-    both = {"functions": F.col("functions") + F.col("_f"), "function_lines": F.col("function_lines") + F.col("_l"), "longest_function": F.greatest("longest_function", "_m")}
-    out = out.withColumns(both).drop("_f", "_l", "_m")
+    out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "max_nesting", "_f", "_l"])
+    both = {"functions": F.col("functions") + F.col("_f"), "function_lines": F.col("function_lines") + F.col("_l"), "_longest": F.coalesce("_longest", "_m")}
+    out = out.withColumns(both).withColumns({"longest_function": F.coalesce("_longest.size", F.lit(0)), "longest_name": F.col("_longest.name")}).drop("_f", "_l", "_m", "_longest")
     return out.withColumn("complexity", F.col("decisions") + 1).withColumn("avg_function", F.coalesce(F.try_divide("function_lines", "functions"), F.lit(0.0)))
 
 

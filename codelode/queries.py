@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import clones, diffs, findings, history, hotspots, intervals, joins, rollups, rules, scopes, structure, study, tokens
 from .plans import cases
-from .sources import files, formats
+from .sources import files, formats, table_functions
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -477,6 +477,27 @@ def diff_split(spark, sf_dir):
     return diffs.split_by_diff(found, changed, added).groupBy("introduced").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
 
 
+@query("""
+WITH f AS (SELECT o_orderkey::VARCHAR AS path, o_orderstatus = 'P' AS is_new FROM orders WHERE o_orderstatus <> 'O'),
+a AS (SELECT DISTINCT l_orderkey::VARCHAR AS path, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'),
+v AS (SELECT l_orderkey::VARCHAR AS path, l_linenumber AS line, CASE WHEN l_quantity > 40 THEN 'critical' WHEN l_quantity > 30 THEN 'high' WHEN l_quantity > 10 THEN 'medium' ELSE 'low' END AS tier,
+  CASE WHEN l_discount > 0.07 THEN 'high' WHEN l_discount > 0.03 THEN 'medium' ELSE 'low' END AS confidence FROM lineitem),
+j AS (SELECT v.*, floor(CASE tier WHEN 'critical' THEN 100 WHEN 'high' THEN 60 WHEN 'medium' THEN 30 ELSE 10 END * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.7 ELSE 0.4 END * 10 + 0.5) / 10 AS score
+  FROM v JOIN f ON v.path = f.path JOIN a ON v.path = a.path AND v.line = a.line),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, line, tier, confidence) AS place, count(*) OVER () > 500 AS truncated FROM j)
+SELECT path, line, tier, confidence, score::DOUBLE AS score, truncated FROM r WHERE place <= 500""")
+def diff_introduced(spark, sf_dir):
+    """The first five hundred findings that a diff introduces, and whether there are more."""
+    o, li = t(spark, sf_dir, "orders"), t(spark, sf_dir, "lineitem")
+    changed = o.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").cast("string").alias("path"), (F.col("o_orderstatus") == "P").alias("is_new"))
+    path = F.col("l_orderkey").cast("string").alias("path")
+    added = li.filter("l_returnflag = 'R'").select(path, F.col("l_linenumber").alias("line"))
+    tier = F.when(F.col("l_quantity") > 40, "critical").when(F.col("l_quantity") > 30, "high").when(F.col("l_quantity") > 10, "medium").otherwise("low")
+    confidence = F.when(F.col("l_discount") > 0.07, "high").when(F.col("l_discount") > 0.03, "medium").otherwise("low")
+    found = li.select(path, F.col("l_linenumber").alias("line"), tier.alias("tier"), confidence.alias("confidence")).withColumn("ord", F.struct("tier", "confidence"))
+    return findings.introduced_list(diffs.split_by_diff(found, changed, added), 500).select("path", "line", "tier", "confidence", "score", "truncated")
+
+
 @query("""
 WITH f AS (SELECT o_orderkey AS path, o_orderstatus = 'P' AS is_new FROM orders WHERE o_orderstatus <> 'O'),
 a AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS line FROM lineitem WHERE l_returnflag = 'R'),
@@ -534,11 +555,13 @@ def lcov_entries(spark, sf_dir):
     return formats.lcov_entries(formats.lines_of(texts, "file", "text")).withColumn("uncovered", F.array_join("uncovered", ","))
 
 
-@query("""
+DIFF_SQL = """
 WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
-SELECT l_orderkey AS diff, 'src/' || l_orderkey || '.py' AS path, l_orderkey % 2 = 0 AS is_new, (10 * l_linenumber + 1)::INTEGER AS line FROM l""")
-def diff_parse(spark, sf_dir):
-    """Added lines of unified diffs that are written from lineitem, one hunk a row, and read back."""
+SELECT l_orderkey AS diff, 'src/' || l_orderkey || '.py' AS path, l_orderkey % 2 = 0 AS is_new, (10 * l_linenumber + 1)::INTEGER AS line FROM l"""
+
+
+def _diff_texts(spark, sf_dir) -> DataFrame:
+    """Unified diffs that are written from lineitem, one hunk a row."""
     k = F.col("l_linenumber")
     start = (10 * k).cast("string")
     hunk = F.concat(F.lit("@@ -"), start, F.lit(",2 +"), start, F.lit(",2 @@\n context\n--- a removed line\n++++ an added line\n"))
@@ -546,11 +569,24 @@ def diff_parse(spark, sf_dir):
     texts = own.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct(k, hunk.alias("h"))))["h"], "").alias("hunks"))
     name = F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), F.lit(".py\n"))
     old = F.when(F.col("l_orderkey") % 2 == 0, F.lit("/dev/null\n")).otherwise(F.concat(F.lit("a/"), name))
-    texts = texts.select("l_orderkey", F.concat(F.lit("diff --git a/x b/x\n--- "), old, F.lit("+++ b/"), name, "hunks").alias("text"))
-    found = formats.diff_lines(formats.lines_of(texts, "l_orderkey", "text"))
+    return texts.select("l_orderkey", F.concat(F.lit("diff --git a/x b/x\n--- "), old, F.lit("+++ b/"), name, "hunks").alias("text"))
+
+
+@query(DIFF_SQL)
+def diff_parse(spark, sf_dir):
+    """Added lines of the diffs, read back."""
+    found = formats.diff_lines(formats.lines_of(_diff_texts(spark, sf_dir), "l_orderkey", "text"))
     return found.filter("kind = 'added'").select(F.col("file").alias("diff"), "path", "is_new", F.col("line").cast("int").alias("line"))
 
 
+@query(DIFF_SQL)
+def diff_parse_sql(spark, sf_dir):
+    """The same by a table function, in SQL alone."""
+    table_functions.register(spark)
+    _diff_texts(spark, sf_dir).createOrReplaceTempView("diff_texts")
+    return spark.sql("SELECT CAST(file AS BIGINT) AS diff, path, is_new, line FROM parse_diff(TABLE(SELECT l_orderkey AS file, text FROM diff_texts))")
+
+
 @query("""
 WITH u AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages)
 SELECT page_id, path, length(path) <= 512 AND path NOT LIKE '/%' AND NOT list_contains(string_split(path, '/'), '..') AS safe, regexp_matches(path, '#[0-9]|[A-Z]+-[0-9]') AS ticket,
@@ -592,6 +628,49 @@ def study_buckets(spark, sf_dir):
     return study.bucket_counts(t(spark, sf_dir, "orders"), F.col("o_totalprice"), [50000.0, 150000.0, 300000.0])
 
 
+@query("""
+WITH r AS (SELECT o_totalprice AS x, o_custkey::DOUBLE AS y FROM orders),
+k AS (SELECT x, y, (rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2)::DOUBLE AS rx, (rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2)::DOUBLE AS ry FROM r)
+SELECT count(*) AS n, round(median(x), 4) AS median_x, median(y) AS median_y, round(quantile_cont(x, 0.9), 4) AS p90_x, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM k""")
+def study_ranks(spark, sf_dir):
+    """Exact quantiles and rank correlation of as many values as there are orders."""
+    o = t(spark, sf_dir, "orders")
+    out = study.summary(o, F.col("o_totalprice"), F.col("o_custkey"))
+    return out.withColumns({"median_x": rounded("median_x", 4), "p90_x": rounded("p90_x", 4), **{c: rounded(c) for c in ("pearson", "spearman")}})
+
+
+@query("""
+WITH a AS (SELECT date_diff('day', o_orderdate::DATE, DATE '2006-01-01') / 365.25 AS age, o_totalprice::DOUBLE AS v FROM orders),
+g AS (SELECT CASE WHEN age < 10 THEN 0 WHEN age < 15 THEN 1 WHEN age < 20 THEN 2 ELSE 3 END AS age_group, v FROM a)
+SELECT age_group, count(*) AS n, round(median(v), 4) AS median, round(sum(v), 2) AS total FROM g GROUP BY age_group""")
+def study_age_groups(spark, sf_dir):
+    """Orders by age: how many, the median and the sum of their prices."""
+    age = study.age_in_years(F.col("o_orderdate").cast("date"), F.lit("2006-01-01").cast("date"))
+    return study.age_groups(t(spark, sf_dir, "orders"), age, F.col("o_totalprice")).withColumns({"median": rounded("median", 4), "total": rounded("total", 2)})
+
+
+@query("""
+WITH s AS (SELECT n_name, c_acctbal / 100 AS score FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal >= 0)
+SELECT n_name, count(*) FILTER (WHERE score >= 90) AS "A", count(*) FILTER (WHERE score >= 80 AND score < 90) AS "B", count(*) FILTER (WHERE score >= 70 AND score < 80) AS "C",
+  count(*) FILTER (WHERE score >= 60 AND score < 70) AS "D", count(*) FILTER (WHERE score < 60) AS "F", count(*) AS n, round(avg(score), 6) AS average FROM s GROUP BY n_name""")
+def study_grades(spark, sf_dir):
+    """Grades of the customers' balances by nation."""
+    j = t(spark, sf_dir, "customer").filter("c_acctbal >= 0").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return study.grade_counts(j, ["n_name"], F.col("c_acctbal") / 100).withColumn("average", rounded("average"))
+
+
+@query("""
+WITH v AS (SELECT o_custkey, sum(o_totalprice) AS value FROM orders GROUP BY o_custkey),
+r AS (SELECT *, row_number() OVER (ORDER BY value DESC, o_custkey) AS rank FROM v)
+SELECT o_custkey, round(value, 2) AS value, round(value / (SELECT sum(value) FROM v), 8) AS share, (SELECT count(*) FROM r WHERE rank > 5) AS others FROM r WHERE rank <= 5""")
+def study_outliers(spark, sf_dir):
+    """The five customers that buy most, their shares, and how many there are besides."""
+    v = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("value"))
+    rest = study.without_outliers(v, "o_custkey", F.col("value"), 5).agg(F.count("*").alias("others"))
+    top = study.outlier_shares(v, "o_custkey", F.col("value"), 5).crossJoin(F.broadcast(rest))  # one row
+    return top.withColumns({"value": rounded("value", 2), "share": rounded("share", 8)})
+
+
 @query("""
 WITH n AS (SELECT n_name, '<' || n_name || '&' AS label, avg(c_acctbal) / 100 AS score FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name),
 c AS (SELECT *, CASE WHEN score >= 90 THEN '#4c1' WHEN score >= 80 THEN '#97ca00' WHEN score >= 70 THEN '#dfb317' WHEN score >= 60 THEN '#fe7d37' ELSE '#e05d44' END AS colour FROM n)
@@ -617,11 +696,14 @@ def _pages_as(spark, sf_dir, *languages: str) -> DataFrame:
 JAVA_SQL = r"""//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*(?:"|\n|\z)|''[^''\\\n]*(?:\\[\s\S][^''\\\n]*)*(?:''|\n|\z)|[0-9][0-9A-Za-z_.]*|[A-Za-z_$][A-Za-z0-9_$]*|\n|[\t\v\f\r ]+|[\s\S]"""
 
 
-@query(f"""
+TOKENS_SQL = f"""
 WITH k AS (SELECT page_id::VARCHAR AS path, unnest(regexp_extract_all(html, '{JAVA_SQL}')) AS value FROM pages),
 s AS (SELECT path, value FROM k WHERE NOT regexp_full_match(value, '[\\t\\v\\f\\r ]+'))
 SELECT path, count(*) AS tokens, count(*) FILTER (WHERE value LIKE '"%') AS strings, count(*) FILTER (WHERE regexp_matches(value, '^[0-9]')) AS numbers,
-  count(*) FILTER (WHERE regexp_matches(value, '^[A-Za-z_$]')) AS words, count(*) FILTER (WHERE value LIKE '//%') AS comments FROM s GROUP BY path""")
+  count(*) FILTER (WHERE regexp_matches(value, '^[A-Za-z_$]')) AS words, count(*) FILTER (WHERE value LIKE '//%') AS comments FROM s GROUP BY path"""
+
+
+@query(TOKENS_SQL)
 def tokens_java(spark, sf_dir):
     found = tokens.tokens(_pages_as(spark, sf_dir, "java"))
     word = F.col("type").isin("IDENTIFIER", "KEYWORD")
@@ -631,6 +713,16 @@ def tokens_java(spark, sf_dir):
     )
 
 
+@query(TOKENS_SQL)
+def tokens_java_sql(spark, sf_dir):
+    """The same by a table function, in SQL alone."""
+    table_functions.register(spark)
+    t(spark, sf_dir, "pages").createOrReplaceTempView("some_pages")
+    return spark.sql("""SELECT path, count(*) AS tokens, count_if(type = 'STRING') AS strings, count_if(type = 'NUMBER') AS numbers,
+        count_if(type IN ('IDENTIFIER', 'KEYWORD')) AS words, count_if(type = 'LINE_COMMENT') AS comments
+        FROM lex_source(TABLE(SELECT CAST(page_id AS STRING) AS path, 'java' AS language, html AS content FROM some_pages)) GROUP BY path""")
+
+
 @query()
 def tokens_by_language(spark, sf_dir):
     return tokens.tokens(_page_files(spark, sf_dir)).groupBy("language", "type").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))

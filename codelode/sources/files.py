@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tree
 from ..functions.scalars import extension, in_pruned_directory, language_of, lookup, relative_path
 
 # Display names of extensions that are counted but not analysed.
@@ -28,15 +29,19 @@ STUDY = T.StructType([
 def files_from_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(files, others) below ``root`` (or the one file): path, language, content; and path, extension, lines.
 
-    Pruned directories are left out; unreadable files are skipped. Only analysed files carry their content.
+    Pruned directories are left out; unreadable files are skipped. Only analysed files carry their content. A local or
+    mounted folder is read by the ``source_tree`` data source, which opens nothing that it leaves out; a store with a
+    scheme of its own by Spark's binary files, which prunes after it has listed.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
-    base = F.lit(root if "://" in root or root.startswith("file:") else "file:" + root)
-    rows = read.select(relative_path(F.col("path"), base).alias("path"), "content").filter(~in_pruned_directory(F.col("path")))
-    known = rows.withColumn("language", language_of(F.col("path")))
-    files = known.filter("language is not null").select("path", "language", F.col("content").cast("string").alias("content"))
-    others = known.filter("language is null").select("path", extension(F.col("path")).alias("extension"), (F.size(F.split(F.col("content").cast("string"), "\n", -1))).alias("lines")).filter("extension <> ''")
-    return files, others
+    if "://" in root and not root.startswith("file://"):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
+        rows = read.select(relative_path(F.col("path"), F.lit(root)).alias("path"), F.col("content").cast("string").alias("content")).filter(~in_pruned_directory(F.col("path")))
+        lines = F.size(F.split("content", "\n", -1)).cast("bigint")
+        known = rows.select("path", language_of(F.col("path")).alias("language"), extension(F.col("path")).alias("extension"), lines.alias("lines"), "content").filter("extension <> ''")
+    else:
+        tree.register(spark)
+        known = spark.read.format("source_tree").load(root.removeprefix("file://").removeprefix("file:"))
+    return known.filter("language is not null").select("path", "language", "content"), known.filter("language is null").select("path", "extension", "lines")
 
 
 def files_from_table(df: DataFrame, path: Column, text: Column, language: Column | None = None) -> DataFrame:
@@ -48,15 +53,6 @@ def other_language_name(ext: Column) -> Column:
     return F.coalesce(lookup(ext, OTHER_NAMES), ext)
 
 
-def checked_submission(df: DataFrame, max_files: int = 100, max_bytes: int = 4 << 20) -> DataFrame:
-    """Submitted (path, content) rows if there are not too many or too large ones, else an error when they are read."""
-    total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("b"))
-    n, size = total.first()
-    if n > max_files or size > max_bytes:
-        raise ValueError(f"{n} files of {size} bytes; at most {max_files} and {max_bytes} are taken")
-    return df
-
-
 def study_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STUDY).option("header", True).csv(path)
 

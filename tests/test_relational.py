@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import scalars as S
 from codelode.operators import clones, diffs, findings, history, hotspots, intervals, joins, rollups
-from codelode.plans.report import report_json, scan, summary_text
+from codelode.plans.report import read_report, report_json, scan, summary_text, write_report
 from codelode.sources import formats
 from codelode.sources.files import files_from_tree
 from codelode.streaming.live import arriving_files, metrics_stream
@@ -110,8 +110,17 @@ def test_scan_of_a_tree(spark, tmp_path):
     assert [tuple(r) for r in s.edges.collect()] == [("main.py", "pkg/util.py")]
     out = report_json(s).first()
     body = json.loads(out.json)
-    assert body["files"] == 2 and body["violations"][0]["rule_id"] == "py-sec-eval-exec" and "<svg" in out.badge
-    assert "functions: 1" in summary_text(s).first().text
+    assert body["files"] == 2 and body["violations"] == 1 and body["fix_first"][0]["rule_ids"] == ["py-sec-eval-exec"] and body["edges"] == 1 and "<svg" in out.badge
+    text = summary_text(s).first().text
+    assert "Functions : 1\nClasses : 0\n" in text and "Longest Function : f\nLength : 3 lines\n" in text and text.endswith("=\n") and text.count("\n") == 19
+    for _ in range(2):
+        write_report(s, str(tmp_path / "report"), "one")
+    write_report(s, str(tmp_path / "report"), "two", "private")
+    read = lambda part, *k: read_report(spark, str(tmp_path / "report"), part, *k)
+    assert [(r.rule_id, r.line) for r in read("findings", "one").collect()] == [("py-sec-eval-exec", 2)] and read("files", "one").count() == 2
+    assert read("files", "two").count() == 0 and read("files", "two", True).count() == 2
+    assert json.loads(read("summary", "one").first().json)["health_grade"] and read("edges", "one").first().dst == "pkg/util.py"
+    s.close()
     query = metrics_stream(arriving_files(spark, str(tmp_path)), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() >= 2
