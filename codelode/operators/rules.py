@@ -16,7 +16,7 @@ from ..functions.scalars import first_phrase, has_ticket
 from .findings import secret_hits
 from .joins import supersede
 from .scopes import with_data_holder
-from .structure import CODE_COMMENTS, ahead, bracket_pairs, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
+from .structure import CODE_COMMENTS, ahead, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
 
 # Rules as id, severity, category, tier, confidence.
 CATALOG = """
@@ -269,7 +269,7 @@ def call_counts() -> dict[str, Column]:
     follows = lambda *texts: reduce(lambda a, b: a & b, [F.col(f"v{k}" if k else "value") == t for k, t in enumerate(texts)])
     return {
         "plus": is_value("value", "+"), "loader": F.col("value").isin("Loader"), "shell_true": follows("shell", "=", "True"),
-        "not_for_security": follows("usedforsecurity", "=", "False"), "mutable": is_value("value", "=") & F.col("v1").isin("[", "{"),
+        "not_for_security": follows("usedforsecurity", "=", "False"), "mutable": is_value("value", "=") & F.col("v1").isin("[", "{"), "dots": is_value("value", "."),
     }
 
 
@@ -296,15 +296,21 @@ def code_events(code: DataFrame) -> DataFrame:
     wide = structured(code, call_counts())
     call = is_value("value", "(") & F.col("close").isNotNull()
     cpp = F.col("language") == "cpp"
+    # A catch's bracket, or its block where it has none; a comment in either counts as content.
+    caught = (F.col("type") == "KEYWORD") & (F.col("value") == "catch")
+    nothing = caught & ((F.col("v1") == "(") & F.coalesce(F.col("_void1"), F.lit(False)) & (F.col("comments1") == F.col("comments")))
+    bare = caught & F.col("language").isin("typescript", "javascript", "csharp") & (F.col("v1") == "{") & (F.col("v2") == "}") & F.coalesce("_quiet", F.lit(False))
+    silent = F.when(cpp, F.when(nothing & (F.col("_dots1") > 0), "cpp-catch-all-ellipsis")).when(nothing | bare, _prefixed("empty-catch-block"))
+    wide = wide.withColumns({"_void1": ahead("_void", 1), "comments1": ahead("comments", 1), "_dots1": ahead("_n_dots", 1)})
     number = cpp & (F.col("type") == "NUMBER") & ~F.col("value").isin("0", "1")
     more = [
         F.when(F.col("f_end").isNotNull(), FUNCTION), F.when(decides(True), POINT),
-        F.when(cpp & call & F.col("vm1").isin("if", "while"), LIMIT), F.when(number, MAGIC),
+        F.when(cpp & call & F.col("vm1").isin("if", "while"), LIMIT), F.when(number, MAGIC), silent,
     ]
     default = (F.col("language") == "python") & call & (F.col("vm2") == "def") & (F.col("_n_mutable") > 0)
     defaults = F.array_repeat(F.lit("py-mutable-default-arg"), F.when(default, F.col("_n_mutable").cast("int")).otherwise(0))
     found = F.concat(F.array_compact(F.array(*sequence_hits(), *call_hits(), *more)), defaults)
-    some = wide.filter(may_hit() | F.col("f_end").isNotNull() | decides(True) | number)
+    some = wide.filter(may_hit() | F.col("f_end").isNotNull() | decides(True) | number | caught)
     return some.select("path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", F.explode(found).alias("rule_id"))
 
 
@@ -314,19 +320,6 @@ def magic_numbers(events: DataFrame) -> DataFrame:
     return events.filter(F.col("rule_id").isin(LIMIT, MAGIC)).withColumn("_far", far).filter((F.col("rule_id") == MAGIC) & (F.col("_far") > F.col("idx")))
 
 
-def catch_findings(tokens: DataFrame) -> DataFrame:
-    """Catch blocks that hold nothing, not even a comment."""
-    held = tokens.filter("type <> 'NEWLINE'")
-    near = held.withColumns({"v1": ahead("value", 1), "v2": ahead("value", 2), "i1": ahead("idx", 1)}).filter("type = 'KEYWORD' and value = 'catch'")
-    pairs = bracket_pairs(held.withColumn("_dot", is_value("value", ".")), "(", ")", {"dots": F.col("_dot")}).select("path", F.col("open").alias("i1"), F.col("next_idx").alias("brace"), "next_value", "dots")
-    blocks = held.withColumn("after", ahead("value", 1)).filter(is_value("value", "{")).select("path", F.col("idx").alias("brace"), "after")
-    empty = near.join(pairs, ["path", "i1"]).filter("next_value = '{'").join(blocks, ["path", "brace"]).filter("after = '}'")
-    rule = F.when(F.col("language").isin("java", "typescript", "javascript", "csharp"), _prefixed("empty-catch-block")).when((F.col("language") == "cpp") & (F.col("dots") > 0), "cpp-catch-all-ellipsis")
-    bare = near.filter(F.col("language").isin("typescript", "javascript", "csharp") & (F.col("v1") == "{") & (F.col("v2") == "}"))
-    out = empty.select("path", "language", "line", rule.alias("rule_id")).unionByName(bare.select("path", "language", "line", _prefixed("empty-catch-block").alias("rule_id")))
-    return out.filter("rule_id is not null")
-
-
 # Words between ``public`` and a field's type.
 MODIFIERS = {
     "java": ["static", "final", "volatile", "transient", "abstract", "synchronized"],
@@ -413,7 +406,7 @@ def findings(tokens: DataFrame, files: DataFrame) -> DataFrame:
     plain = ["path", "language", "line", "rule_id"]
     parts = [
         events.filter(~F.col("rule_id").isin(FUNCTION, POINT, LIMIT, MAGIC)).select(*plain), magic_numbers(events).select(*plain), once_findings(tokens),
-        catch_findings(tokens), field_findings(code), comment_findings(tokens), structure_findings(events, tokens, files),
+        field_findings(code), comment_findings(tokens), structure_findings(events, tokens, files),
         secrets.select("path", "language", "line", _prefixed("sec-secret-token").alias("rule_id")),
     ]
     found = reduce(DataFrame.unionByName, parts)

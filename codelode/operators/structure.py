@@ -15,8 +15,9 @@ def in_file() -> W:
 
 
 def significant(tokens: DataFrame) -> DataFrame:
-    """Tokens without comments and newlines, with ``place`` counting from 1 within the file."""
-    return tokens.filter(~F.col("type").isin("NEWLINE", *CODE_COMMENTS)).withColumn("place", F.row_number().over(in_file()))
+    """Tokens without comments and newlines, with ``comments``, how many comments of the file come before."""
+    counted = tokens.withColumn("comments", F.sum(F.col("type").isin(*CODE_COMMENTS).cast("int")).over(in_file().rowsBetween(W.unboundedPreceding, 0)))
+    return counted.filter(~F.col("type").isin("NEWLINE", *CODE_COMMENTS))
 
 
 def is_value(value: Column | str, *texts: str) -> Column:
@@ -78,8 +79,8 @@ def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> Dat
     """Significant tokens with their neighbours, their brackets' partners and the functions that start at them.
 
     ``v1`` ... ``v7``, ``t1`` ... are the next values and types, ``vm1`` ... ``vm3``, ``tm1`` those before, ``i1`` the
-    next index. On an opening bracket that is closed, ``close`` and ``close_line`` say where, and ``_n_<name>`` how many
-    tokens between the two meet each condition of ``counted`` (on these columns). ``f_name``, ``f_start`` and ``f_end``
+    next index. On an opening bracket that is closed, ``close`` and ``close_line`` say where, ``_void`` whether an empty block
+    follows, and ``_n_<name>`` how many tokens between the two meet each condition of ``counted`` (on these columns). ``f_name``, ``f_start`` and ``f_end``
     are not null where a function of a brace language has its parenthesis or arrow. Windows only, all by path: a table
     that is clustered by path is sorted, never shuffled, and nothing is joined.
 
@@ -90,7 +91,9 @@ def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> Dat
     backwards = W.partitionBy("path").orderBy(F.desc("idx"))
     script, brace = F.col("language").isin("javascript", "typescript"), F.col("language") != "python"
     steps = {k: F.when(is_value("value", o), 1).when(is_value("value", c), -1).otherwise(0) for k, o, c in (("p", "(", ")"), ("b", "{", "}"))}
-    near = {"v1": ahead("value", 1), "v2": ahead("value", 2), "t1": ahead("type", 1), "vm1": ahead("value", -1), "vm2": ahead("value", -2), "tm1": ahead("type", -1)}
+    # No comment lies between a token and the second one after it.
+    quiet = ahead("comments", 2) == F.col("comments")
+    near = {"_quiet": quiet, "v1": ahead("value", 1), "v2": ahead("value", 2), "t1": ahead("type", 1), "vm1": ahead("value", -1), "vm2": ahead("value", -2), "tm1": ahead("type", -1)}
     far = {f"v{k}": ahead("value", k) for k in range(3, 8)} | {f"t{k}": ahead("type", k) for k in range(2, 8)} | {"vm3": ahead("value", -3)}
     wide = code.withColumns(near | {"i1": ahead("idx", 1), "_linem1": ahead("line", -1)} | {f"_s{k}": F.sum(s).over(running) for k, s in steps.items()})
     name = F.when(is_value("value", ";", "{", "}"), "<anonymous>").when((F.col("type") == "IDENTIFIER") & (F.col("v1") == "=") & (F.col("v2") != ">"), F.col("value"))
@@ -103,10 +106,12 @@ def structured(code: DataFrame, counted: dict[str, Column] | None = None) -> Dat
     kind = F.when(is_value("value", "(", ")"), "p").when(is_value("value", "{", "}"), "b")
     depth = F.when(F.col("_kind") == "p", F.col("_dp")).when(F.col("_kind") == "b", F.col("_db"))
     wide = wide.withColumn("_kind", kind).withColumn("_level", F.when(opening, depth).otherwise(depth + 1))
-    partner = F.lead(F.struct("value", "idx", "line", *[f"_c_{n}" for n in counted])).over(level)
+    partner = F.lead(F.struct("value", "idx", "line", "v1", "v2", "_quiet", *[f"_c_{n}" for n in counted])).over(level)
     wide = wide.withColumn("_partner", F.when(opening, partner)).withColumn("_closed", F.col("_partner.value").isin(")", "}"))
     wide = wide.withColumns(
         {"close": F.when(F.col("_closed"), F.col("_partner.idx")), "close_line": F.when(F.col("_closed"), F.col("_partner.line"))}
+        # Behind the closing bracket: two braces and nothing between, not even a comment.
+        | {"_void": F.col("_closed") & (F.col("_partner.v1") == "{") & (F.col("_partner.v2") == "}") & F.col("_partner._quiet")}
         | {f"_n_{n}": F.when(F.col("_closed"), F.col(f"_partner._c_{n}") - F.col(f"_c_{n}")) for n in counted}
     )
     stops, starts = F.lit(False), F.lit(False)
@@ -210,11 +215,16 @@ def decision_points(tokens: DataFrame, in_functions: bool = False) -> DataFrame:
 
 
 def nesting(tokens: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, max_nesting): braces by a floored running sum, Python by a fold over the indents of its code lines."""
+    """(path, max_nesting): braces by a floored running sum, Python by the indents of its code lines."""
     running = in_file().rowsBetween(W.unboundedPreceding, 0)
-    step = F.when(is_value("value", "{"), 1).when(is_value("value", "}"), -1).otherwise(0)
-    brace = tokens.filter("language <> 'python'").withColumn("_s", F.sum(step).over(running))
+    braces = tokens.filter("language <> 'python'").filter(is_value("value", "{", "}"))
+    brace = braces.withColumn("_s", F.sum(F.when(F.col("value") == "{", 1).otherwise(-1)).over(running))
     brace = brace.withColumn("_d", F.col("_s") - F.least(F.lit(0), F.min("_s").over(running))).groupBy("path").agg(F.max("_d").cast("int").alias("max_nesting"))
+    return brace.unionByName(python_nesting(files).withColumnRenamed("_indents", "max_nesting"))
+
+
+def python_nesting(files: DataFrame) -> DataFrame:
+    """(path, _indents): the most indents that are open at once, by a fold over the indents of a file's code lines."""
     lines = F.filter(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x: F.trim(x).rlike("^[^#]"))
     indents = F.transform(lines, lambda x: F.length(F.regexp_extract(x, r"^([ \t]*)", 1)))
     start = F.struct(F.array().cast("array<int>").alias("stack"), F.lit(0).alias("deepest"))
@@ -223,70 +233,100 @@ def nesting(tokens: DataFrame, files: DataFrame) -> DataFrame:
         stack = F.concat(F.filter(s["stack"], lambda x: x < indent), F.when(indent > 0, F.array(indent)).otherwise(F.array().cast("array<int>")))
         return F.struct(stack.alias("stack"), F.greatest(s["deepest"], F.size(stack)).alias("deepest"))
 
-    python = files.filter("language = 'python'").select("path", F.aggregate(indents, start, push, lambda s: s["deepest"]).alias("max_nesting"))
-    return brace.unionByName(python)
+    return files.filter("language = 'python'").select("path", F.aggregate(indents, start, push, lambda s: s["deepest"]).alias("_indents"))
 
 
-def line_classes(tokens: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, total_lines, code_lines, comment_lines, blank_lines): code wins over comment, comment over blank."""
-    height = F.length(F.regexp_replace("value", r"[^\n]", ""))
-    spans = tokens.filter("type <> 'NEWLINE'").select(
-        "path", F.when(F.col("type").isin(*CODE_COMMENTS), 1).otherwise(2).alias("kind"),
-        F.explode(F.sequence("line", F.col("line") + F.when(F.col("type").isin("STRING", "BLOCK_COMMENT"), height).otherwise(0))).alias("line"),
+def raw_counts(tokens: DataFrame) -> DataFrame:
+    """(path, code_lines, comment_lines, todos, imports, depth): one pass over all tokens in order.
+
+    A token covers the lines that its text has; code wins over comment. Lines never go back, so a token adds those of its
+    lines that lie behind the farthest end before it. ``depth`` is the deepest brace, null in Python.
+    """
+    past, running = in_file().rowsBetween(W.unboundedPreceding, -1), in_file().rowsBetween(W.unboundedPreceding, 0)
+    comment, shown = F.col("type").isin(*CODE_COMMENTS), F.col("type") != "NEWLINE"
+    height = F.when(F.col("type").isin("STRING", "BLOCK_COMMENT") & F.contains("value", F.lit("\n")), F.length(F.regexp_replace("value", r"[^\n]", ""))).otherwise(0)
+    step = F.when(is_value("value", "{"), 1).when(is_value("value", "}"), -1).otherwise(0)
+    wide = tokens.withColumns({"_end": F.when(shown, F.col("line") + height), "_code": F.when(shown & ~comment, F.col("line") + height)}).withColumns({
+        "_past": F.max("_end").over(past), "_past_code": F.max("_code").over(past), "_s": F.sum(step).over(running), "_before": F.lag("type", 1, "NEWLINE").over(in_file()), "_next": ahead("value", 1),
+    })
+    wide = wide.withColumn("_depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(running)))
+    new = lambda end, before: F.greatest(F.col(end) - F.greatest(F.coalesce(before, F.lit(0)), F.col("line") - 1), F.lit(0))
+    marks = F.when(comment, F.size(F.regexp_extract_all("value", F.lit("(TODO|FIXME)"), F.lit(1)))).otherwise(0)
+    return wide.groupBy("path").agg(
+        F.coalesce(F.sum(new("_code", "_past_code")), F.lit(0)).alias("code_lines"), (F.coalesce(F.sum(new("_end", "_past")), F.lit(0)) - F.coalesce(F.sum(new("_code", "_past_code")), F.lit(0))).alias("comment_lines"),
+        F.sum(marks).alias("todos"), F.count_if(starts_import()).alias("imports"), F.max(F.when(F.col("language") != "python", F.col("_depth"))).cast("int").alias("depth"),
     )
-    kinds = spans.groupBy("path", "line").agg(F.max("kind").alias("kind")).groupBy("path").agg(F.count_if(F.col("kind") == 2).alias("code_lines"), F.count_if(F.col("kind") == 1).alias("comment_lines"))
-    total = files.select("path", "language", F.size(F.split(F.coalesce("content", F.lit("")), "\n", -1)).alias("total_lines"))
-    return total.join(kinds, "path", "left").fillna(0, ["code_lines", "comment_lines"]).withColumn("blank_lines", F.col("total_lines") - F.col("code_lines") - F.col("comment_lines"))
+
+
+def line_classes(tokens: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, language, total_lines, code_lines, comment_lines, blank_lines): code wins over comment, comment over blank."""
+    return with_lines(raw_counts(tokens).select("path", "code_lines", "comment_lines"), files)
+
+
+def with_lines(counts: DataFrame, files: DataFrame) -> DataFrame:
+    """Every file with its counts (path, code_lines, comment_lines, ...) and its total and blank lines."""
+    content = F.coalesce("content", F.lit(""))
+    total = files.select("path", "language", (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1).alias("total_lines"))
+    return total.join(counts, "path", "left").fillna(0, ["code_lines", "comment_lines"]).withColumn("blank_lines", F.col("total_lines") - F.col("code_lines") - F.col("comment_lines"))
 
 
 def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """One row a file: lines by class, functions, complexity (from 1), nesting, imports, TODO marks.
 
-    The token table is persisted and lexed once; its parts are aggregated by path and joined as one row a file each.
+    Two passes over the token table, one of all tokens and one of the code, and the indents of Python's lines. The table
+    is persisted, so that files are lexed once; ``files`` without rows of a kind cost that kind nothing.
     """
     tokens = tokens.persist()
-    marks = F.size(F.regexp_extract_all("value", F.lit("(TODO|FIXME)"), F.lit(1)))
-    comments = tokens.filter(F.col("type").isin(*CODE_COMMENTS)).groupBy("path").agg(F.sum(marks).alias("todos"))
     size = F.col("f_end") - F.col("f_start") + 1
     wide = structured(significant(tokens)).groupBy("path").agg(
         F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(F.when(size.isNotNull(), F.struct(size.alias("size"), (-F.col("f_start")).alias("at"), F.col("f_name").alias("name")))).alias("_longest"),
     )
-    imports = import_targets(tokens).groupBy("path").agg(F.count("*").alias("imports"))
     python = python_functions(tokens, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max(F.struct(F.col("line_count").alias("size"), (-F.col("start_line")).alias("at"), "name")).alias("_m"))
-    out = line_classes(tokens, files)
-    for part in (comments, wide, imports, python, nesting(tokens, files)):
+    out = with_lines(raw_counts(tokens), files)
+    for part in (wide, python, python_nesting(files)):
         out = out.join(part, "path", "left")
-    out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "max_nesting", "_f", "_l"])
+    out = out.withColumn("max_nesting", F.coalesce("_indents", "depth", F.lit(0))).drop("_indents", "depth")
+    out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "_f", "_l"])
     both = {"functions": F.col("functions") + F.col("_f"), "function_lines": F.col("function_lines") + F.col("_l"), "_longest": F.coalesce("_longest", "_m")}
     out = out.withColumns(both).withColumns({"longest_function": F.coalesce("_longest.size", F.lit(0)), "longest_name": F.col("_longest.name")}).drop("_f", "_l", "_m", "_longest")
     return out.withColumn("complexity", F.col("decisions") + 1).withColumn("avg_function", F.coalesce(F.try_divide("function_lines", "functions"), F.lit(0.0)))
 
 
-def import_targets(tokens: DataFrame) -> DataFrame:
-    """(path, target): what each import, include or using names; empty for an include in angle brackets."""
-    code = tokens.filter(~F.col("type").isin(*CODE_COMMENTS))
+def starts_import() -> Column:
+    """Whether a token, with ``_before`` (the type before it) and ``_next`` (the value after it), begins an import."""
     language, keyword = F.col("language"), F.col("type") == "KEYWORD"
-    running = in_file().rowsBetween(W.unboundedPreceding, 0)
-    before = F.lag("type", 1, "NEWLINE").over(in_file())
-    # The statement's string, however far: read backwards, so that no row reads the rest of its file again.
-    some = next_stop(code.withColumn("_before", before), "_module", (F.col("type") == "STRING") | is_value("value", ";"), F.when(F.col("type") == "STRING", F.col("value")).otherwise(F.lit("")))
-    starts = (
+    named = (
         ((language == "python") & F.col("value").isin("import", "from") & (F.col("_before") == "NEWLINE"))
-        | ((language == "java") & (F.col("value") == "import")) | ((language == "csharp") & keyword & (F.col("value") == "using") & F.coalesce(ahead("value", 1) != "(", F.lit(True)))
+        | ((language == "java") & (F.col("value") == "import")) | ((language == "csharp") & keyword & (F.col("value") == "using") & F.coalesce(F.col("_next") != "(", F.lit(True)))
     )
+    at_once = ((language == "cpp") & F.col("value").startswith("#include")) | (language.isin("javascript", "typescript") & keyword & (F.col("value") == "import"))
+    return named | at_once
+
+
+def import_targets(tokens: DataFrame) -> DataFrame:
+    """(path, target): what each import, include or using names; empty for an include in angle brackets.
+
+    A script's import waits for the next string or semicolon, however far; other names are the tokens between a start and
+    the first end after it. Both are looked up among the few tokens that can matter.
+    """
+    code = tokens.filter(~F.col("type").isin(*CODE_COMMENTS))
+    language = F.col("language")
+    cpp = code.filter((language == "cpp") & F.col("value").startswith("#include")).select("path", F.regexp_extract("value", r'^#include\s*"([^"]*)"', 1).alias("target"))
+    script = code.filter(language.isin("javascript", "typescript") & (((F.col("type") == "KEYWORD") & (F.col("value") == "import")) | (F.col("type") == "STRING") | is_value("value", ";")))
+    module = F.when(F.col("type") == "STRING", F.regexp_replace("value", "^['\"`]|['\"`]$", "")).otherwise(F.lit(""))
+    waits = (F.col("type") == "KEYWORD") & (F.col("value") == "import")
+    script = next_stop(script, "_module", ~waits, module).filter(waits).select("path", F.coalesce("_module", F.lit("")).alias("target"))
+    running = in_file().rowsBetween(W.unboundedPreceding, 0)
+    some = code.filter(language.isin("python", "java", "csharp")).withColumns({"_before": F.lag("type", 1, "NEWLINE").over(in_file()), "_next": ahead("value", 1)})
+    starts = F.col("_starts")
     ends = ((language == "python") & ((F.col("type") == "NEWLINE") | F.col("value").isin("import", "as", ","))) | (language.isin("java", "csharp") & (F.col("value") == ";"))
-    # A name is what lies between its start and the first end after it: both are counted, and the parts are put together by start.
-    marked = some.withColumn("_starts", starts).withColumns({"_no": F.sum(F.col("_starts").cast("int")).over(running), "_end": (ends & ~F.col("_starts")).cast("int")})
-    part = W.partitionBy("path", "_no").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    named = marked.filter("_no > 0").withColumn("_past", F.sum("_end").over(part)).filter("_past = 0").groupBy("path", "language", "_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_starts"), F.struct("idx", "value")))), lambda x: x["value"]), "").alias("_name")
+    some = some.withColumn("_starts", starts_import())
+    some = some.withColumns({"_no": F.sum(starts.cast("int")).over(running), "_open": F.last(F.when(starts | ends, starts), True).over(running)}).filter("_open")
+    named = some.groupBy("path", "language", "_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~starts, F.struct("idx", "value")))), lambda x: x["value"]), "").alias("_name")
     )
     named = named.select("path", F.when(language == "java", F.regexp_replace("_name", "^static", "")).when(language == "csharp", F.regexp_replace("_name", "^static|^.*=", "")).otherwise(F.col("_name")).alias("target"))
-    at_once = (
-        F.when((language == "cpp") & F.col("value").startswith("#include"), F.regexp_extract("value", r'^#include\s*"([^"]*)"', 1))
-        .when(language.isin("javascript", "typescript") & keyword & (F.col("value") == "import"), F.coalesce(F.regexp_replace("_module", "^['\"`]|['\"`]$", ""), F.lit("")))
-    )
-    return some.select("path", at_once.alias("target")).filter("target is not null").unionByName(named)
+    return cpp.unionByName(script).unionByName(named)
 
 
 def function_complexity(tokens: DataFrame, files: DataFrame) -> DataFrame:
