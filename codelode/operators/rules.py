@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scalars import first_phrase, has_ticket
+from ..sources.store import cut
 from .findings import secret_hits
 from .joins import supersede
 from .scopes import with_data_holder
@@ -203,23 +204,27 @@ def _prefixed(suffix: str) -> Column:
     return out
 
 
-def _step(step: str, k: int) -> Column:
-    value, kind = (F.col(f"v{k}"), F.col(f"t{k}")) if k else (F.col("value"), F.col("type"))
-    literal = kind.isin("STRING", "CHAR")
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"r'{w}'" for w in words)
+
+
+def _step(step: str, k: int) -> str:
+    """A step of a sequence as a SQL condition on the token ``k`` places ahead."""
+    value, kind = (f"v{k}", f"t{k}") if k else ("value", "type")
+    literal = f"{kind} IN ('STRING', 'CHAR')"
     if step.startswith("~"):
-        return literal & value.rlike(step[1:])
+        return f"({literal} AND {value} RLIKE r'{step[1:]}')"
     if step.startswith("!") and len(step) > 1:
-        return value.isNull() | ~value.isin(step[1:].split("/"))
-    return ~literal & value.isin(step.split("/") if step != "/" else ["/"])
+        return f"({value} IS NULL OR {value} NOT IN ({_listed(step[1:].split('/'))}))"
+    return f"(NOT {literal} AND {value} IN ({_listed(step.split('/') if step != '/' else ['/'])}))"
 
 
 def sequence_hits() -> list[Column]:
     """Rules of neighbouring tokens, each the rule's id or null, on the columns of ``structured``."""
-    specs = [(x.split()[0], x.split()[1:]) for x in SEQUENCES.strip().splitlines()]
     hits = []
-    for rule, steps in specs:
-        own = F.col("language") == LANGUAGE[rule.split("-")[0]]
-        hits.append(F.when(reduce(lambda a, b: a & b, [_step(s, k) for k, s in enumerate(steps)], own), rule))
+    for rule, *steps in (x.split() for x in SEQUENCES.strip().splitlines()):
+        met = " AND ".join(_step(s, k) for k, s in enumerate(steps))
+        hits.append(F.expr(f"CASE WHEN language = '{LANGUAGE[rule.split('-')[0]]}' AND {met} THEN '{rule}' END"))
     name = (F.col("type") == "IDENTIFIER") & F.lower("value").rlike("|".join(SECRET_NAMES)) & (F.col("v1") == "=") & (F.col("t2") == "STRING") & (F.length("v2") >= 8)
     name = name & ((F.col("language") != "python") | ~F.lower("value").rlike(f"_({'|'.join(NO_SECRET_ENDS)})$"))
     hits.append(F.when(name, _prefixed("sec-hardcoded-secret")))
@@ -397,11 +402,12 @@ def findings(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, line, rule_id, language, severity, category, tier, confidence) of all 98 rules.
 
     A hard-coded secret by name gives way to a provider token on the same line. Equal findings are all kept. The token
-    table and the events of the pass over it are persisted, so files are lexed once.
+    table is persisted and the events of the pass over it are a checkpoint, so files are lexed once.
     """
     tokens = tokens.persist()
     code = significant(tokens)
-    events = code_events(code).persist()
+    # Few rows of a long plan: cut, so that the parts below are planned on them alone.
+    events = cut(code_events(code))
     secrets = secret_hits(tokens.filter("type = 'STRING'"), ["path", "language", "line"], F.col("value"))
     plain = ["path", "language", "line", "rule_id"]
     parts = [
