@@ -273,10 +273,9 @@ def with_lines(counts: DataFrame, files: DataFrame) -> DataFrame:
 def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """One row a file: lines by class, functions, complexity (from 1), nesting, imports, TODO marks.
 
-    Two passes over the token table, one of all tokens and one of the code, and the indents of Python's lines. The table
-    is persisted, so that files are lexed once; ``files`` without rows of a kind cost that kind nothing.
+    Two passes over the token table, one of all tokens and one of the code, and the indents of Python's lines. Nothing is
+    persisted here: the passes share the shuffle by path where the planner finds it equal, and a caller may persist.
     """
-    tokens = tokens.persist()
     size = F.col("f_end") - F.col("f_start") + 1
     wide = structured(significant(tokens)).groupBy("path").agg(
         F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(F.when(size.isNotNull(), F.struct(size.alias("size"), (-F.col("f_start")).alias("at"), F.col("f_name").alias("name")))).alias("_longest"),
