@@ -9,7 +9,7 @@ Template, one turn: ``<|im_start|>`` role newline text ``<|im_end|>`` newline. I
 n > 0 bars gets one more bar, so ``<|im_end|>`` inside a text becomes ``<||im_end|>`` and no control string remains; one
 bar less restores it. A newline or backslash in a role is written ``\\n`` or ``\\\\``.
 
-Nulls: a null text or role is empty, a null parent (or one that is not in the table) makes a root, a null score counts
+Nulls: a null tree is one tree like any other, and a message without an id is left out; a null text or role is empty, a null parent (or one that is not in the table) makes a root, a null score counts
 as 0. Messages on or below a cycle have no root and are on no path. Repeated message ids: the row that sorts first by
 its columns is kept. Empty tables give empty results; extra columns are not read.
 """
@@ -59,13 +59,18 @@ def chain_messages(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
     )
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """With the tree as a struct, which equals itself where the tree is null; without messages that have no id."""
+    return df.filter("message is not null").withColumn("tree", F.struct("tree"))
+
+
 def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, rank, depth, message) for the ``keep`` best branches of each tree.
 
     ``messages`` has tree, message, parent, score. A branch's score is the sum over its messages; ties go to the longer
     branch, then to the smaller leaf id.
     """
-    nodes = messages.groupBy("tree", "message").agg(
+    nodes = _keyed(messages).groupBy("tree", "message").agg(
         F.min(F.struct(F.col("parent"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"))).alias("_first")
     ).select("tree", "message", "_first.parent", "_first.score")
     ids = nodes.select("tree", F.col("message").alias("parent"), F.lit(True).alias("_there"))
@@ -104,7 +109,7 @@ def reply_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
             .select("tree", "leaf", "rank", F.explode(F.when(F.col("up").isNull(), F.slice(both, 1, 1)).otherwise(both)).alias("_at"))
             .select("tree", "leaf", "rank", "_at.depth", "_at.message")
         )
-    return path
+    return path.select("tree.tree", "leaf", "rank", "depth", "message")
 
 
 def format_chat(messages: DataFrame, paths: DataFrame, trained_role: str = "assistant") -> DataFrame:
@@ -112,10 +117,10 @@ def format_chat(messages: DataFrame, paths: DataFrame, trained_role: str = "assi
 
     A conversation is one value of the result and so is built in one task; a tree's branches are built apart.
     """
-    texts = messages.groupBy("tree", "message").agg(
+    texts = _keyed(messages).groupBy("tree", "message").agg(
         F.min(F.struct(F.col("parent"), F.coalesce(F.col("score"), F.lit(0.0)).alias("score"), "role", "text")).alias("_first")
     ).select("tree", "message", escape_role(F.col("_first.role")).alias("role"), escape_text(F.col("_first.text")).alias("text"))
-    turns = paths.join(texts, ["tree", "message"]).select(
+    turns = _keyed(paths).join(texts, ["tree", "message"]).select(
         "tree", "leaf", "rank", "depth",
         F.concat(F.lit(START), "role", F.lit("\n")).alias("head"), "text", (F.col("role") == F.lit(trained_role)).alias("trained"),
     )
@@ -133,7 +138,7 @@ def format_chat(messages: DataFrame, paths: DataFrame, trained_role: str = "assi
     )
     ordered = F.array_sort(F.collect_list(F.struct("depth", "turn", "span")))
     return turns.groupBy("tree", "leaf", "rank").agg(F.count("*").alias("n_turns"), ordered.alias("_turns")).select(
-        "tree", "leaf", "rank", "n_turns",
+        "tree.tree", "leaf", "rank", "n_turns",
         F.array_join("_turns.turn", "").alias("formatted"),
         F.filter("_turns.span", lambda s: s.isNotNull()).alias("loss_spans"),
     )

@@ -235,13 +235,15 @@ def describe_media(media: DataFrame) -> DataFrame:
             for archive, offset, member, image, error in zip(*(batch.column(i) for i in range(5)), strict=True):
                 key, image, error = member.as_py().split("/", 1)[1][: -len(".png")], image.as_py(), error.as_py()
                 found: tuple = (None,) * 7
+                doc = None
                 try:
+                    doc = int(key) if key else None
                     if error is None:
                         size, payload = from_png(image)
                         found = (size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), image_feature(payload))
                 except (ValueError, zlib.error, struct.error) as damage:
                     error = f"{type(damage).__name__}: {damage}"
-                rows.append((archive.as_py(), offset.as_py(), int(key) if key else None, *found, error))
+                rows.append((archive.as_py(), offset.as_py(), doc, *found, error))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 

@@ -7,7 +7,9 @@ conditional expression, so it is applied by the JVM.
 
 The list may be learned from at most ``MAX_LABELLED`` labelled rows, the first by a seeded digest; everything is applied
 to all rows. Nulls and empty texts have all statistics 0. A null label or id is not learned from; of repeated labels the
-lowest counts. With no labelled rows, or one class, the list is empty and keeps every row. Equal texts get equal verdicts.
+lowest counts. Thresholds lie between at most 200 quantiles of a statistic. Three words in a row are compared by numbers of
+21 bits each, which is exact for texts of up to 2,097,152 different words. An input column named as a result is replaced.
+With no labelled rows, or one class, the list is empty and keeps every row. Equal texts get equal verdicts.
 """
 
 from __future__ import annotations

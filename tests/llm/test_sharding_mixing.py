@@ -5,6 +5,7 @@ import math
 import zlib
 from collections import Counter
 
+from codelode.llm import sharding
 from codelode.llm.mixing import mix_sources, repetition_rates
 from codelode.llm.sharding import shard_interleaved
 
@@ -19,12 +20,33 @@ def unit(seed, doc):
     return int(hashlib.md5(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:13], 16) / 2**52
 
 
+def shuffle_key(doc, text):
+    data = (text or "").encode()
+    return hashlib.md5(f"42:{f'{zlib.crc32(data)}:{len(data)}' if doc is None else doc}".encode()).hexdigest()
+
+
+def test_many_sources_of_one_row(spark, monkeypatch):
+    """All rows have the fraction 1/2; they are placed by digest, bucket by bucket."""
+    monkeypatch.setattr(sharding, "ROWS_IN_BUCKET", 16)
+    rows = [(i, "x", f"s{i}") for i in range(400)] + [(1000 + i, "y", f"pair{i // 2}") for i in range(200)] + [(None, f"t{i}", f"n{i}") for i in range(40)]
+    keys = {}
+    for i, t, s in rows:
+        keys.setdefault(s, []).append((shuffle_key(i, t), i, t))
+    order = sorted(((k + 0.5) / len(own), *x) for own in keys.values() for k, x in enumerate(sorted(own)))
+    got = {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in shard_interleaved(docs(spark, rows)).collect()}
+    n = len(rows)
+    assert len(got) == n
+    for place, (_, _, doc, text) in enumerate(order):
+        shard = place * 8 // n
+        assert got[doc, zlib.crc32(text.encode())] == (shard, place - (shard * n + 7) // 8)
+
+
 def test_shards_interleave_every_source(spark):
     got = {r.doc_id: r for r in shard_interleaved(docs(spark)).collect()}
     assert len(got) == len(ROWS)
     order = []
     for source in {r[2] for r in ROWS}:
-        own = sorted((hashlib.md5(f"42:{'' if i is None else i}".encode()).hexdigest(), -1 if i is None else i) for i, _, s in ROWS if s == source)
+        own = sorted((shuffle_key(i, t), -1 if i is None else i) for i, t, s in ROWS if s == source)
         order += [((k + 0.5) / len(own), h, i) for k, (h, i) in enumerate(own)]
     order = [None if i == -1 else i for _, _, i in sorted(order)]
     n = len(order)
