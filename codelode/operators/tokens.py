@@ -107,13 +107,15 @@ def tokens(files: DataFrame) -> DataFrame:
     """(path, language, idx, type, value, line) of files (path, language, content) in a known language.
 
     Null contents are empty; rows that repeat a path count as one file each only if their paths differ. The rows come
-    clustered by path and in order, as every window over a file's tokens needs them: one shuffle serves them all.
+    clustered by path, as every window over a file's tokens needs them: one shuffle, of the texts, serves them all.
     """
     content = F.coalesce(F.col("content"), F.lit(""))
     found = F.lit(None).cast("array<string>")
     for name, pattern in PATTERNS.items():
         found = F.when(F.col("language") == name, F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))).otherwise(found)
-    rows = files.filter(F.col("language").isin(LANGUAGES)).select("path", "language", F.posexplode(found).alias("idx", "value"))
+    # Dealt by path before the texts are taken apart: one shuffle of texts, none of tokens.
+    own = files.filter(F.col("language").isin(LANGUAGES)).select("path", "language", "content").repartition("path")
+    rows = own.select("path", "language", F.posexplode(found).alias("idx", "value"))
     # Blanks hold no newline, so they go before the lines are counted.
     rows = rows.filter(~F.substring("value", 1, 1).isin(" ", "\t", "\r", "\f", "\v") | ~F.col("value").rlike(r"^[^\S\n]+$"))
     newlines = F.when(F.contains("value", F.lit("\n")), F.length(F.regexp_replace("value", r"[^\n]", ""))).otherwise(0)
