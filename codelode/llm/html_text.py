@@ -151,10 +151,12 @@ def named(attributes: str) -> float | None:
     return most
 
 
-def place_name(open_: list[tuple]) -> float:
+def place_name(open_: list[tuple], relaxed: int) -> float:
     """What the names around a block say: clear ones from the outermost article inwards, a vague one only nearest to it."""
-    outermost = next((k for k, x in enumerate(open_) if x[2]), 0)
-    inside = [x[3] for x in open_[outermost:] if x[3] is not None]
+    outermost = next((k for k, x in enumerate(open_) if x[2]), None)
+    if relaxed == 2 and outermost is not None:
+        return 0.0
+    inside = [x[3] for x in open_[0 if outermost is None else outermost + (relaxed > 0) :] if x[3] is not None]
     if 1.0 in inside:
         return 1.0
     return 0.5 if inside and inside[-1] == 0.5 and not next(x for x in reversed(open_) if x[3] is not None)[2] else 0.0
@@ -194,7 +196,9 @@ def still_dropped(inner: list[str], closing: bool, name: str, attributes: str, p
     return True
 
 
-def text_blocks(page: str) -> list[Block]:
+def text_blocks(page: str, relaxed: int = 0) -> list[Block]:
+    """The blocks of a page. ``relaxed``: at 1 a form, what is around the outermost article and the article's own name say
+    nothing, at 2 no name within it either."""
     blocks: list[Block] = []
     open_: list[tuple[str, bool, bool, float | None]] = []  # tag, aside, main, named
     parts: list[str] = []
@@ -211,8 +215,10 @@ def text_blocks(page: str) -> list[Block]:
             inside = len(html.unescape(" ".join(linked)).split())
             in_main = any(x[2] for x in open_)
             in_header = any(x[0] == "header" for x in open_)
-            aside = any(x[1] for x in open_) or in_header and not (in_main and heading)
-            blocks.append(Block(text, own, min(1.0, inside / own), int(aside), float(in_main), place_name(open_), int(heading)))
+            outermost = next((k for k, x in enumerate(open_) if x[2]), 0)
+            asides = [x for x in open_[outermost:] if x[0] != "form"] if relaxed else open_
+            aside = any(x[1] for x in asides) or in_header and not (in_main and heading)
+            blocks.append(Block(text, own, min(1.0, inside / own), int(aside), float(in_main), place_name(open_, relaxed), int(heading)))
         parts.clear()
         linked.clear()
 
@@ -320,11 +326,20 @@ def is_main(tree, row: list[float]) -> bool:
 
 
 def main_text(page: str | None, tree=None) -> str:
+    """The blocks that the tree takes for main text, joined by newlines.
+
+    Where it takes none, the page is read again: a form around everything, an article inside of an aside and names on or
+    in the article count less then (``text_blocks``), and at last plain blocks, outside of forms and asides, without a telling name
+    and mostly not links, are taken. A page of nothing but menus, notices and the like stays empty.
+    """
     if not page:
         return ""
     tree = tree or trained_tree()
-    blocks = text_blocks(page)
-    return "\n".join(b.text for b, r in zip(blocks, rows_of(blocks)) if is_main(tree, r))
+    for relaxed in range(3):
+        blocks = text_blocks(page, relaxed)
+        if kept := [b.text for b, r in zip(blocks, rows_of(blocks)) if is_main(tree, r)]:
+            return "\n".join(kept)
+    return "\n".join(b.text for b in text_blocks(page) if not b.aside and b.named == 0 and b.links < 0.5)
 
 
 def extract_main_text(page: Column) -> Column:

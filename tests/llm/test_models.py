@@ -222,3 +222,20 @@ def test_a_very_long_page():
     body = "".join(f"<p>paragraph {i}</p>" for i in range(20_000))
     assert main_text(f"<article>{body}</article>").count("\n") == 19_999
     assert main_text("<article><p>" + "<" * 50_000 + " a</p></article>").endswith("< a")
+
+
+PARAGRAPH = "This is a longer paragraph of an article that says a good deal about its subject and goes on for a while, with commas."
+MENU, FOOT = '<nav><a href="/">Home</a> <a href="/x">About us</a></nav>', "<footer><p>Copyright someone, all rights reserved, contact us</p></footer>"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f'<body><form id="aspnetForm">{MENU}<div><h1>Title here</h1><p>{PARAGRAPH}</p></div>{FOOT}</form></body>', f"Title here\n{PARAGRAPH}"),
+    (f"<form><article><p>{PARAGRAPH}</p></article></form>", PARAGRAPH), ("<body><p>Hello world.</p></body>", "Hello world."),
+    (f'<body>{MENU}<article class="widget"><p>{PARAGRAPH}</p></article>{FOOT}</body>', PARAGRAPH), (f'<article class="banner"><p>{PARAGRAPH}</p></article>', PARAGRAPH),
+    (f'<article><p class="banner">{PARAGRAPH}</p></article>', PARAGRAPH), (f'<article><div class="widget"><p>{PARAGRAPH}</p></div></article>', PARAGRAPH),
+    (f'<article><p>{PARAGRAPH}</p><p class="banner">Buy now and save, only this week, at your favourite shop.</p></article>', PARAGRAPH),
+    (f"<aside><article><p>{PARAGRAPH}</p></article></aside>", PARAGRAPH),
+    (f"{MENU}{FOOT}", ""), ('<div class="cookie-notice"><p>We use cookies on this site to improve it.</p></div>', ""), ("<form><label>Name</label><input><button>Go</button></form>", ""), (f"{MENU}<aside><p>{PARAGRAPH}</p></aside>", ""),
+])
+def test_pages_in_which_no_block_is_clear(page, text):
+    assert main_text(page) == text
