@@ -113,8 +113,10 @@ def tokens(files: DataFrame) -> DataFrame:
     found = F.lit(None).cast("array<string>")
     for name, pattern in PATTERNS.items():
         found = F.when(F.col("language") == name, F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))).otherwise(found)
-    # Dealt by path before the texts are taken apart: one shuffle of texts, none of tokens.
-    own = files.filter(F.col("language").isin(LANGUAGES)).select("path", "language", "content").repartition("path")
+    # Dealt by path before the texts are taken apart: one shuffle of texts, none of tokens. Tokens take many times their
+    # text's memory, so the partitions are as many as the session has and are not put together.
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = files.filter(F.col("language").isin(LANGUAGES)).select("path", "language", "content").repartition(parts, "path")
     rows = own.select("path", "language", F.posexplode(found).alias("idx", "value"))
     # Blanks hold no newline, so they go before the lines are counted.
     rows = rows.filter(~F.substring("value", 1, 1).isin(" ", "\t", "\r", "\f", "\v") | ~F.col("value").rlike(r"^[^\S\n]+$"))
