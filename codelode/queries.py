@@ -146,6 +146,28 @@ def secret_token_scan(spark, sf_dir):
     return findings.secret_hits(both, ["source", "id"], F.col("text"))
 
 
+_SAME = "|".join(f"{c}{{6}}" for c in "0123456789abcdef")
+
+
+@query(f"""
+WITH b AS (SELECT c_nationkey % 6 AS kind, md5(c_custkey::VARCHAR) || substr(md5(c_custkey || 'x'), 1, 8) AS body FROM customer),
+t AS (SELECT CASE kind WHEN 0 THEN 'gh' WHEN 1 THEN 'AKIA' WHEN 2 THEN 'sk-ant-' ELSE 'sk-' END AS format,
+  CASE kind WHEN 0 THEN body WHEN 1 THEN substr(body, 1, 16) WHEN 2 THEN substr(body, 1, 32) ELSE '9' || body END AS body FROM b WHERE kind < 4)
+SELECT format, count(*) AS n, sum(length(body))::BIGINT AS chars FROM t WHERE NOT regexp_matches(body, '{_SAME}') AND NOT contains(body, '123456') GROUP BY format""")
+def secret_token_cases(spark, sf_dir):
+    """Provider tokens in texts that are written from the customers: four kinds, one without a boundary, one a placeholder."""
+    key, kind = F.col("c_custkey").cast("string"), F.col("c_nationkey") % 6
+    body = F.concat(F.md5(key.cast("binary")), F.substring(F.md5(F.concat(key, F.lit("x")).cast("binary")), 1, 8))
+    text = (
+        F.when(kind == 0, F.concat(F.lit('t = "ghp_'), body, F.lit('"'))).when(kind == 1, F.concat(F.lit("key AKIA"), F.upper(F.substring(body, 1, 16)), F.lit(" end")))
+        .when(kind == 2, F.concat(F.lit("sk-ant-"), F.substring(body, 1, 32))).when(kind == 3, F.concat(F.lit("(sk-Zz9"), body, F.lit(")")))
+        .when(kind == 4, F.concat(F.lit("xghp_"), body)).otherwise(F.concat(F.lit("gho_example"), body))
+    )
+    found = findings.secret_hits(t(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), ["c_custkey"], F.col("text"))
+    held = F.length(F.regexp_replace("token", "^(sk-ant-|sk-Zz|AKIA|gh[a-z]_)", ""))
+    return found.groupBy("format").agg(F.count("*").alias("n"), F.sum(held).cast("bigint").alias("chars"))
+
+
 SEEDS_SQL = """
 WITH w AS (SELECT lang AS language, doc_id AS file, list_filter(string_split_regex(text, '[ \\t\\n]+'), lambda x: x <> '') AS tok FROM documents),
 c AS (SELECT language, file, tok, unnest(range(0, len(tok) // 40)) AS chunk FROM w WHERE len(tok) >= 40),
