@@ -44,6 +44,8 @@ KEYWORDS = {
 }
 KEYWORDS = {k: v.split() for k, v in KEYWORDS.items()}
 LANGUAGES = list(KEYWORDS)
+#: Partitions of token tables for each of the session's shuffle partitions.
+SPREAD = 8
 
 _QUOTED = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+(?:"|\n|\z)'
 _TICKED = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+(?:'|\n|\z)"
@@ -114,8 +116,8 @@ def tokens(files: DataFrame) -> DataFrame:
     for name, pattern in PATTERNS.items():
         found = F.when(F.col("language") == name, F.regexp_extract_all(content, F.lit(f"({pattern})"), F.lit(1))).otherwise(found)
     # Dealt by path before the texts are taken apart: one shuffle of texts, none of tokens. Tokens take many times their
-    # text's memory, so the partitions are as many as the session has and are not put together.
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # text's memory, so there are ``SPREAD`` times the session's partitions, which are not put together: sorts stay in memory.
+    parts = SPREAD * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = files.filter(F.col("language").isin(LANGUAGES)).select("path", "language", "content").repartition(parts, "path")
     rows = own.select("path", "language", F.posexplode(found).alias("idx", "value"))
     # Blanks hold no newline, so they go before the lines are counted.
