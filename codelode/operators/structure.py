@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tokens import tokens as lexed
+
 CODE_COMMENTS = ("LINE_COMMENT", "BLOCK_COMMENT")
 
 
@@ -280,7 +282,9 @@ def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
     wide = structured(significant(tokens)).groupBy("path").agg(
         F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(F.when(size.isNotNull(), F.struct(size.alias("size"), (-F.col("f_start")).alias("at"), F.col("f_name").alias("name")))).alias("_longest"),
     )
-    python = python_functions(tokens, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max(F.struct(F.col("line_count").alias("size"), (-F.col("start_line")).alias("at"), "name")).alias("_m"))
+    # A filter by language does not pass the windows of a token table: Python's files alone are lexed for their blocks.
+    own = tokens if tokens.is_cached else lexed(files.filter("language = 'python'"))
+    python = python_functions(own, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max(F.struct(F.col("line_count").alias("size"), (-F.col("start_line")).alias("at"), "name")).alias("_m"))
     out = with_lines(raw_counts(tokens), files)
     for part in (wide, python, python_nesting(files)):
         out = out.join(part, "path", "left")
