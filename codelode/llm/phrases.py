@@ -4,17 +4,19 @@
    at ``LOWERED`` of the share of ``least`` are proposed.
 2. A full pass over every document is about the proposed phrases and their negative border: every phrase of which the part
    without the last and the part without the first word are proposed (every word is). It first counts them by 42 bits of
-   their hash, which rules out nearly all that are rare, then exactly, by their words, where the hash is frequent: a hash
-   never counts less than a phrase that has it.
-3. A phrase that is frequent but was not proposed is a failure of the border: longer phrases may have been left out. The
-   failures are added, and an expansion pass counts what the grown set adds, and only that. It also goes on from every
+   their hash, which rules out nearly all that are rare: a hash never counts less than a phrase that has it.
+3. A second one counts what is left by 128 bits, which are taken to tell phrases apart, and finds a document's digest for
+   each phrase (the least of those that have it).
+4. A phrase that is frequent but was not proposed is a failure of the border: longer phrases may have been left out. The
+   failures are added, and the last pass counts what the grown set adds, and only that. It also goes on from every
    phrase that it is the first to count, so that it closes the set: any part of a frequent phrase is frequent, hence
-   proposed, a failure, or counted first in this pass. It is left out where there are no failures.
+   proposed, a failure, or counted first in this pass. The same pass spells each phrase of step 3, where its document or
+   a copy of it is read and nowhere else: no row of words travels once for every task or text that has a phrase.
 
-What is proposed, and which hashes are frequent, tasks are told by Bloom filters of ``2 ** BLOOM_BITS`` bits, a fixed size
-at any scale; what they say too often is counted in vain and changes nothing. Counts by hash travel as arrays, dealt over
-``BUCKETS`` by the hash's first bits; counts by phrase as rows (lang, phrase, n). Tasks sum what they have read before they
-send it. The driver gets the filters' bits alone.
+What is proposed, which hashes are frequent and what a document is to spell, tasks are told by Bloom filters of
+``2 ** BLOOM_BITS`` bits, a fixed size at any scale; what they say too often is counted or spelled in vain and changes
+nothing. Counts by hash travel as arrays, dealt over ``BUCKETS`` by the hash's first bits; words as rows (lang, phrase,
+hash, n). Tasks sum what they have read before they send it. The driver gets the filters' bits alone.
 
 Null texts are empty, a null language is ``und``. Languages are counted apart. Texts of any length are read whole, in runs
 that end at a break; a phrase never crosses a break or a document. Repeated rows count as often as they stand. Tables
@@ -23,7 +25,7 @@ without words give no row. Columns of other names are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +44,7 @@ BLOOM_BITS, PROBES, BUCKETS = 26, 4, 1024
 FLUSH_BYTES, HELD = 2 << 20, 1 << 22
 
 #: What separates words, and what separates the pieces that phrases stay within.
+LONG = 255  # bytes of a word from which on sums of powers would not do: they take some words of 1,024 bytes for equal
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + BLANKS + BREAKS, bytes(range(97, 123)) + b" " * len(BLANKS) + b"\n" * len(BREAKS))
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,7 +61,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of a folded text: where they are, which piece they are in, and two hashes of each."""
+    """The words of a folded text: where they are, which piece they are in, two hashes of each, and a digest of its run."""
 
     text: bytes
     starts: np.ndarray
@@ -66,6 +69,7 @@ class Words:
     piece: np.ndarray
     one: np.ndarray
     two: np.ndarray
+    source: np.ndarray | None = None
 
     def phrase(self, at: int, k: int) -> bytes:
         return b" ".join([self.text[s:e] for s, e in zip(self.starts[at : at + k].tolist(), self.ends[at : at + k].tolist(), strict=True)])
@@ -83,6 +87,9 @@ def read_words(text: bytes, lang: str) -> Words:
     seed = np.array([xxhash.xxh64_intdigest(lang.encode())], np.uint64)
     longest = int(size.max()) if len(size) else 0
     hashes = [_mixed(np.add.reduceat(own * _powers(base, longest)[within], first) + seed * base) if len(size) else own for base in (_ONE, _TWO)]
+    for i in np.nonzero(size > LONG)[0]:
+        both = xxhash.xxh3_128_intdigest(text[starts[i] : ends[i]], int(seed[0]))
+        hashes[0][i], hashes[1][i] = both & (1 << 64) - 1, both >> 64
     return Words(text, starts, ends, np.searchsorted(np.nonzero(raw == 10)[0], starts), *hashes)
 
 
@@ -140,20 +147,14 @@ def phrases_of(words: Words, longest: int, now: np.ndarray | None, before: np.nd
             yield k, at, hashes[at]
 
 
-def count_exactly(words: Words, longest: int, now, before, frequent) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """(phrases, counts) of ``phrases_of`` whose hash ``frequent`` has; the empty phrase stands for all words."""
-    if before is False and len(words.one):
-        yield [b""], np.array([len(words.one)])
-    for k, at, hashes in phrases_of(words, longest, now, before):
-        some = known(frequent, hashes)
-        at, hashes = at[some], hashes[some]
-        if len(at):
-            second = sum((words.two[at + j] * _TWO ** np.uint64(j) for j in range(k)), np.zeros(len(at), np.uint64))
-            order = np.argsort(hashes, kind="stable")
-            # Two phrases of one hash are told apart by the second; should they alternate, each is sent more than once.
-            new = np.r_[True, (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)]
-            first = np.nonzero(new)[0]
-            yield [words.phrase(i, k) for i in at[order[first]].tolist()], np.diff(np.r_[first, len(at)])
+def second_hash(words: Words, at: np.ndarray, k: int) -> np.ndarray:
+    """Of the phrases of k words from the words ``at`` on."""
+    return sum((words.two[at + j] * power for j, power in enumerate(_powers(_TWO, k))), np.zeros(len(at), np.uint64))
+
+
+def _spelling(hashes: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """The hash by which a filter says that the run of a digest spells a phrase."""
+    return _mixed(hashes + source * _TWO)
 
 
 def _folded(text: bytes) -> Iterator[bytes]:
@@ -165,6 +166,14 @@ def _folded(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
+def _block(runs: list[bytes], lang: str) -> Words:
+    words = read_words(b"\n".join(runs), lang)
+    starts = np.cumsum([0, *(len(r) + 1 for r in runs)])
+    digests = np.array([xxhash.xxh64_intdigest(r) >> 32 for r in runs], np.uint64)
+    words.source = digests.repeat(np.diff(np.searchsorted(words.starts, starts)))
+    return words
+
+
 def _read(batches: Iterator[pa.RecordBatch], share: float = 1) -> Iterator[tuple[str, Words]]:
     """Words of about ``FLUSH_BYTES`` of one language's texts at once; of ``share`` of their pieces."""
     chosen = np.random.default_rng(TaskContext.get().partitionId())
@@ -179,9 +188,9 @@ def _read(batches: Iterator[pa.RecordBatch], share: float = 1) -> Iterator[tuple
                 held.setdefault(lang, []).append(run)
                 size += len(run)
                 if size >= FLUSH_BYTES:
-                    yield from ((x, read_words(b"\n".join(y), x)) for x, y in held.items())
+                    yield from ((x, _block(y, x)) for x, y in held.items())
                     held, size = {}, 0
-    yield from ((x, read_words(b"\n".join(y), x)) for x, y in held.items())
+    yield from ((x, _block(y, x)) for x, y in held.items())
 
 
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +201,43 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
 
+def _summed_pairs(held: list[tuple[np.ndarray, ...]], whole: bool = False) -> tuple[np.ndarray, ...]:
+    """(one, two, counts, least source); unless ``whole``, phrases that share ``one`` may stand more than once."""
+    one, two, counts, source = (np.concatenate(x) for x in zip(*held, strict=True))
+    if not len(one):
+        return one, two, counts, source
+    order = np.lexsort((two, one)) if whole else np.argsort(one)
+    one, two = one[order], two[order]
+    first = np.nonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[0]
+    return one[first], two[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(source[order], first)
+
+
+def _by_bucket(buckets: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row a bucket, with its values of each column as bytes; the buckets come sorted."""
+    ends = np.searchsorted(buckets, np.arange(BUCKETS + 1))
+    some = np.nonzero(np.diff(ends))[0]
+    arrays = [pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(some), *arrays], ["bucket", *columns])
+
+
+def _of_buckets(batches: Iterator[pa.RecordBatch], summed: Callable, **kinds: tuple[type, type]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(bucket, its summed columns), sent as the first of ``kinds`` and summed as the second; the rows come sorted by bucket."""
+    bucket, held, size = None, [], 0
+    for batch in batches:
+        for b, *sent in zip(*(batch[c] for c in ("bucket", *kinds)), strict=True):
+            if b.as_py() != bucket and held:
+                yield bucket, summed(held)
+                held, size = [], 0
+            bucket = b.as_py()
+            held.append(tuple(np.frombuffer(x.as_buffer(), kind).astype(wide) for x, (kind, wide) in zip(sent, kinds.values(), strict=True)))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [summed(held)]
+                size = len(held[0][0]) // 2
+    if held:
+        yield bucket, summed(held)
+
+
 def _counts_by_hash(batches: Iterator[pa.RecordBatch], longest: int, now, share: float) -> Iterator[pa.RecordBatch]:
     """(bucket, keys, counts): counts of phrases by their hash."""
     now = now.value if now is not None else None
@@ -199,12 +245,7 @@ def _counts_by_hash(batches: Iterator[pa.RecordBatch], longest: int, now, share:
 
     def sent() -> pa.RecordBatch:
         keys, counts = _summed(held)
-        buckets = (keys >> np.uint64(32)).view(np.int64)
-        ends = np.searchsorted(buckets, np.arange(BUCKETS + 1))
-        some = np.nonzero(np.diff(ends))[0]
-        low, few = keys.astype(np.uint32), np.minimum(counts, (1 << 32) - 1).astype(np.uint32)
-        arrays = [pa.array(some), *(pa.array([x[ends[b] : ends[b + 1]].tobytes() for b in some], pa.binary()) for x in (low, few))]
-        return pa.RecordBatch.from_arrays(arrays, ["bucket", "keys", "counts"])
+        return _by_bucket((keys >> np.uint64(32)).view(np.int64), keys=keys.astype(np.uint32), counts=np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     for _, words in _read(batches, share):
         for _, _, hashes in phrases_of(words, longest, now, False):
@@ -220,50 +261,95 @@ def _counts_by_hash(batches: Iterator[pa.RecordBatch], longest: int, now, share:
 
 
 def _frequent_words(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """(word, bits) of a filter of the hashes counted ``least`` times or more; the rows come sorted by bucket."""
-    bucket, held, size = None, [], 0
-
-    def told() -> Iterator[pa.RecordBatch]:
-        keys, counts = _summed(held)
+    """(word, bits) of a filter of the hashes counted ``least`` times or more."""
+    for bucket, (keys, counts) in _of_buckets(batches, _summed, keys=(np.uint32, np.uint64), counts=(np.uint32, np.int64)):
         words, bits = filter_words((np.uint64(bucket) << np.uint64(32)) | keys[counts >= least])
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
 
-    for batch in batches:
-        for b, keys, counts in zip(*(batch[c] for c in ("bucket", "keys", "counts")), strict=True):
-            if b.as_py() != bucket and held:
-                yield from told()
-                held, size = [], 0
-            bucket = b.as_py()
-            held.append((np.frombuffer(keys.as_buffer(), np.uint32).astype(np.uint64), np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)))
-            size += len(held[-1][0])
-            if size > HELD:
-                held = [_summed(held)]
-                size = len(held[0][0]) // 2
+
+def _counts_by_both(batches: Iterator[pa.RecordBatch], longest: int, now, frequent) -> Iterator[pa.RecordBatch]:
+    """(bucket, one, two, counts, source): counts of the phrases whose hash ``frequent`` has, by both hashes."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def sent() -> pa.RecordBatch:
+        one, two, counts, source = _summed_pairs(held)
+        return _by_bucket((one >> np.uint64(54)).view(np.int64), one=one, two=two, counts=counts, source=source.astype(np.uint32))
+
+    for _, words in _read(batches):
+        for k, at, hashes in phrases_of(words, longest, now.value, False):
+            some = known(frequent.value, hashes)
+            at = at[some]
+            held.append(_summed_pairs([(hashes[some], second_hash(words, at, k), np.ones(len(at), np.int64), words.source[at])]))
+        if sum(len(x[0]) for x in held) > HELD // 4:
+            held = [_summed_pairs(held)]
+            if len(held[0][0]) > HELD // 8:
+                yield sent()
+                held = []
     if held:
-        yield from told()
+        yield sent()
 
 
-def _exact(batches: Iterator[pa.RecordBatch], longest: int, now, before, frequent) -> Iterator[pa.RecordBatch]:
-    now, before, frequent = (b.value if hasattr(b, "value") else b for b in (now, before, frequent))
-    for lang, words in _read(batches):
-        for phrases, counts in count_exactly(words, longest, now, before, frequent):
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts)], ["lang", "phrase", "n"])
+def _frequent_counts(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(one, two, n, source) of the phrases counted ``least`` times or more."""
+    kinds = {"one": (np.uint64, np.uint64), "two": (np.uint64, np.uint64), "counts": (np.int64, np.int64), "source": (np.uint32, np.int64)}
+    for _, columns in _of_buckets(batches, lambda held: _summed_pairs(held, whole=True), **kinds):
+        some = columns[2] >= least
+        yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in columns], ["one", "two", "n", "source"])
 
 
-def _missing(batches: Iterator[pa.RecordBatch], bloom) -> Iterator[pa.RecordBatch]:
-    """(word, bits) of the phrases (lang, phrase) that the filter lacks."""
+def _words_of_filter(batches: Iterator[pa.RecordBatch], before=None) -> Iterator[pa.RecordBatch]:
+    """(word, bits) of counted phrases (one, source): of those that ``before`` lacks, or else of where they are spelled."""
     for batch in batches:
-        hashes = []
-        for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True):
-            words = read_words(phrase.encode(), lang)
-            h = words.one[:1]
-            for k in range(1, len(words.one)):
-                h = _mixed(h * _ONE + words.one[k : k + 1])
-            hashes.append(h)
-        if hashes:
-            all_ = np.concatenate(hashes)
-            words, bits = filter_words(_keys(all_[~known(bloom.value, all_)]))
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
+        one, source = (batch[c].to_numpy().view(np.uint64) for c in ("one", "source"))
+        words, bits = filter_words(_keys(_spelling(one, source) if before is None else one[~known(before.value, one)]))
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], ["word", "bits"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], longest: int, before, chosen, now) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, one, two, n): phrases that ``chosen`` has for their run, without n, and counts of what ``now`` adds.
+
+    The empty phrase counts all words.
+    """
+    before, chosen, now = (b.value if b is not None else None for b in (before, chosen, now))
+    held: dict[tuple[str, bytes], list] = {}
+    size = 0
+
+    def sent() -> pa.RecordBatch:
+        langs, phrases = zip(*held, strict=True)
+        one, two, n = zip(*held.values(), strict=True)
+        arrays = [pa.array(langs), pa.array(phrases, pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in (one, two, n))]
+        return pa.RecordBatch.from_arrays(arrays, ["lang", "phrase", "one", "two", "n"])
+
+    def found(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        for k, at, hashes in phrases_of(words, longest, before, False):
+            some = known(chosen, _spelling(hashes, words.source[at]))
+            yield k, at[some], hashes[some], False
+        if now is not None:
+            yield from ((*x, True) for x in phrases_of(words, longest, now, before))
+
+    for lang, words in _read(batches):
+        if len(words.one):
+            held.setdefault((lang, b""), [None, None, 0])[2] += len(words.one)
+        for k, at, hashes, counted in found(words):
+            if not len(at):
+                continue
+            second = second_hash(words, at, k)
+            order = np.argsort(hashes)
+            # Two phrases of one hash are told apart by the second; should they alternate, each is met more than once.
+            first = np.nonzero(np.r_[True, (np.diff(hashes[order]) != 0) | (np.diff(second[order]) != 0)])[0]
+            own = order[first]
+            for i, one, two, n in zip(at[own].tolist(), hashes[own].view(np.int64).tolist(), second[own].view(np.int64).tolist(), np.diff(np.r_[first, len(at)]).tolist(), strict=True):
+                phrase = words.phrase(i, k)
+                if (row := held.get((lang, phrase))) is None:
+                    held[lang, phrase] = [one, two, n if counted else None]
+                    size += len(phrase)
+                elif counted:
+                    row[2] += n
+        if size > FLUSH_BYTES:
+            yield sent()
+            held, size = {}, 0
+    if held:
+        yield sent()
 
 
 def _bits(words: DataFrame) -> np.ndarray:
@@ -287,22 +373,28 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, longest: int = 5, le
         dealt = counted.repartition("bucket").sortWithinPartitions("bucket")
         return _bits(dealt.mapInArrow(tidy(lambda b: _frequent_words(b, at_least)), "word bigint, bits bigint"))
 
-    def exactly(now, before, frequent) -> DataFrame:
-        found = rows.mapInArrow(tidy(lambda b: _exact(b, longest, now, before, frequent)), "lang string, phrase string, n bigint")
-        return scratch.write(found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrases")
+    def filtered(counts: DataFrame, before=None) -> np.ndarray:
+        return _bits(counts.select("one", "source").mapInArrow(tidy(lambda b: _words_of_filter(b, before)), "word bigint, bits bigint"))
 
     bits = by_hash(None, SAMPLE, max(2, int(SAMPLE * least * LOWERED)))
     before = spark.sparkContext.broadcast(bits)
     frequent = spark.sparkContext.broadcast(by_hash(before, 1, least))
-    found = exactly(before, False, frequent)
-    shorter = found.filter("phrase <> ''").filter(F.size(F.split("phrase", " ")) < longest).select("lang", "phrase")
-    more = _bits(shorter.mapInArrow(tidy(lambda b: _missing(b, before)), "word bigint, bits bigint"))
-    if more.any():
-        now = spark.sparkContext.broadcast(bits | more)
-        found = found.unionByName(exactly(now, before, None))
-        now.destroy()
+    by_both = rows.mapInArrow(tidy(lambda b: _counts_by_both(b, longest, before, frequent)), "bucket bigint, one binary, two binary, counts binary, source binary")
+    dealt = by_both.repartition("bucket").sortWithinPartitions("bucket")
+    counts = scratch.write(dealt.mapInArrow(tidy(lambda b: _frequent_counts(b, least)), "one bigint, two bigint, n bigint, source bigint"), "counts")
     frequent.destroy()
-    before.destroy()
+    chosen = spark.sparkContext.broadcast(filtered(counts))
+    more = filtered(counts, before)
+    now = spark.sparkContext.broadcast(bits | more) if more.any() else None
+    spelled = rows.mapInArrow(tidy(lambda b: _spelled(b, longest, before, chosen, now)), "lang string, phrase string, one bigint, two bigint, n bigint")
+    spelled = spelled.groupBy("lang", "phrase").agg(F.first("one").alias("one"), F.first("two").alias("two"), F.sum("n").alias("more"))
+    both = spelled.join(counts.select("one", "two", "n"), ["one", "two"], "full")
+    phrase = F.coalesce("phrase", F.raise_error(F.lit("a counted phrase was not found again: the texts changed between two passes")))
+    found = scratch.write(both.select("lang", phrase.alias("phrase"), F.coalesce("more", "n").alias("n")).filter(F.col("n") >= least), "phrases")
+    scratch.drop(counts)
+    for told in (before, chosen, now):
+        if told is not None:
+            told.destroy()
     return found
 
 

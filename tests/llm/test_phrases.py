@@ -85,3 +85,53 @@ def test_words_of_a_folded_text():
     assert [words.phrase(i, 1) for i in range(5)] == [b"ab", b"c", b"ab", b"c\x00", b"c"] and words.piece.tolist() == [0, 0, 1, 1, 1]
     assert words.one[0] == words.one[2] and words.one[1] == words.one[4] and len(set(words.one.tolist())) == len(set(words.two.tolist())) == 3
     assert len(phrases.read_words(b"", "en").one) == len(phrases.read_words(b" \n ", "en").one) == 0
+
+
+def test_words_of_a_phrase_are_sent_once(spark, monkeypatch):
+    """However many texts, runs and tasks have it: rows of words do not grow with tasks times phrases."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    rows = [("en" if i % 3 else "de", " ".join(rng.choice(words) for _ in range(200)) + f" {i}.", i) for i in range(160)]
+    sent, tidy = spark.sparkContext.accumulator(0), phrases.tidy
+
+    def counting(function):
+        def counted(batches):
+            for batch in function(batches):
+                if "phrase" in batch.schema.names:
+                    sent.add(batch.num_rows)
+                yield batch
+
+        return tidy(counted)
+
+    monkeypatch.setattr(phrases, "tidy", counting)
+    monkeypatch.setattr(phrases, "FLUSH_BYTES", 2000)
+    monkeypatch.setattr(phrases, "SAMPLE", 1.0)
+    monkeypatch.setattr(phrases, "LOWERED", 1.0)
+    docs = spark.createDataFrame(rows, "lang string, text string, n long").repartition(8)
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in frequent_phrases(docs, "text", "lang", 3, 5).filter("phrase <> ''").collect()}
+    assert got == {k: n for k, n in brute_counts(rows, 3)[0].items() if n >= 5} and len(got) > 2000
+    assert sent.value < 1.5 * len(got)
+
+
+def test_copies_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "FLUSH_BYTES", 50)
+    rows = [("en", "one two three, four five six seven", 1)] * 60 + make_docs(seed=9, n=20)
+    docs = spark.createDataFrame(rows, "lang string, text string, n long").repartition(6)
+    got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in frequent_phrases(docs, "text", "lang", 4, 5).filter("phrase <> ''").collect()}
+    assert got == {k: n for k, n in brute_counts(rows, 4)[0].items() if n >= 5}
+
+
+def test_long_words_are_told_apart():
+    """Sums of bytes times powers of any odd base take these two words for equal."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    words = phrases.read_words(f"{a} {b} {a}".encode(), "en")
+    assert words.one[0] != words.one[1] and words.two[0] != words.two[1] and words.one[0] == words.one[2] and words.two[0] == words.two[2]
+    assert phrases.read_words(a.encode(), "de").one[0] != words.one[0]
+
+
+def test_phrases_of_one_hash_are_told_apart_by_the_other():
+    n = lambda *x: phrases.np.array(x, phrases.np.uint64)
+    held = [(n(5, 5, 1 << 63), n(9, 8, 7), phrases.np.array([1, 2, 3]), n(4, 6, 5)), (n(5, 5), n(8, 9), phrases.np.array([10, 20]), n(3, 7))]
+    assert [x.tolist() for x in phrases._summed_pairs(held, whole=True)] == [[5, 5, 1 << 63], [8, 9, 7], [12, 21, 3], [3, 4, 5]]
