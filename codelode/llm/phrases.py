@@ -136,7 +136,7 @@ def phrases_of(words: Words, longest: int, now: np.ndarray | None, before: np.nd
     for k in range(2, min(longest, n) + 1):
         new = there & known(now, hashes)
         if before is not False:
-            old = there & known(before, hashes)
+            old = there & ~fresh & known(before, hashes)  # the earlier pass did not get to what is fresh, even if its filter has it
             new |= there & fresh
         n -= 1
         there = new[:n] & new[1 : n + 1] & (words.piece[:n] == words.piece[k - 1 :])

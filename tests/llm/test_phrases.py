@@ -135,3 +135,19 @@ def test_phrases_of_one_hash_are_told_apart_by_the_other():
     n = lambda *x: phrases.np.array(x, phrases.np.uint64)
     held = [(n(5, 5, 1 << 63), n(9, 8, 7), phrases.np.array([1, 2, 3]), n(4, 6, 5)), (n(5, 5), n(8, 9), phrases.np.array([10, 20]), n(3, 7))]
     assert [x.tolist() for x in phrases._summed_pairs(held, whole=True)] == [[5, 5, 1 << 63], [8, 9, 7], [12, 21, 3], [3, 4, 5]]
+
+
+def test_what_an_earlier_filter_has_by_mistake_is_counted_later():
+    words, np = phrases.read_words(b"a b c", "en"), phrases.np
+    by_length = {k: h for k, _, h in phrases.phrases_of(words, 3, None, False)}
+
+    def bloom(*hashes):
+        out = np.zeros(1 << (phrases.BLOOM_BITS - 6), np.int64)
+        at, bits = phrases.filter_words(phrases._keys(np.concatenate(hashes)))
+        out[at] = bits
+        return out.view(np.uint64)
+
+    before = bloom(words.one[1:], by_length[2])  # "a b" without "a"
+    now = before | bloom(words.one)
+    counted = [(k, i) for filters in ((before, False), (now, before)) for k, at, _ in phrases.phrases_of(words, 3, *filters) for i in at.tolist()]
+    assert sorted(counted) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0)]
