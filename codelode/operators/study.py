@@ -44,8 +44,19 @@ def exact_quantiles(ranks: DataFrame, column: str, shares: dict[str, float]) ->
     return placed.agg(*out).select(*[low(n).alias(n) for n in shares])
 
 
+def exact_sum(value: Column) -> Column:
+    """The sum of doubles with at most six decimals, free of rounding and of the rows' order; a plain sum if one is none of these."""
+    amount = value.try_cast("decimal(24,6)")
+    plain = F.count_if(F.coalesce(amount.cast("double") != value, value.isNotNull())) > 0
+    return F.when(plain, F.sum(value)).otherwise(F.sum(amount).cast("double"))
+
+
 def summary(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """One row: count, medians, 90th percentile, Pearson and rank correlation (ties by mean rank) of rows with both values."""
+    """One row: count, medians, 90th percentile, Pearson and rank correlation (ties by mean rank) of rows with both values.
+
+    The rows are read more than once and joined with their ranks by value, so they must come out the same each time: sums
+    of doubles, whose last digits hang on the order of rows, have to be cut before (``sources.store.cut``).
+    """
     v = df.select(x.cast("double").alias("x"), y.cast("double").alias("y")).filter("x is not null and y is not null")
     ranks = {c: value_ranks(v, c) for c in ("x", "y")}
     for c, own in ranks.items():

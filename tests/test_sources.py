@@ -9,6 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from codelode import queries
 from codelode.operators import diffs, findings, history, study
 from codelode.operators.tokens import tokens
 from codelode.sources import formats, guards, table_functions, tree
@@ -130,6 +131,18 @@ def test_study_summary(spark, monkeypatch, seed, ranges):
     assert tuple(study.summary(spark.createDataFrame([], "x double, y double"), F.col("x"), F.col("y")).first())[:2] == (0, None)
 
 
+def test_sums_that_are_ranked_are_exact_and_made_once(spark, tmp_path):
+    numbers = spark.createDataFrame([(1, [0.1] * 10), (2, [1e12] + [0.01] * 100 + [-1e12]), (3, [0.1, 1e-9]), (4, [float("inf"), 1.0]), (5, [None, 2.5]), (6, [None])], "k int, v array<double>")
+    sums = numbers.select("k", F.explode("v").alias("v")).groupBy("k").agg(study.exact_sum(F.col("v")).alias("s"))
+    assert {r.k: r.s for r in sums.collect()} == {1: 1.0, 2: 1.0, 3: 0.1 + 1e-9, 4: float("inf"), 5: 2.5, 6: None}
+    prices = [(nation, price) for nation in range(3) for price in [1e12 + nation] + [0.01] * 100 * (nation + 1)]
+    spark.createDataFrame([(k, k) for k in range(3)], "c_custkey long, c_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(prices, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries.study_correlations(spark, str(tmp_path))
+    assert (found.first().n, found.first().median_y) == (3, 1e12 + 3.0)
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_study_groups(spark):
     day = dt.date(2026, 10, 15)
     rows = [("a", day - dt.timedelta(days=3000), 1.0, 95.0), ("b", day - dt.timedelta(days=3653), 5.0, 69.5), ("c", day - dt.timedelta(days=5000), 7.0, 71.0), ("d", day - dt.timedelta(days=9000), 100.0, 40.0), ("e", None, 3.0, None), ("f", day - dt.timedelta(days=5100), 9.0, 84.0)]
