@@ -5,6 +5,7 @@ import os
 import random
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -117,6 +118,17 @@ def test_sql_alone_parses_diffs_and_lexes(spark):
     assert sorted(map(tuple, lexed.collect())) == sorted(map(tuple, tokens(spark.table("some_files")).collect())) and lexed.count() > 60
 
 
+def test_table_functions_give_back_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(table_functions, "PIECE", 50)
+    files = pa.RecordBatch.from_pydict({"path": ["a", "b", "c"], "language": ["java", "java", "cobol"], "content": ["x = 1;\n" * 40, None, "x"]})
+    pieces = list(table_functions.LexSource.func().eval(files))
+    assert [p.num_rows for p in pieces] == [50, 50, 50, 50] and pieces[-1]["line"].to_pylist()[-1] == 40
+    diffs_ = pa.RecordBatch.from_pydict({"file": ["1", "2"], "text": ["+++ b/x\n@@ -0,0 +1,60 @@\n" + "+a\n" * 60, None]})
+    pieces = list(table_functions.ParseDiff.func().eval(diffs_))
+    assert [p.num_rows for p in pieces] == [50, 10] and pieces[1]["line"].to_pylist()[-1] == 60
+    assert [p.num_rows for p in table_functions.ParseDiff.func().eval(diffs_.slice(1))] == [0]
+
+
 @pytest.mark.parametrize("seed,ranges", [(1, 256), (2, 3)])
 def test_study_summary(spark, monkeypatch, seed, ranges):
     monkeypatch.setattr(study, "RANGES", ranges)
