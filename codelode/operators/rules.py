@@ -17,7 +17,8 @@ from ..sources.store import cut
 from .findings import secret_hits
 from .joins import supersede
 from .scopes import with_data_holder
-from .structure import CODE_COMMENTS, ahead, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
+from .reading import COUNTED, candidates
+from .structure import CODE_COMMENTS, DECISIONS, ahead, by_rows, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
 
 # Rules as id, severity, category, tier, confidence.
 CATALOG = """
@@ -247,11 +248,15 @@ def sequence_hits() -> list[Column]:
     return hits
 
 
+#: Tokens at which a sequence's or a call's finding can begin, but for those before ``=``.
+HITS = {w for x in SEQUENCES.strip().splitlines() for w in x.split()[1].split("/")} | {"eval", "exec", "execSync", "new", "delete", "using", "(", *RAW_TYPES}
+#: What the rules of sequences and calls read of a token's surroundings.
+NEAR = ["idx", "type", "value", "line", *[f"v{k}" for k in range(1, 8)], *[f"t{k}" for k in range(1, 8)], "vm1", "vm2", "vm3", "tm1"]
+
+
 def may_hit() -> Column:
     """A cheap condition that every token with a sequence's or a call's finding meets, so that few tokens try all rules."""
-    first = {w for x in SEQUENCES.strip().splitlines() for w in x.split()[1].split("/")}
-    words = sorted(first | {"eval", "exec", "execSync", "new", "delete", "using", "(", *RAW_TYPES})
-    return F.col("value").isin(words) | F.coalesce(F.col("v1") == "=", F.lit(False))
+    return F.col("value").isin(sorted(HITS)) | F.coalesce(F.col("v1") == "=", F.lit(False))
 
 
 def once_findings(tokens: DataFrame) -> DataFrame:
@@ -263,10 +268,14 @@ def once_findings(tokens: DataFrame) -> DataFrame:
     )
 
 
-def sequence_findings(code: DataFrame) -> DataFrame:
-    """Rules of neighbouring tokens; ``code`` has the significant tokens."""
-    found = structured(code).filter(may_hit()).select("path", "language", "line", F.explode(F.array_compact(F.array(*sequence_hits()))).alias("rule_id"))
-    return found.unionByName(once_findings(code))
+ONCE = {"X509TrustManager", "ServerCertificateValidationCallback"}
+
+
+def sequence_findings(files: DataFrame) -> DataFrame:
+    """Rules of neighbouring tokens in files (path, language, content)."""
+    some = candidates(files, HITS | ONCE, NEAR, numbers=False)
+    found = some.filter(may_hit()).select("path", "language", "line", F.explode(F.array_compact(F.array(*sequence_hits()))).alias("rule_id"))
+    return found.unionByName(once_findings(some))
 
 
 def call_counts() -> dict[str, Column]:
@@ -293,12 +302,23 @@ def call_hits() -> list[Column]:
 FUNCTION, POINT, LIMIT, MAGIC = "function", "decision point", "limit", "cpp-magic-number-literal"
 
 
-def code_events(code: DataFrame) -> DataFrame:
+def code_events(files: DataFrame) -> DataFrame:
+    """``events_of`` the texts of files, read token by token in their tasks."""
+    counts = [f"_n_{name}" for name in COUNTED]
+    return events_of(candidates(files, HITS | DECISIONS, [*NEAR, "i1", "comments", "comments1", "_quiet", "close", "_void1", "_dots1", *counts, "f_name", "f_start", "f_end"]))
+
+
+def table_events(code: DataFrame) -> DataFrame:
+    """``events_of`` a table of significant tokens, by windows."""
+    wide = structured(code, call_counts())
+    return events_of(wide.withColumns({"_void1": ahead("_void", 1), "comments1": ahead("comments", 1), "_dots1": ahead("_n_dots", 1)}))
+
+
+def events_of(wide: DataFrame) -> DataFrame:
     """(path, language, line, idx, close, f_name, f_start, f_end, rule_id): all that one pass over the code finds.
 
     Besides findings: functions, decision points, and the brackets of C++ conditions with the numbers that may be in them.
     """
-    wide = structured(code, call_counts())
     call = is_value("value", "(") & F.col("close").isNotNull()
     cpp = F.col("language") == "cpp"
     # A catch's bracket, or its block where it has none; a comment in either counts as content.
@@ -306,7 +326,6 @@ def code_events(code: DataFrame) -> DataFrame:
     nothing = caught & ((F.col("v1") == "(") & F.coalesce(F.col("_void1"), F.lit(False)) & (F.col("comments1") == F.col("comments")))
     bare = caught & F.col("language").isin("typescript", "javascript", "csharp") & (F.col("v1") == "{") & (F.col("v2") == "}") & F.coalesce("_quiet", F.lit(False))
     silent = F.when(cpp, F.when(nothing & (F.col("_dots1") > 0), "cpp-catch-all-ellipsis")).when(nothing | bare, _prefixed("empty-catch-block"))
-    wide = wide.withColumns({"_void1": ahead("_void", 1), "comments1": ahead("comments", 1), "_dots1": ahead("_n_dots", 1)})
     number = cpp & (F.col("type") == "NUMBER") & ~F.col("value").isin("0", "1")
     more = [
         F.when(F.col("f_end").isNotNull(), FUNCTION), F.when(decides(True), POINT),
@@ -388,7 +407,7 @@ def comment_findings(tokens: DataFrame) -> DataFrame:
 
 def structure_findings(events: DataFrame, tokens: DataFrame, files: DataFrame) -> DataFrame:
     """Long and complex functions, deep files (line 0)."""
-    language = files.select("path", "language")
+    language = by_rows(files.select("path", "language"))
     size = F.when(F.col("language").isin("cpp", "python"), _prefixed("long-function")).otherwise(_prefixed("long-method"))
     functions = functions_at(events.filter(F.col("rule_id") == FUNCTION)).unionByName(python_functions(tokens, files))
     long = functions.filter(F.col("line_count") > LONG_FUNCTION).join(language, "path").select("path", "language", F.col("start_line").alias("line"), size.alias("rule_id"))
@@ -407,7 +426,7 @@ def findings(tokens: DataFrame, files: DataFrame) -> DataFrame:
     tokens = tokens.persist()
     code = significant(tokens)
     # Few rows of a long plan: cut, so that the parts below are planned on them alone.
-    events = cut(code_events(code))
+    events = cut(code_events(files))
     secrets = secret_hits(tokens.filter("type = 'STRING'"), ["path", "language", "line"], F.col("value"))
     plain = ["path", "language", "line", "rule_id"]
     parts = [

@@ -11,6 +11,11 @@ from .tokens import tokens as lexed
 CODE_COMMENTS = ("LINE_COMMENT", "BLOCK_COMMENT")
 
 
+def by_rows(df: DataFrame) -> DataFrame:
+    """For a join that is never a broadcast: the planner takes files for as small as the table that their texts are made of."""
+    return df.hint("shuffle_merge")
+
+
 def in_file() -> W:
     """A file's tokens in order."""
     return W.partitionBy("path").orderBy("idx")
@@ -166,8 +171,8 @@ def block_ends(lines: DataFrame, heads: DataFrame) -> DataFrame:
     """
     file = W.partitionBy("path")
     placed = lines.withColumns({"_prev": F.lag("line").over(file.orderBy("line")), "_last": F.max("line").over(file)})
-    levels = lines.join(heads.select("path", "line").distinct(), ["path", "line"]).groupBy("path").agg(F.collect_set("indent").alias("_levels"))
-    leveled = placed.join(levels, "path").withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= F.col("indent"))))
+    levels = lines.join(by_rows(heads.select("path", "line").distinct()), ["path", "line"]).groupBy("path").agg(F.collect_set("indent").alias("_levels"))
+    leveled = placed.join(by_rows(levels), "path").withColumn("_level", F.explode(F.filter("_levels", lambda x: x >= F.col("indent"))))
     end = F.coalesce(F.lead("_prev").over(W.partitionBy("path", "_level").orderBy("line")), F.col("_last"))
     return leveled.withColumn("end_line", end).filter("_level = indent").select("path", "line", "end_line")
 
@@ -176,7 +181,7 @@ def python_functions(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, name, start_line, end_line, line_count): a def ends before the next code line that is not indented more."""
     code = significant(tokens.filter("language = 'python'"))
     defs = code.withColumn("name", ahead("value", 1)).filter((F.col("type") == "KEYWORD") & (F.col("value") == "def")).select("path", "name", "line")
-    ended = defs.join(block_ends(code_lines(files), defs), ["path", "line"])
+    ended = defs.join(by_rows(block_ends(code_lines(files), defs)), ["path", "line"])
     return ended.select("path", "name", F.col("line").alias("start_line"), "end_line", (F.col("end_line") - F.col("line") + 1).alias("line_count"))
 
 
@@ -184,7 +189,8 @@ def functions_of(tokens: DataFrame, files: DataFrame) -> DataFrame:
     return brace_functions(tokens).unionByName(python_functions(tokens, files))
 
 
-# Types that ``?`` makes nullable.
+# Tokens that ``decides`` looks at, and types that ``?`` makes nullable.
+DECISIONS = {"if", "for", "while", "case", "catch", "switch", "do", "foreach", "when", "elif", "except", "and", "or", "match", "&", "|", "?"}
 VALUE_TYPES = ["int", "uint", "long", "ulong", "short", "ushort", "byte", "sbyte", "char", "bool", "decimal", "double", "float"]
 
 
@@ -269,17 +275,19 @@ def with_lines(counts: DataFrame, files: DataFrame) -> DataFrame:
     """Every file with its counts (path, code_lines, comment_lines, ...) and its total and blank lines."""
     content = F.coalesce("content", F.lit(""))
     total = files.select("path", "language", (F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit(""))) + 1).alias("total_lines"))
-    return total.join(counts, "path", "left").fillna(0, ["code_lines", "comment_lines"]).withColumn("blank_lines", F.col("total_lines") - F.col("code_lines") - F.col("comment_lines"))
+    return total.join(by_rows(counts), "path", "left").fillna(0, ["code_lines", "comment_lines"]).withColumn("blank_lines", F.col("total_lines") - F.col("code_lines") - F.col("comment_lines"))
 
 
 def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """One row a file: lines by class, functions, complexity (from 1), nesting, imports, TODO marks.
 
-    Two passes over the token table, one of all tokens and one of the code, and the indents of Python's lines. Nothing is
-    persisted here: the passes share the shuffle by path where the planner finds it equal, and a caller may persist.
+    One pass over the token table, one that reads the texts for decisions and functions (``reading``), and the indents of
+    Python's lines. Nothing is persisted here, and a caller may persist.
     """
     size = F.col("f_end") - F.col("f_start") + 1
-    wide = structured(significant(tokens)).groupBy("path").agg(
+    from .reading import decision_candidates
+
+    wide = decision_candidates(files).groupBy("path").agg(
         F.count_if(decides()).alias("decisions"), F.count("f_end").alias("functions"), F.sum(size).alias("function_lines"), F.max(F.when(size.isNotNull(), F.struct(size.alias("size"), (-F.col("f_start")).alias("at"), F.col("f_name").alias("name")))).alias("_longest"),
     )
     # A filter by language does not pass the windows of a token table: Python's files alone are lexed for their blocks.
@@ -287,7 +295,7 @@ def file_metrics(tokens: DataFrame, files: DataFrame) -> DataFrame:
     python = python_functions(own, files).groupBy("path").agg(F.count("*").alias("_f"), F.sum("line_count").alias("_l"), F.max(F.struct(F.col("line_count").alias("size"), (-F.col("start_line")).alias("at"), "name")).alias("_m"))
     out = with_lines(raw_counts(tokens), files)
     for part in (wide, python, python_nesting(files)):
-        out = out.join(part, "path", "left")
+        out = out.join(by_rows(part), "path", "left")
     out = out.withColumn("max_nesting", F.coalesce("_indents", "depth", F.lit(0))).drop("_indents", "depth")
     out = out.fillna(0, ["todos", "decisions", "imports", "functions", "function_lines", "_f", "_l"])
     both = {"functions": F.col("functions") + F.col("_f"), "function_lines": F.col("function_lines") + F.col("_l"), "_longest": F.coalesce("_longest", "_m")}
@@ -346,4 +354,4 @@ def complexity_at(points: DataFrame, functions: DataFrame) -> DataFrame:
     points = points.select("path", F.col("idx").alias("point"), F.col("line").alias("at"))
     held = innermost_interval(points, spans.select("path", "span", F.col("start_line").alias("start"), F.col("end_line").alias("end")), ["path"])
     counts = held.filter("span is not null").groupBy("path", "span").agg(F.count("*").alias("_n"))
-    return spans.join(counts, ["path", "span"], "left").select("path", "name", "start_line", (F.coalesce("_n", F.lit(0)) + 1).alias("complexity"))
+    return spans.join(by_rows(counts), ["path", "span"], "left").select("path", "name", "start_line", (F.coalesce("_n", F.lit(0)) + 1).alias("complexity"))

@@ -1,9 +1,12 @@
 """Tokens, structure and rules on small sources of our own."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import rules, structure
+from codelode.operators import tokens as tokens_module
 from codelode.operators.rules import CATALOG, catalog, findings
 from codelode.operators.structure import file_metrics, function_complexity, functions_of, import_targets
 from codelode.operators.tokens import tokens
@@ -137,3 +140,27 @@ def test_imports_and_fields_of_any_length(spark):
     assert got == sorted([("a.ts", "./z"), ("a.java", dotted), ("a.py", dotted), ("a.py", "."), ("a.cs", "A.B"), ("a.cs", "C.D")])
     found = [(r.path, r.line) for r in rules.findings(toks, frame).filter("rule_id = 'java-public-field'").collect()]
     assert found == [("a.java", 3)]
+
+
+WORDS = "( ) { } ; = => == . ? ?. , < > + & && | || : [ ] name other catch try function throws where const noexcept new class def if while for case match eval exec any as var let 42 0 1.5 'a' \"b\" `c` /*d*/ //e\n #f\n \n \n Runtime . getRuntime ( ) . exec ( shell = True Loader usedforsecurity = False subprocess . run yaml . load hashlib . md5 MessageDigest . getInstance   é \x1c X509TrustManager do when foreach and or".split(" ")
+
+
+def soup(seed, n, length):
+    rng = random.Random(seed)
+    words = lambda: [rng.choice(WORDS) if rng.random() < 0.5 else rng.choice("(){};=") for _ in range(rng.randint(0, length))]
+    return [(f"{i}", tokens_module.LANGUAGES[i % 6], " ".join(words())) for i in range(n)] + [("none", "java", None)]
+
+
+def test_reading_finds_what_the_windows_find(spark):
+    files = spark.createDataFrame(soup(7, 600, 60), "path string, language string, content string")
+    events = rules.code_events(files)
+    columns = ["path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", "rule_id"]
+    rows = [sorted(map(str, x.select(*columns).collect())) for x in (events, rules.table_events(structure.significant(tokens(files))))]
+    assert rows[0] == rows[1] and len({r.rule_id for r in events.select("rule_id").distinct().collect()}) > 10
+    assert "Window" not in events._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_of_files_are_never_broadcast(spark):
+    files = spark.range(3).selectExpr("cast(id as string) path", "'python' language", "'def f():\n  if a: b()\n' content")
+    plan = file_metrics(tokens(files), files)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
