@@ -14,11 +14,11 @@ from pyspark.sql import Window as W
 
 from ..functions.scalars import first_phrase, has_ticket
 from ..sources.store import cut
-from .findings import secret_hits
+from .findings import SECRET_FORMATS, secret_hits
 from .joins import supersede
 from .scopes import with_data_holder
-from .reading import COUNTED, candidates
-from .structure import CODE_COMMENTS, DECISIONS, ahead, by_rows, complexity_at, decides, functions_at, in_file, is_value, nesting, python_functions, significant, structured
+from .reading import COUNTED, FIELD, MODIFIERS, NESTING, candidates
+from .structure import CODE_COMMENTS, DECISIONS, ahead, by_rows, complexity_at, decides, ended_functions, functions_at, in_file, is_value, python_nesting, significant, structured
 
 # Rules as id, severity, category, tier, confidence.
 CATALOG = """
@@ -250,6 +250,8 @@ def sequence_hits() -> list[Column]:
 
 #: Tokens at which a sequence's or a call's finding can begin, but for those before ``=``.
 HITS = {w for x in SEQUENCES.strip().splitlines() for w in x.split()[1].split("/")} | {"eval", "exec", "execSync", "new", "delete", "using", "(", *RAW_TYPES}
+#: Names that are assigned a secret.
+SECRET_NAME = "|".join(SECRET_NAMES)
 #: What the rules of sequences and calls read of a token's surroundings.
 NEAR = ["idx", "type", "value", "line", *[f"v{k}" for k in range(1, 8)], *[f"t{k}" for k in range(1, 8)], "vm1", "vm2", "vm3", "tm1"]
 
@@ -259,23 +261,27 @@ def may_hit() -> Column:
     return F.col("value").isin(sorted(HITS)) | F.coalesce(F.col("v1") == "=", F.lit(False))
 
 
-def once_findings(tokens: DataFrame) -> DataFrame:
-    """Rules with one finding a file: the first place."""
-    return (
-        tokens.filter(((F.col("language") == "java") & (F.col("value") == "X509TrustManager")) | ((F.col("language") == "csharp") & (F.col("value") == "ServerCertificateValidationCallback")))
-        .filter("type = 'IDENTIFIER'").groupBy("path", "language").agg(F.min(F.struct("idx", "line")).alias("m"))
-        .select("path", "language", "m.line", F.when(F.col("language") == "java", "java-sec-trust-manager-review").otherwise("csharp-sec-cert-validation-disabled").alias("rule_id"))
-    )
+ONCE = {"X509TrustManager", "ServerCertificateValidationCallback"}
+ONCE_RULES = ["java-sec-trust-manager-review", "csharp-sec-cert-validation-disabled"]
 
 
-ONCE = {"X509TrustManager", "ServerCertificateValidationCallback"}
+def once_rules() -> list[Column]:
+    """Rules with one finding a file, at every place."""
+    at = lambda language, name: (F.col("language") == language) & (F.col("type") == "IDENTIFIER") & (F.col("value") == name)
+    return [F.when(at("java", "X509TrustManager"), ONCE_RULES[0]), F.when(at("csharp", "ServerCertificateValidationCallback"), ONCE_RULES[1])]
+
+
+def once_findings(places: DataFrame) -> DataFrame:
+    """The first place of each file and rule (path, language, idx, line, rule_id)."""
+    return places.groupBy("path", "language", "rule_id").agg(F.min(F.struct("idx", "line")).alias("m")).select("path", "language", "m.line", "rule_id")
 
 
 def sequence_findings(files: DataFrame) -> DataFrame:
     """Rules of neighbouring tokens in files (path, language, content)."""
-    some = candidates(files, HITS | ONCE, NEAR, numbers=False)
+    some = candidates(files, (HITS - {"("}) | ONCE, NEAR, SECRET_NAME)
     found = some.filter(may_hit()).select("path", "language", "line", F.explode(F.array_compact(F.array(*sequence_hits()))).alias("rule_id"))
-    return found.unionByName(once_findings(some))
+    once = some.select("path", "language", "idx", "line", F.explode(F.array_compact(F.array(*once_rules()))).alias("rule_id"))
+    return found.unionByName(once_findings(once))
 
 
 def call_counts() -> dict[str, Column]:
@@ -300,12 +306,25 @@ def call_hits() -> list[Column]:
 
 #: Events of the one pass that are no findings yet.
 FUNCTION, POINT, LIMIT, MAGIC = "function", "decision point", "limit", "cpp-magic-number-literal"
+SECRET, HEAD = "secret", "def"
 
 
-def code_events(files: DataFrame) -> DataFrame:
-    """``events_of`` the texts of files, read token by token in their tasks."""
-    counts = [f"_n_{name}" for name in COUNTED]
-    return events_of(candidates(files, HITS | DECISIONS, [*NEAR, "i1", "comments", "comments1", "_quiet", "close", "_void1", "_dots1", *counts, "f_name", "f_start", "f_end"]))
+def code_events(files: DataFrame, besides: bool = True) -> DataFrame:
+    """``events_of`` the texts of files, read token by token in their tasks.
+
+    With ``besides`` also comments' findings, public fields, the depth of a file's braces (``line``), Python's functions, mutable attributes
+    and rules of one finding a file; ``note`` has a function's name and a string that holds a provider's token.
+    """
+    around = ["i1", "linem1", "scope", "comments", "comments1", "_quiet", "close", "_void1", "_dots1", *[f"_n_{name}" for name in COUNTED], "f_name", "f_start", "f_end"]
+    some = candidates(files, HITS | DECISIONS | ONCE | {"def"}, [*NEAR, *around], SECRET_NAME, numbers=True, remarks=besides)
+    if not besides:
+        return events_of(some)
+    of = lambda *types: F.col("type").isin(*types)
+    python = F.col("language") == "python"
+    secret = of("STRING") & F.col("value").rlike("|".join(SECRET_FORMATS.values()))
+    head = python & of("KEYWORD") & (F.col("value") == "def")
+    more = [F.when(of(NESTING), NESTING), F.when(of(FIELD), _prefixed("public-field")), F.when(secret, SECRET), F.when(head, HEAD), F.when(python & (F.col("scope") == "class") & mutable_attribute(), "py-mutable-class-attribute"), *comment_rules(), *once_rules()]
+    return events_of(some, more, of(NESTING, FIELD, "STRING", *CODE_COMMENTS) | F.col("value").isin("def", *ONCE), F.when(head, F.col("v1")).when(secret, F.col("value")))
 
 
 def table_events(code: DataFrame) -> DataFrame:
@@ -314,8 +333,8 @@ def table_events(code: DataFrame) -> DataFrame:
     return events_of(wide.withColumns({"_void1": ahead("_void", 1), "comments1": ahead("comments", 1), "_dots1": ahead("_n_dots", 1)}))
 
 
-def events_of(wide: DataFrame) -> DataFrame:
-    """(path, language, line, idx, close, f_name, f_start, f_end, rule_id): all that one pass over the code finds.
+def events_of(wide: DataFrame, besides: list[Column] | None = None, at: Column | None = None, note: Column | None = None) -> DataFrame:
+    """(path, language, line, idx, close, f_name, f_start, f_end, note, rule_id): all that one pass over the code finds.
 
     Besides findings: functions, decision points, and the brackets of C++ conditions with the numbers that may be in them.
     """
@@ -333,9 +352,10 @@ def events_of(wide: DataFrame) -> DataFrame:
     ]
     default = (F.col("language") == "python") & call & (F.col("vm2") == "def") & (F.col("_n_mutable") > 0)
     defaults = F.array_repeat(F.lit("py-mutable-default-arg"), F.when(default, F.col("_n_mutable").cast("int")).otherwise(0))
-    found = F.concat(F.array_compact(F.array(*sequence_hits(), *call_hits(), *more)), defaults)
-    some = wide.filter(may_hit() | F.col("f_end").isNotNull() | decides(True) | number | caught)
-    return some.select("path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", F.explode(found).alias("rule_id"))
+    found = F.concat(F.array_compact(F.array(*sequence_hits(), *call_hits(), *more, *(besides or []))), defaults)
+    some = wide.filter(may_hit() | F.col("f_end").isNotNull() | decides(True) | number | caught | (F.lit(False) if at is None else at))
+    note = F.lit(None).cast("string") if note is None else note
+    return some.select("path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", note.alias("note"), F.explode(found).alias("rule_id"))
 
 
 def magic_numbers(events: DataFrame) -> DataFrame:
@@ -344,21 +364,14 @@ def magic_numbers(events: DataFrame) -> DataFrame:
     return events.filter(F.col("rule_id").isin(LIMIT, MAGIC)).withColumn("_far", far).filter((F.col("rule_id") == MAGIC) & (F.col("_far") > F.col("idx")))
 
 
-# Words between ``public`` and a field's type.
-MODIFIERS = {
-    "java": ["static", "final", "volatile", "transient", "abstract", "synchronized"],
-    "csharp": ["static", "readonly", "const", "volatile", "virtual", "override", "abstract", "sealed", "async"],
-}
-
-
-def public_fields(code: DataFrame) -> DataFrame:
-    """Fields after ``public`` in Java and C#, on the line of their name: no constants, and in Java none of data holders.
+def public_fields(java: DataFrame, csharp: DataFrame) -> DataFrame:
+    """Fields, of significant tokens of Java and of C#, after ``public``, on the line of their name: no constants, and in Java none of data holders.
 
     A declaration's head ends before its first ``; = ( {`` or comma outside angle and square brackets, however far that
     is; its name is the last name before that. Java's type declarations are none; what ends at ``(`` or ``{`` is none.
     """
-    owned = with_data_holder(code.filter("language = 'java'"))
-    plain = code.filter("language = 'csharp'").withColumn("data_holder", F.lit(False))
+    owned = with_data_holder(java)
+    plain = csharp.withColumn("data_holder", F.lit(False))
     some = owned.select(*plain.columns).unionByName(plain)
     starts = (F.col("type") == "KEYWORD") & (F.col("value") == "public")
     some = some.withColumn("_starts", starts).withColumn("_no", F.sum(starts.cast("int")).over(in_file().rowsBetween(W.unboundedPreceding, 0))).filter("_no > 0")
@@ -385,33 +398,29 @@ def public_fields(code: DataFrame) -> DataFrame:
     return held.filter(field).select("path", "language", F.col("_name.line").alias("line"), _prefixed("public-field").alias("rule_id"))
 
 
-def field_findings(code: DataFrame) -> DataFrame:
-    """Public fields, and mutable attributes of Python classes."""
-    public = public_fields(code)
-    python = code.filter("language = 'python'").withColumns({"_n1": ahead("value", 1), "_n2": ahead("value", 2), "_line0": ahead("line", -1)})
-    scope = F.last(F.when(F.col("value").isin("class", "def") & (F.col("type") == "KEYWORD"), F.col("value")), True).over(in_file().rowsBetween(W.unboundedPreceding, 0))
-    attribute = (F.col("type") == "IDENTIFIER") & (F.col("_n1") == "=") & F.col("_n2").isin("[", "{") & (F.col("line") != F.col("_line0")) & ~F.col("value").rlike("^_.*_$|^[A-Z0-9_]+$")
-    mutable = python.withColumn("_scope", scope).filter(attribute & (F.col("_scope") == "class"))
-    return public.unionByName(mutable.select("path", "language", "line", F.lit("py-mutable-class-attribute").alias("rule_id")))
+def mutable_attribute() -> Column:
+    """Whether a name that begins a line is assigned a list or a dict, and is none of a constant."""
+    return (F.col("type") == "IDENTIFIER") & (F.col("v1") == "=") & F.col("v2").isin("[", "{") & (F.col("line") != F.col("linem1")) & ~F.col("value").rlike("^_.*_$|^[A-Z0-9_]+$")
 
 
-def comment_findings(tokens: DataFrame) -> DataFrame:
+def comment_rules() -> list[Column]:
     """Marks without a ticket, and placeholder phrases; one finding a comment and rule."""
-    comments = tokens.filter(F.col("type").isin(*CODE_COMMENTS))
-    rules = F.array_compact(F.array(
-        F.when(F.col("value").rlike("TODO|FIXME") & ~has_ticket(F.col("value")), _prefixed("todo-without-ticket")),
-        F.when(first_phrase(F.col("value"), PLACEHOLDER_PHRASES).isNotNull(), _prefixed("unreviewed-placeholder")),
-    ))
-    return comments.select("path", "language", "line", F.explode(rules).alias("rule_id"))
+    comment = F.col("type").isin(*CODE_COMMENTS)
+    return [
+        F.when(comment & F.col("value").rlike("TODO|FIXME") & ~has_ticket(F.col("value")), _prefixed("todo-without-ticket")),
+        F.when(comment & first_phrase(F.col("value"), PLACEHOLDER_PHRASES).isNotNull(), _prefixed("unreviewed-placeholder")),
+    ]
 
 
-def structure_findings(events: DataFrame, tokens: DataFrame, files: DataFrame) -> DataFrame:
+def structure_findings(events: DataFrame, files: DataFrame) -> DataFrame:
     """Long and complex functions, deep files (line 0)."""
     language = by_rows(files.select("path", "language"))
     size = F.when(F.col("language").isin("cpp", "python"), _prefixed("long-function")).otherwise(_prefixed("long-method"))
-    functions = functions_at(events.filter(F.col("rule_id") == FUNCTION)).unionByName(python_functions(tokens, files))
+    functions = functions_at(events.filter(F.col("rule_id") == FUNCTION)).unionByName(ended_functions(events.filter(F.col("rule_id") == HEAD).select("path", F.col("note").alias("name"), "line"), files))
     long = functions.filter(F.col("line_count") > LONG_FUNCTION).join(language, "path").select("path", "language", F.col("start_line").alias("line"), size.alias("rule_id"))
-    deep = nesting(tokens, files).filter(F.col("max_nesting") > DEEP_NESTING).join(language, "path").select("path", "language", F.lit(0).alias("line"), _prefixed("deep-nesting").alias("rule_id"))
+    braces = events.filter(F.col("rule_id") == NESTING).select("path", "language", F.col("line").alias("_depth"))
+    depths = braces.unionByName(python_nesting(files).select("path", F.lit("python").alias("language"), F.col("_indents").alias("_depth")))
+    deep = depths.filter(F.col("_depth") > DEEP_NESTING).select("path", "language", F.lit(0).alias("line"), _prefixed("deep-nesting").alias("rule_id"))
     hard = complexity_at(events.filter(F.col("rule_id") == POINT), functions).filter(F.col("complexity") > COMPLEX_FUNCTION)
     hard = hard.join(language, "path").select("path", "language", F.col("start_line").alias("line"), _prefixed("complex-function").alias("rule_id"))
     return long.unionByName(deep).unionByName(hard)
@@ -420,18 +429,16 @@ def structure_findings(events: DataFrame, tokens: DataFrame, files: DataFrame) -
 def findings(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, line, rule_id, language, severity, category, tier, confidence) of all 98 rules.
 
-    A hard-coded secret by name gives way to a provider token on the same line. Equal findings are all kept. The token
-    table is persisted and the events of the pass over it are a checkpoint, so files are lexed once.
+    A hard-coded secret by name gives way to a provider token on the same line. Equal findings are all kept. The texts are
+    read once, in their tasks, and what that finds is a checkpoint; ``tokens``, the table of the same files, is not read.
     """
-    tokens = tokens.persist()
-    code = significant(tokens)
     # Few rows of a long plan: cut, so that the parts below are planned on them alone.
     events = cut(code_events(files))
-    secrets = secret_hits(tokens.filter("type = 'STRING'"), ["path", "language", "line"], F.col("value"))
+    secrets = secret_hits(events.filter(F.col("rule_id") == SECRET), ["path", "language", "line"], F.col("note"))
     plain = ["path", "language", "line", "rule_id"]
     parts = [
-        events.filter(~F.col("rule_id").isin(FUNCTION, POINT, LIMIT, MAGIC)).select(*plain), magic_numbers(events).select(*plain), once_findings(tokens),
-        field_findings(code), comment_findings(tokens), structure_findings(events, tokens, files),
+        events.filter(~F.col("rule_id").isin(FUNCTION, POINT, LIMIT, MAGIC, NESTING, SECRET, HEAD, *ONCE_RULES)).select(*plain), magic_numbers(events).select(*plain),
+        once_findings(events.filter(F.col("rule_id").isin(ONCE_RULES))).select(*plain), structure_findings(events, files),
         secrets.select("path", "language", "line", _prefixed("sec-secret-token").alias("rule_id")),
     ]
     found = reduce(DataFrame.unionByName, parts)

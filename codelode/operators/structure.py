@@ -23,8 +23,8 @@ def in_file() -> W:
 
 def significant(tokens: DataFrame) -> DataFrame:
     """Tokens without comments and newlines, with ``comments``, how many comments of the file come before."""
-    counted = tokens.withColumn("comments", F.sum(F.col("type").isin(*CODE_COMMENTS).cast("int")).over(in_file().rowsBetween(W.unboundedPreceding, 0)))
-    return counted.filter(~F.col("type").isin("NEWLINE", *CODE_COMMENTS))
+    counted = tokens.filter("type <> 'NEWLINE'").withColumn("comments", F.sum(F.col("type").isin(*CODE_COMMENTS).cast("int")).over(in_file().rowsBetween(W.unboundedPreceding, 0)))
+    return counted.filter(~F.col("type").isin(*CODE_COMMENTS))
 
 
 def is_value(value: Column | str, *texts: str) -> Column:
@@ -181,6 +181,11 @@ def python_functions(tokens: DataFrame, files: DataFrame) -> DataFrame:
     """(path, name, start_line, end_line, line_count): a def ends before the next code line that is not indented more."""
     code = significant(tokens.filter("language = 'python'"))
     defs = code.withColumn("name", ahead("value", 1)).filter((F.col("type") == "KEYWORD") & (F.col("value") == "def")).select("path", "name", "line")
+    return ended_functions(defs, files)
+
+
+def ended_functions(defs: DataFrame, files: DataFrame) -> DataFrame:
+    """``python_functions`` of given heads (path, name, line)."""
     ended = defs.join(by_rows(block_ends(code_lines(files), defs)), ["path", "line"])
     return ended.select("path", "name", F.col("line").alias("start_line"), "end_line", (F.col("end_line") - F.col("line") + 1).alias("line_count"))
 

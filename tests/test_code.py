@@ -153,10 +153,18 @@ def soup(seed, n, length):
 
 def test_reading_finds_what_the_windows_find(spark):
     files = spark.createDataFrame(soup(7, 600, 60), "path string, language string, content string")
-    events = rules.code_events(files)
+    events = rules.code_events(files, besides=False)
     columns = ["path", "language", "line", "idx", "close", "f_name", "f_start", "f_end", "rule_id"]
     rows = [sorted(map(str, x.select(*columns).collect())) for x in (events, rules.table_events(structure.significant(tokens(files))))]
     assert rows[0] == rows[1] and len({r.rule_id for r in events.select("rule_id").distinct().collect()}) > 10
+    # Fields, in bodies of types that may hold data.
+    heads = ["public int x;", "public static final int y = 1;", "public static int z,", "public Map<A, B[]> m =", "public void run() {", "void go() { }", "A() { a.b(); }", "class B { }", "public", "public", "static", "final", "class A {", "enum B {", "int x", "void run()", "A()", "getX()", "toString()", "Map<A, B[]> m", "@ T(1)", "record", "interface", "= f()", "const", "readonly", "}", "{", ";", ";", ","]
+    rng = random.Random(11)
+    some = spark.createDataFrame([(f"{i}", ("java", "csharp")[i % 2], "class A {\n" + "\n".join(rng.choice(heads) for _ in range(rng.randint(0, 40)))) for i in range(400)], "path string, language string, content string")
+    code = structure.significant(tokens(some))
+    windows = rules.public_fields(code.filter("language = 'java'"), code.filter("language = 'csharp'")).collect()
+    fields = rules.code_events(some).filter("rule_id like '%-public-field'").select("path", "language", "line", "rule_id").collect()
+    assert sorted(fields) == sorted(windows) and len(fields) > 50
     assert "Window" not in events._jdf.queryExecution().executedPlan().toString()
 
 
