@@ -194,13 +194,13 @@ class Reading:
                 lines.append(self.lines[name])
         return lines
 
-    def wanted(self, words: frozenset[str], assigned: re.Pattern | None, numbers: bool) -> list[int]:
-        """The places of ``words``, of what is assigned or compared as ``candidates`` says, of C++'s numbers and of functions."""
+    def wanted(self, words: frozenset[str], assigned: re.Pattern | None, numbers: bool, called: frozenset[str] = frozenset()) -> list[int]:
+        """The places of ``words``, of the parenthesis of what is ``called`` or defined, of what is assigned or compared as ``candidates`` says, of C++'s numbers and of functions."""
         numbers = numbers and self.language == "cpp"
         after, types = [*self.values[1:], None], self.types
         return [
             j for j, value in enumerate(self.values)
-            if value in words or j in self.functions or (types[j] == "STRING" and len(value) > 6 and SECRET.search(value))
+            if value in words or j in self.functions or (value == "(" and called and (self.at(self.values, j - 1) in called or self.at(self.values, j - 2) == "def")) or (types[j] == "STRING" and len(value) > 6 and SECRET.search(value))
             or (assigned is not None and after[j] == "=" and (value == "=" or value == "!" or self.at(self.values, j + 2) in ("[", "{") or assigned.search(value.lower())))
             or (numbers and types[j] == "NUMBER" and value != "0" and value != "1")
         ]
@@ -240,17 +240,18 @@ class Reading:
         return [own[j + step] if 0 <= j + step and j < last else None for j in some]
 
 
-def candidates(files: DataFrame, words: set[str], columns: list[str], assigned: str | None = None, numbers: bool = False, remarks: bool = False) -> DataFrame:
+def candidates(files: DataFrame, words: set[str], columns: list[str], assigned: str | None = None, numbers: bool = False, remarks: bool = False, called: set[str] | None = None) -> DataFrame:
     """(path, language, ``columns``) of some tokens of files (path, language, content): ``words``, strings that may hold a
     provider's token, and, where their columns are asked for, those where a function has its parenthesis or arrow.
 
-    With ``assigned``, an expression for names in lower case, also what stands before ``=`` and is such a name, ``=`` or
+    With ``called`` also the parenthesis after such a word and after a Python function's name. With ``assigned``, an expression for names in lower case, also what stands before ``=`` and is such a name, ``=`` or
     ``!``, or has a bracket behind; with ``numbers`` C++'s; with ``remarks`` the comments, a row of type ``NESTING`` whose
     line is the depth of a file's braces, and one of type ``FIELD`` for each public field of Java and C#.
     """
     spark = files.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     types, words_, names = [COLUMNS[c][1] for c in columns], frozenset(words), assigned and re.compile(assigned)
+    calls = frozenset(called or ())
     structured = remarks or any(c in ("close", "_void1", "_dots1", "f_name", "f_start", "f_end") or c.startswith("_n_") for c in columns)
     # Files may come from few rows of a table: dealt by path, so that all tasks read.
     parts = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -268,7 +269,7 @@ def candidates(files: DataFrame, words: set[str], columns: list[str], assigned:
                 text = Reading(batch["language"][i].as_py(), batch["content"][i].as_py())
                 if structured:
                     text.structure()
-                some, besides = text.wanted(words_, names, numbers), text.remarks if remarks else []
+                some, besides = text.wanted(words_, names, numbers, calls), text.remarks if remarks else []
                 rows += [i] * (len(some) + len(besides))
                 for x, c in zip(held, columns, strict=True):
                     x += text.column(c, some)

@@ -316,7 +316,8 @@ def code_events(files: DataFrame, besides: bool = True) -> DataFrame:
     and rules of one finding a file; ``note`` has a function's name and a string that holds a provider's token.
     """
     around = ["i1", "linem1", "scope", "comments", "comments1", "_quiet", "close", "_void1", "_dots1", *[f"_n_{name}" for name in COUNTED], "f_name", "f_start", "f_end"]
-    some = candidates(files, HITS | DECISIONS | ONCE | {"def"}, [*NEAR, *around], SECRET_NAME, numbers=True, remarks=besides)
+    called = {n for _, names, _, _ in CALLS for n in names[-1].split("/")} | {"if", "while"}
+    some = candidates(files, (HITS - {"("}) | DECISIONS | ONCE | {"def"}, [*NEAR, *around], SECRET_NAME, numbers=True, remarks=besides, called=called)
     if not besides:
         return events_of(some)
     of = lambda *types: F.col("type").isin(*types)
